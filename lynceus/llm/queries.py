@@ -12,8 +12,11 @@ _OPERATORS = (
     ("op1_best_fit_packing", "packing", "op1", ("documents",)),
     ("op2_exact_dedup", "exact_dedup", "op2", ("documents",)),
     ("op3_simhash", "simhash", "op3", ("documents",)),
+    ("op6_embedding_dedup", "embedding_dedup", "op6", ("embeddings",)),
+    ("op7_line_dedup", "line_dedup", "op7", ("documents",)),
     ("op8_mixing", "mixing", "op8", ("documents",)),
     ("op9_language_id", "language_id", "op9", ("documents",)),
+    ("op10_url_filter", "url_filter", "op10", ("pages",)),
 )
 
 
@@ -33,7 +36,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
+    from lynceus.llm.embedding_dedup import OP6_SQL
     from lynceus.llm.exact_dedup import OP2_SQL
+    from lynceus.llm.line_dedup import OP7_SQL
+    from lynceus.llm.url_filter import oracle_sql as op10_sql
 
-    out = {"op2_exact_dedup": OP2_SQL}
+    out = {"op2_exact_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op10_url_filter": op10_sql()}
     return out | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
