@@ -12,6 +12,7 @@ _OPERATORS = (
     ("op1_best_fit_packing", "packing", "op1", ("documents",)),
     ("op2_exact_dedup", "exact_dedup", "op2", ("documents",)),
     ("op3_simhash", "simhash", "op3", ("documents",)),
+    ("op4_pii", "pii", "op4", ("documents",)),
     ("op6_embedding_dedup", "embedding_dedup", "op6", ("embeddings",)),
     ("op7_line_dedup", "line_dedup", "op7", ("documents",)),
     ("op8_mixing", "mixing", "op8", ("documents",)),
