@@ -13,6 +13,7 @@ _OPERATORS = (
     ("op2_exact_dedup", "exact_dedup", "op2", ("documents",)),
     ("op3_simhash", "simhash", "op3", ("documents",)),
     ("op4_pii", "pii", "op4", ("documents",)),
+    ("op5_toxicity", "toxicity", "op5", ("documents", "labels")),
     ("op6_embedding_dedup", "embedding_dedup", "op6", ("embeddings",)),
     ("op7_line_dedup", "line_dedup", "op7", ("documents",)),
     ("op8_mixing", "mixing", "op8", ("documents",)),
