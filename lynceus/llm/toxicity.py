@@ -141,13 +141,13 @@ def posterior(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
         counts = np.stack([np.einsum("ijv,i->jv", one, 1 - q), np.einsum("ijv,i->jv", one, q)]) + anchor + 0.5
         theta = np.log(counts / counts.sum(axis=2, keepdims=True))
         prior = np.log((q.sum() + 1) / (n - q.sum() + 1))
-        if step % 10 == 5:  # correlations of what the classes leave unexplained
+        if step % 10 == 0:  # correlations of what the classes leave unexplained, first by the labels
             expected = np.einsum("i,j->ij", q, np.exp(theta[1, :, 2])) + np.einsum("i,j->ij", 1 - q, np.exp(theta[0, :, 2]))
             left = one[:, :, 2] - expected
             sd = np.sqrt((left**2).mean(axis=0)) + 1e-9
             r = np.clip((left.T @ left) / n / np.outer(sd, sd), 0, 1)
             np.fill_diagonal(r, 0)
-            share = 1 / (1 + np.where(r > 0.05, r, 0).sum(axis=1))
+            share = np.minimum(share, 1 / (1 + np.where(r > 0.1, r, 0).sum(axis=1)))
         z = prior + np.einsum("ijv,jv->i", one, (theta[1] - theta[0]) * share[:, None])
         new = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         if np.abs(new - q).max() < 1e-5:
