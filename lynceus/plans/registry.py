@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.plans import reid
+from lynceus.plans import manifest, reid, session
 
-MODULES = (reid,)
+MODULES = (reid, manifest, session)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -254,16 +254,16 @@ def audit_flags(spark, sf_dir):
     return out.select(F.col("q").alias("vec_id"), "own_ref", "other_ref", r6("own"), r6("other"), "flag")
 
 
-@query("""WITH RECURSIVE g AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id % 4 = 0 AND label < 5),
-m AS (SELECT *, sqrt(list_dot_product(v, v)) + 1e-12 AS n FROM g), l AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.id <> b.id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.3),
+@query("""WITH RECURSIVE g AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+m AS (SELECT *, sqrt(list_dot_product(v, v)) + 1e-12 AS n FROM g), l AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.id <> b.id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.4),
 r AS (SELECT id AS node, id AS reach FROM g UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach), c AS (SELECT node, min(reach) AS cluster FROM r GROUP BY node)
 SELECT node AS vec_id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM c""")
 def pair_links_components(spark, sf_dir):
-    """New-individual clusters among unlabelled rows; a feature of the surrogate: labels under 5 and ids divisible by 4 play the new photos."""
+    """Clusters of photos that may be one new individual: linked from 0.4 on."""
     from lynceus.operators.components import connected
 
-    g = load(spark, sf_dir).filter("id % 4 = 0 and cls < 5")
-    links = G.score(g, g, "not_before", "over", 0.3).select(F.col("q").alias("a"), F.col("ref").alias("b"))
+    g = load(spark, sf_dir)
+    links = G.score(g, g, "not_before", "over", 0.4).select(F.col("q").alias("a"), F.col("ref").alias("b"))
     c = connected(links, g.select(F.col("id").alias("node")))
     return c.select(F.col("node").alias("vec_id"), F.col("component").alias("cluster"), F.count(F.lit(1)).over(Window.partitionBy("component")).alias("size"))
 
