@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.plans import manifest, reid, session
+from lynceus.plans import manifest, models, reid, session
 
-MODULES = (reid, manifest, session)
+MODULES = (reid, manifest, session, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
