@@ -49,20 +49,26 @@ def terms(text: str) -> set[bytes]:
 PATTERNS = ("shouting", "exclaiming", "digits", "signs", "repeating", "short", "long words")
 
 
+_UPPER = bytes(range(65, 91))
+_DIGITS = b"0123456789"
+_SIGNS = b"#$%&*|"
+_PLAIN = bytes(i for i in range(128) if not 65 <= i <= 90 and not 97 <= i <= 122)
+
+
 def patterns(text: str) -> list[float]:
-    """A number from 0 to 1 for each of ``PATTERNS``."""
-    n = max(1, len(text))
-    words = text.split()
-    letters = max(1, sum(map(str.isalpha, text[:4096])))
-    w = max(1, len(words))
+    """A number from 0 to 1 for each of ``PATTERNS``, over the whole text."""
+    b = text.encode("utf-8", "replace")
+    words = b.split()
+    n, w = max(1, len(b)), max(1, len(words))
+    count = lambda which: n - len(b.translate(None, which)) if b else 0
     return [
-        sum(map(str.isupper, text[:4096])) / letters,
-        min(1.0, 20 * text.count("!") / n),
-        sum(map(text.count, "0123456789")) / n,
-        min(1.0, 5 * sum(map(text.count, "#$%&*|")) / n),
+        count(_UPPER) / max(1, len(b.translate(None, _PLAIN))),
+        min(1.0, 20 * b.count(b"!") / n),
+        count(_DIGITS) / n,
+        min(1.0, 5 * count(_SIGNS) / n),
         1.0 - len(set(words)) / w,
         1.0 / (1.0 + w / 20),
-        min(1.0, len(text) / w / 20),
+        min(1.0, n / w / 20),
     ]
 
 
