@@ -143,8 +143,8 @@ def centroids(gallery: DataFrame) -> DataFrame:
     return parts.groupBy("cls").agg(v.alias("v")).select(F.col("cls").cast("long").alias("id"), "cls", F.lit(-1).cast("long").alias("grp"), "v")
 
 
-def fuse(spot: DataFrame, emb: DataFrame, weight: float = 1.0) -> DataFrame:
-    """``log1p(best spot score) + weight * best similarity`` for each query and class; without spots 0, without a vector -1."""
+def fuse(spot: DataFrame, emb: DataFrame, weight: float = 1.0, spot_weight: float = 1.0) -> DataFrame:
+    """``spot_weight * log1p(best spot score) + weight * best similarity`` for each query and class; without spots 0, without a vector -1."""
     both = spot.select("q", "cls", F.col("score").alias("s")).join(emb.select("q", "cls", F.col("score").alias("e")), ["q", "cls"], "full")
-    value = F.log1p(F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0))) + F.lit(float(weight)) * F.coalesce("e", F.lit(-1.0))
+    value = F.lit(float(spot_weight)) * F.log1p(F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0))) + F.lit(float(weight)) * F.coalesce("e", F.lit(-1.0))
     return both.select("q", "cls", value.alias("score"))

@@ -72,3 +72,34 @@ def info(gallery: DataFrame, log: DataFrame) -> DataFrame:
     g = gallery.agg(F.count(F.lit(1)).alias("photos"), F.countDistinct("cls").alias("classes"))
     u = log.agg(F.countDistinct("upload_id").alias("uploads"), F.count_if(F.col("verdict").isNotNull()).alias("verdicts"))
     return g.crossJoin(u)
+
+
+#: How photos of a set make one score for each class.
+COMBINERS = ("sum", "sides", "best spot, mean vector", "sum of spots, best vector", "vote")
+
+
+def combine(photos: DataFrame, how: str = "sum") -> DataFrame:
+    """``(grp, cls, score)`` from ``photos(q, grp, side, cls, spot, emb)``, one row a photo and class.
+
+    ``sum`` adds the fused scores; ``sides`` adds those of side views, or of all photos
+    where a set has none; the next two mix the two kinds of evidence; ``vote`` counts
+    photos whose best class it is, with the mean spot and vector as small tie-breaks.
+    """
+    fused = F.log1p(F.greatest("spot", F.lit(0.0))) + F.col("emb")
+    rows = photos.withColumn("f", fused)
+    by = rows.groupBy("grp", "cls")
+    if how == "sum":
+        return by.agg(F.sum("f").alias("score"))
+    if how == "sides":
+        has = rows.groupBy("grp").agg(F.max("side").alias("any_side"))
+        own = rows.join(has, "grp").filter(F.col("side") | ~F.col("any_side"))
+        return own.groupBy("grp", "cls").agg(F.sum("f").alias("score"))
+    if how == "best spot, mean vector":
+        return by.agg((F.log1p(F.greatest(F.max("spot"), F.lit(0.0))) + F.avg("emb")).alias("score"))
+    if how == "sum of spots, best vector":
+        return by.agg((F.log1p(F.sum(F.greatest("spot", F.lit(0.0)))) + F.max("emb")).alias("score"))
+    if how == "vote":
+        best = rows.groupBy("q").agg(F.max(F.struct("f", (-F.col("cls")).alias("c"))).alias("b")).select("q", (-F.col("b.c")).alias("top"))
+        voted = rows.join(best, "q").withColumn("v", (F.col("cls") == F.col("top")).cast("double"))
+        return voted.groupBy("grp", "cls").agg((F.sum("v") + F.avg("spot") * 1e-3 + F.avg("emb") * 1e-6).alias("score"))
+    raise ValueError(f"one of {COMBINERS}")

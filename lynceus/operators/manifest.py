@@ -61,3 +61,18 @@ def misaligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Integrity: keys that only one of two tables holds, with the side."""
     a, b = left.select(F.col(key).alias("a")), right.select(F.col(key).alias("b"))
     return a.join(b, F.col("a") == F.col("b"), "full").filter("a is null or b is null").select(F.coalesce("a", "b").alias(key), F.when(F.col("a").isNull(), "right").otherwise("left").alias("side"))
+
+
+def encode_labels(rows: DataFrame, cls: str) -> DataFrame:
+    """``(cls, code)``: the place of each class among the sorted distinct ones, from 0."""
+    return rows.select(cls).distinct().withColumn("code", (F.row_number().over(Window.orderBy(cls)) - 1).cast("int"))
+
+
+def seen_in(rows: DataFrame, train: DataFrame, cls: str) -> DataFrame:
+    """Rows whose class the training rows have."""
+    return rows.join(train.select(cls).distinct(), cls, "left_semi")
+
+
+def adjacency(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Both directions of each pair, once."""
+    return pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).unionAll(pairs.select(F.col(b), F.col(a))).distinct()

@@ -111,3 +111,40 @@ def model_comparison(spark, sf_dir):
         acc = M.accuracy(flags, "part").groupBy().pivot("part", ["valid", "test"]).agg(F.first("top1"))
         rows.append(acc.select(F.lit(name).alias("model"), r6("valid"), r6("test")))
     return reduce(lambda a, b: a.unionAll(b), rows).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("valid"), "model")))
+
+
+PHOTOS = """, ph AS (SELECT q, qcls * 7 + q % 7 AS grp, q % 2 = 0 AS side, cls, coalesce(sp.sp, 0) AS spot, coalesce(b.score, -1) AS emb FROM best b LEFT JOIN sp USING (q, qcls, cls)),
+pf AS (SELECT *, ln(1 + greatest(spot, 0)) + emb AS f FROM ph)"""
+
+
+@query("WITH $BASE $SPOTS" + PHOTOS + """, has AS (SELECT grp, bool_or(side) AS h FROM pf GROUP BY grp),
+top AS (SELECT q, cls FROM (SELECT q, cls, row_number() OVER (PARTITION BY q ORDER BY f DESC, cls) AS k FROM pf) WHERE k = 1),
+a AS (SELECT 'sum' AS how, grp, cls, sum(f) AS s FROM pf GROUP BY ALL UNION ALL SELECT 'sides', grp, cls, sum(f) FROM pf JOIN has USING (grp) WHERE side OR NOT h GROUP BY ALL
+  UNION ALL SELECT 'best spot, mean vector', grp, cls, ln(1 + greatest(max(spot), 0)) + avg(emb) FROM pf GROUP BY ALL
+  UNION ALL SELECT 'sum of spots, best vector', grp, cls, ln(1 + sum(greatest(spot, 0))) + max(emb) FROM pf GROUP BY ALL
+  UNION ALL SELECT 'vote', pf.grp, pf.cls, sum((top.cls = pf.cls)::INT) + avg(spot) * 1e-3 + avg(emb) * 1e-6 FROM pf JOIN top USING (q) GROUP BY ALL)
+SELECT how, grp AS "set", cls AS pick, round(s, 6) AS score FROM a""")
+def combine_variants(spark, sf_dir):
+    from functools import reduce
+
+    g = load(spark, sf_dir)
+    one = best(g).select("q", "cls", F.col("score").alias("emb"))
+    p = one.join(spots(g).select("q", "cls", F.col("score").alias("spot")), ["q", "cls"], "left").join(truth(g), "q")
+    p = p.select("q", (F.col("true_cls") * 7 + F.col("q") % 7).alias("grp"), (F.col("q") % 2 == 0).alias("side"), "cls", F.coalesce("spot", F.lit(0.0)).alias("spot"), "emb")
+    parts = [I.combine(p, how).select(F.lit(how).alias("how"), F.col("grp").alias("set"), F.col("cls").alias("pick"), r6("score")) for how in I.COMBINERS]
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
+
+@query("SELECT source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT source FROM documents)")
+def label_codes(spark, sf_dir):
+    from lynceus.operators.manifest import encode_labels
+
+    return encode_labels(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source")
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (WHERE toxic = 0 AND quality = 1) AS matched, count(*) FILTER (WHERE l.doc_id IS NULL) AS skipped, count(*) FILTER (WHERE quality = 0) AS failed FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def batch_report(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").join(spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("done", F.lit(True)), "doc_id", "left")
+    return d.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("toxic") == 0) & (F.col("quality") == 1)).alias("matched"), F.count_if(F.col("done").isNull()).alias("skipped"), F.count_if(F.col("quality") == 0).alias("failed")
+    )

@@ -166,3 +166,23 @@ def spots_mutual(spark, sf_dir):
     best = e.groupBy("q", "cls").agg(F.max("score").alias("score"))
     return G.top_classes(best, 1).select(F.col("q").alias("vec_id"), F.col("cls").alias("label"), r6("score"))
 
+
+
+LNBNN_K = 5
+
+
+@query(f"""WITH $BASE, kp AS (SELECT id AS photo, cls, k, [abs(x) for x in v[k * 8 + 1:k * 8 + 8]] AS d FROM (SELECT *, unnest(range(8)) AS k FROM g)),
+w AS (SELECT photo, cls, photo * 8 + k AS f, [sqrt(x / (list_sum(d) + 1e-7)) for x in d] AS w FROM kp), n AS (SELECT *, sqrt(list_dot_product(w, w)) + 1e-12 AS n FROM w),
+s AS (SELECT a.f, a.photo, b.cls, b.f AS ref, list_dot_product(a.w, b.w) / (a.n * b.n) AS s FROM n a JOIN n b ON a.photo <> b.photo),
+t AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY s DESC, ref) AS k FROM s QUALIFY k <= {LNBNN_K + 1}), d AS (SELECT *, sqrt(greatest(0, 2 - 2 * s)) AS d FROM t),
+e AS (SELECT f, d AS edge FROM d WHERE k = {LNBNN_K + 1}), c AS (SELECT f, photo, cls, min(d) AS d FROM d WHERE k <= {LNBNN_K} GROUP BY ALL)
+SELECT photo AS vec_id, cls AS label, round(sum(edge - d), 5) AS votes FROM c JOIN e USING (f) GROUP BY ALL""")
+def lnbnn_votes(spark, sf_dir):
+    """Local naive-Bayes votes of each keypoint's nearest keypoints, once a class; the nearest come from the gallery's block grid."""
+    f = features(spark, sf_dir)
+    rows = f.select((F.col("photo") * 8 + F.col("kp")).alias("id"), "cls", F.col("photo").alias("grp"), spots.root_descriptor(F.col("d")).alias("v"))
+    near = G.score(rows, rows, "sighting", "overall", LNBNN_K + 1)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "ref"))
+    gap = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score")))
+    near = near.select(F.expr("q div 8").alias("photo"), F.col("q").alias("kp"), "cls", gap.alias("d"), rank.alias("rank"))
+    return spots.lnbnn(near, LNBNN_K).select(F.col("photo").alias("vec_id"), F.col("cls").alias("label"), F.round("votes", 5).alias("votes"))
