@@ -158,7 +158,13 @@ def features(spark, sf_dir):
     return g.select(F.col("id").alias("photo"), "cls", F.explode(parts).alias("x")).select("photo", "cls", "x.kp", "x.d")
 
 
-@query(None)
+@query("""WITH $BASE, kp AS (SELECT id AS photo, cls, k, [abs(x) for x in v[k * 8 + 1:k * 8 + 8]] AS d FROM (SELECT *, unnest(range(8)) AS k FROM g)),
+w AS (SELECT photo, cls, k, [sqrt(x / (list_sum(d) + 1e-7)) for x in d] AS w FROM kp),
+p AS (SELECT a.photo AS q, b.photo AS r, b.cls, a.k AS ka, b.k AS kb, list_distance(a.w, b.w) AS d FROM w a JOIN w b ON a.photo <> b.photo),
+x AS (SELECT q, r, any_value(cls) AS cls, ka, arg_min(kb, d) AS i, min(d, 2) AS m FROM p GROUP BY q, r, ka), y AS (SELECT q, r, kb, arg_min(ka, d) AS j, min(d, 2) AS m FROM p GROUP BY q, r, kb),
+s AS (SELECT x.q, x.r, x.cls, count(*) FILTER (WHERE y.j = x.ka AND x.m[1] < 0.8 * x.m[2] AND y.m[1] < 0.8 * y.m[2]) / 8 * 100 AS score FROM x JOIN y ON x.q = y.q AND x.r = y.r AND x.i = y.kb GROUP BY x.q, x.r, x.cls),
+b AS (SELECT q, cls, max(score) AS score FROM s GROUP BY q, cls)
+SELECT q AS vec_id, cls AS label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, cls) AS k FROM b) WHERE k = 1""")
 def spots_mutual(spark, sf_dir):
     """Mutual matches of every pair of photos, best reference of each class, top class."""
     p = spots.photos_of(features(spark, sf_dir))
