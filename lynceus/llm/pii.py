@@ -103,9 +103,9 @@ def candidates(text: str, base: str) -> str:
     )
     parts = []
     for pattern, guard, kinds in proposals:
-        found = _spans(text, pattern, guard)
-        for k, test in kinds:
-            parts.append(f"transform(filter({found}, x -> {test}), x -> named_struct('k', {k}, 's', x.s, 'e', x.e, 't', x.t))")
+        # One search a pattern, whatever the number of kinds that it proposes.
+        each = ", ".join(f"if({test}, array(named_struct('k', {k}, 's', x.s, 'e', x.e, 't', x.t)), cast(array() as array<struct<k:int,s:int,e:int,t:string>>))" for k, test in kinds)
+        parts.append(f"flatten(transform({_spans(text, pattern, guard)}, x -> concat({each})))")
     kind_of = "case when {c} = '' or {c} rlike '^\\\\s$' then 0 when {c} rlike '^[\\\\p{{L}}\\\\p{{N}}]$' then 1 else 2 end"
     before, behind = f"if(x.s = 0, '', substr({text}, x.s, 1))", f"substr({text}, x.e + 1, 1)"
     features = f"""transform(array_distinct(concat({', '.join(parts)})), x -> named_struct('k', x.k, 's', x.s, 'e', x.e,
