@@ -155,10 +155,10 @@ def dated(spark, sf_dir):
 
 
 @query(f"""WITH {DATED}, l AS (SELECT id AS a, id + 4 AS b FROM p WHERE id % 6 = 0), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), g AS (SELECT a AS id, min(date) AS d FROM e JOIN p ON p.id = e.b GROUP BY a)
-SELECT p.id AS doc_id, coalesce(date, d) AS date FROM p LEFT JOIN g USING (id)""")
+SELECT p.id AS doc_id, CAST(coalesce(date, d) AS VARCHAR) AS date FROM p LEFT JOIN g USING (id)""")
 def date_propagation(spark, sf_dir):
     p = dated(spark, sf_dir)
-    return S.spread_dates(p, p.filter("id % 6 = 0").select(F.col("id").alias("a"), (F.col("id") + 4).alias("b"))).select(F.col("id").alias("doc_id"), "date")
+    return S.spread_dates(p, p.filter("id % 6 = 0").select(F.col("id").alias("a"), (F.col("id") + 4).alias("b"))).select(F.col("id").alias("doc_id"), F.col("date").cast("string").alias("date"))
 
 
 @query(f"""WITH {DATED}, j AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY coalesce(a.date <> b.date, false) DESC, b.date DESC NULLS LAST, b.id) AS k FROM p a JOIN p b ON a.cls = b.cls AND a.view = b.view AND a.id <> b.id)
@@ -168,13 +168,13 @@ def closest_comparable(spark, sf_dir):
 
 
 @query(f"""WITH {DATED}, e AS (SELECT DISTINCT cls, date AS day FROM p WHERE date IS NOT NULL),
-g AS (SELECT a.cls, a.day, min(abs(a.day - b.day)) / 365.0 AS y FROM e a JOIN e b ON a.cls = b.cls AND a.day <> b.day GROUP BY ALL) SELECT cls AS source, day, round(y, 6) AS years FROM g""")
+g AS (SELECT a.cls, a.day, min(abs(a.day - b.day)) / 365.0 AS y FROM e a JOIN e b ON a.cls = b.cls AND a.day <> b.day GROUP BY ALL) SELECT cls AS source, CAST(day AS VARCHAR) AS day, round(y, 6) AS years FROM g""")
 def nearest_gap(spark, sf_dir):
     e = dated(spark, sf_dir).filter("date is not null").select("cls", F.col("date").alias("day"))
-    return S.nearest_gap(e).select(F.col("cls").alias("source"), "day", F.round("years", 6).alias("years"))
+    return S.nearest_gap(e).select(F.col("cls").alias("source"), F.col("day").cast("string").alias("day"), F.round("years", 6).alias("years"))
 
 
-@query("SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang, source UNION ALL SELECT lang, NULL, count(*), sum(n_chars) FROM documents GROUP BY lang")
+@query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang, source UNION ALL SELECT lang, NULL, count(*), CAST(sum(n_chars) AS BIGINT) FROM documents GROUP BY lang")
 def counts_by_key(spark, sf_dir):
     d = docs(spark, sf_dir)
     return d.rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")).filter("lang is not null")

@@ -104,10 +104,10 @@ def likelihood_bins(spark, sf_dir):
     return s.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("right"))
 
 
-@query(f"WITH {SCORES}, e AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(score) AS m, count(*) AS n, max(score) AS best FROM s GROUP BY ALL) SELECT user_id, day, n, round(m, 6) AS mean, round(best, 6) AS best FROM e")
+@query(f"WITH {SCORES}, e AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(score) AS m, count(*) AS n, max(score) AS best FROM s GROUP BY ALL) SELECT user_id, CAST(day AS VARCHAR) AS day, n, round(m, 6) AS mean, round(best, 6) AS best FROM e")
 def encounter_day(spark, sf_dir):
     e = scores(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("best"))
-    return e.select("user_id", "day", "n", "mean", "best")
+    return e.select("user_id", F.col("day").cast("string").alias("day"), "n", "mean", "best")
 
 
 @query(f"WITH {SCORES}, e AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(score) AS m, count(*) AS n FROM s GROUP BY ALL) SELECT least(n, 4) AS size, count(*) AS encounters, round(avg(m), 6) AS mean_of_means, round(sum(m * n) / sum(n), 6) AS mean FROM e GROUP BY least(n, 4)")
@@ -116,11 +116,11 @@ def encounter_sizes(spark, sf_dir):
     return e.groupBy(F.least("n", F.lit(4)).cast("long").alias("size")).agg(F.count(F.lit(1)).alias("encounters"), F.round(F.avg("m"), 6).alias("mean_of_means"), F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 6).alias("mean"))
 
 
-@query(f"WITH {SCORES}, h AS (SELECT CAST(ts AS DATE) AS day, least(score, 3) AS x FROM s), e AS (SELECT day, count(*) AS n, count(*) FILTER (WHERE x >= 1.2) AS k FROM h GROUP BY day) SELECT day, round(1 - power(1 - k / n, 2), 6) AS p FROM e")
+@query(f"WITH {SCORES}, h AS (SELECT CAST(ts AS DATE) AS day, least(score, 3) AS x FROM s), e AS (SELECT day, count(*) AS n, count(*) FILTER (WHERE x >= 1.2) AS k FROM h GROUP BY day) SELECT CAST(day AS VARCHAR) AS day, round(1 - power(1 - k / n, 2), 6) AS p FROM e")
 def best_of_two(spark, sf_dir):
     """The chance that the better of two draws reaches the line, in closed form."""
     e = scores(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= 1.2).alias("k"))
-    return e.select("day", F.round(1 - F.pow(1 - F.col("k") / F.col("n"), 2), 6).alias("p"))
+    return e.select(F.col("day").cast("string").alias("day"), F.round(1 - F.pow(1 - F.col("k") / F.col("n"), 2), 6).alias("p"))
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d, lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders),
@@ -155,12 +155,12 @@ def json_props(spark, sf_dir):
     return e.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_log_summary(spark, sf_dir):
     """The materialised summary that a stream of the log keeps, after all of it: see ``lynceus.streaming``."""
     from lynceus.streaming.log import daily_summary
 
-    return daily_summary(events(spark, sf_dir))
+    return daily_summary(events(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("""WITH s AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
