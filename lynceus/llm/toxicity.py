@@ -13,7 +13,6 @@ on the driver; scoring is one pass over the documents without a shuffle.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,41 +88,67 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-min(40.0, max(-40.0, z)))))
 
 
-def mine(docs: list[set[bytes]], toxic: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+@dataclass
+class Sample:
+    """Sampled texts as arrays of term numbers; terms of fewer than ``LEAST_DOCS`` texts are left out."""
+
+    names: list[bytes]
+    docs: list[np.ndarray]
+    shapes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Sample:
+        """Empties ``texts`` as it goes: a text and its terms are never all held at once."""
+        number: dict[bytes, int] = {}
+        docs, shapes = [], []
+        texts.reverse()
+        while texts:
+            text = texts.pop()
+            docs.append(np.array([number.setdefault(t, len(number)) for t in sorted(terms(text))], np.int32))
+            shapes.append(patterns(text))
+        count = np.bincount(np.concatenate(docs), minlength=len(number)) if docs else np.zeros(0, int)
+        often = count >= LEAST_DOCS
+        place = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        names = [t for t, i in number.items() if often[i]]
+        return cls(names, [x[x >= 0] for x in (place[d] for d in docs)], np.array(shapes))
+
+
+def mine(sample: Sample, toxic: np.ndarray) -> tuple[list[int], list[int]]:
     """Lexicon entries, the most precise first, and further features: those whose counts a class explains best (likelihood ratio)."""
-    count = [Counter(), Counter()]
-    for d, y in zip(docs, toxic.tolist(), strict=True):
-        count[y].update(d)
+    size = len(sample.names)
+    count = lambda which: np.bincount(np.concatenate([np.zeros(0, np.int32), *(d for d, y in zip(sample.docs, toxic, strict=True) if y == which)]), minlength=size)
+    a, b = count(1), count(0)
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     n = max(1, n0 + n1)
-    rows = []
-    for t in count[0].keys() | count[1].keys():
-        a, b = count[1][t], count[0][t]
-        if a + b >= LEAST_DOCS:
-            cells = ((a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n - a - b), (n0 - b, n0, n - a - b))
-            g = 2 * sum(x * np.log(x * n / (y * z)) for x, y, z in cells if x)
-            rows.append((g, (a + 0.5) / (a + b + 1), t))
-    rows.sort(key=lambda r: (-r[0], r[2]))
+    g = np.zeros(size)
+    for x, y, z in ((a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n - a - b), (n0 - b, n0, n - a - b)):
+        some = x > 0
+        g[some] += 2 * x[some] * np.log(x[some] * n / (y * z[some]))
+    precise = (a + 0.5) / (a + b + 1)
+    order = sorted(range(size), key=lambda i: (-g[i], sample.names[i]))
     least = max(0.5, 2 * n1 / n)
-    chosen = [(p, t) for g, p, t in rows if g > 10 and p > least][:ENTRIES]
-    lexicon = [t for _, t in sorted(chosen, key=lambda r: (-r[0], r[1]))]
+    lexicon = [i for i in order if g[i] > 10 and precise[i] > least][:ENTRIES]
     known = set(lexicon)
-    return lexicon, [t for _, _, t in rows if t not in known][:FEATURES]
+    return sorted(lexicon, key=lambda i: (-precise[i], sample.names[i])), [i for i in order if i not in known][:FEATURES]
 
 
-def vote(docs: list[set[bytes]], shapes: np.ndarray, lexicon: list[bytes], toxic: np.ndarray) -> np.ndarray:
+def vote(sample: Sample, lexicon: list[int], toxic: np.ndarray) -> np.ndarray:
     """Votes of each voter: 1 toxic, 0 not, -1 none.
 
     A lexicon votes toxic where one of its entries occurs.  One voter says not toxic
     where no lexicon has an entry.  A pattern votes for the class that is more frequent
     than overall in its upper or lower tenth.
     """
-    groups = [set(lexicon[i : i + LEXICON]) for i in range(0, len(lexicon), LEXICON)]
-    hits = np.array([[bool(g & d) for g in groups] for d in docs], bool).reshape(len(docs), len(groups))
+    group = np.full(len(sample.names), -1)
+    for k, i in enumerate(lexicon):
+        group[i] = k // LEXICON
+    hits = np.zeros((len(sample.docs), -(-len(lexicon) // LEXICON)), bool)
+    for i, d in enumerate(sample.docs):
+        own = group[d]
+        hits[i, own[own >= 0]] = True
     votes = [np.where(hits, 1, -1), np.where(hits.any(axis=1), -1, 0)[:, None]]
     share = toxic.mean()
-    for j in range(shapes.shape[1]):
-        x = shapes[:, j]
+    for x in sample.shapes.T:
         low, high = np.quantile(x, 0.1), np.quantile(x, 0.9)
         v = np.full(len(x), -1)
         for at in (x < low, x > high):
@@ -162,16 +187,14 @@ def posterior(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return q
 
 
-def fit(docs: list[set[bytes]], shapes: np.ndarray, names: list[bytes], q: np.ndarray) -> Model:
+def fit(sample: Sample, features: list[int], q: np.ndarray) -> Model:
     """Logistic regression on posterior labels, by Adam over the whole sample."""
-    index = {t: i for i, t in enumerate(names)}
-    row, col = [], []
-    for i, d in enumerate(docs):
-        found = [index[t] for t in d & index.keys()]
-        row += [i] * len(found)
-        col += found
-    row, col = np.array(row, int), np.array(col, int)
-    k, n = len(names), len(docs)
+    place = np.full(len(sample.names), -1)
+    place[features] = np.arange(len(features))
+    found = [place[d][place[d] >= 0] for d in sample.docs]
+    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    col = np.concatenate([np.zeros(0, int), *found])
+    shapes, k, n = sample.shapes, len(features), len(found)
     w = np.zeros(k + shapes.shape[1] + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     w[-1] = np.log((q.sum() + 1) / (n - q.sum() + 1))
@@ -182,7 +205,7 @@ def fit(docs: list[set[bytes]], shapes: np.ndarray, names: list[bytes], q: np.nd
         g[:-1] += L2 / n * 10 * w[:-1]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
-    return Model({t: float(w[i]) for t, i in index.items() if w[i]}, [float(x) for x in w[k:-1]], float(w[-1]))
+    return Model({sample.names[i]: float(w[j]) for j, i in enumerate(features) if w[j]}, [float(x) for x in w[k:-1]], float(w[-1]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -197,11 +220,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     if not got:
         return Model({}, [0.0] * len(PATTERNS), 0.0)
     y = np.array([int(r.y > 0) for r in got])
-    found = [terms(r.t) for r in got]
-    shapes = np.array([patterns(r.t) for r in got])
-    lexicon, rest = mine(found, y)
-    q = posterior(vote(found, shapes, lexicon, y), y)
-    return fit(found, shapes, lexicon + rest, q)
+    texts = [r.t for r in got]
+    del got
+    drawn = Sample.of(texts)
+    lexicon, rest = mine(drawn, y)
+    q = posterior(vote(drawn, lexicon, y), y)
+    return fit(drawn, lexicon + rest, q)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
