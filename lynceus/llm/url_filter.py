@@ -15,6 +15,7 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,12 @@ def _suffixes(host: str) -> list[str]:
     return [".".join(parts[i:]) for i in range(len(parts))] if host else []
 
 
+@cache
+def _driver_folder() -> str:
+    """One folder of the driver's for all arrays: the same array is the same file again, which Spark accepts; executors get it from the driver."""
+    return tempfile.mkdtemp(prefix="lynceus-urls-")
+
+
 def judge(pages: DataFrame, rules=RULES, hosts=BLOCKED_HOSTS, url: str = "url", default: str = DEFAULT) -> DataFrame:
     """Every row of ``pages`` with ``host, path, rule, verdict``.
 
@@ -111,8 +118,7 @@ def judge(pages: DataFrame, rules=RULES, hosts=BLOCKED_HOSTS, url: str = "url",
     output are replaced.
     """
     spark: SparkSession = pages.sparkSession
-    folder = tempfile.mkdtemp(prefix="lynceus-urls-")
-    file, lengths = write_array(rules, hosts, folder)
+    file, lengths = write_array(rules, hosts, _driver_folder())
     name = os.path.basename(file)
     spark.sparkContext.addFile(file)
     rows = without(pages, "host", "path", "rule", "verdict")
