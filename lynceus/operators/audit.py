@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lynceus.operators.manifest import adjacency
+
 
 def support_of(links: DataFrame, gallery: DataFrame) -> DataFrame:
     """``(id, cls, grp, sightings, total)``: distinct other sightings linked to each reference and the sum of its links."""
@@ -22,19 +24,41 @@ def two_tier(top: DataFrame, support: DataFrame, least: float) -> DataFrame:
     return top.join(known, "ref").withColumn("band", band)
 
 
-def flags(best: DataFrame, truth: DataFrame, misfiled: float, unmatched: float) -> DataFrame:
-    """Best of the own and of other classes with their references (smaller id on ties), and what they say about the label."""
+def flags(best: DataFrame, truth: DataFrame, misfiled: float, unmatched: float, duplicates: DataFrame | None = None, photos: DataFrame | None = None) -> DataFrame:
+    """Best of the own and of other classes with their references (smaller id on ties), and what they say about the label.
+
+    ``duplicates(a, b)`` are pairs of the same picture: they don't count as each other's
+    reference, and a column ``duplicate`` marks their rows.  ``best`` must then hold more
+    references of a class than a row has duplicates.  With ``photos(id, cls, view, date,
+    side)`` only a side view can be 'no match', and only if its class has the same view
+    on another date, a duplicate's aside.
+    """
+    if duplicates is not None:
+        twins = adjacency(duplicates, "a", "b").withColumnsRenamed({"a": "q", "b": "ref"})
+        best = best.join(twins, ["q", "ref"], "left_anti")
     own = F.col("cls") == F.col("true_cls")
     pick = lambda cond: F.max(F.when(cond, F.struct("score", (-F.col("ref")).alias("r"))))
     rows = best.join(truth, "q").groupBy("q").agg(pick(own).alias("o"), pick(~own).alias("x"))
     rows = truth.select("q").join(rows, "q", "left")
+    comparable = F.lit(True)
+    if photos is not None:
+        other = photos.select("cls", "view", F.col("id").alias("ref"), F.col("date").alias("other"))
+        same = photos.filter("side").withColumnRenamed("id", "q").join(other, ["cls", "view"]).filter(F.col("other") != F.col("date"))
+        if duplicates is not None:
+            same = same.join(twins, ["q", "ref"], "left_anti")
+        rows = rows.join(same.select("q").distinct().withColumn("comparable", F.lit(True)), "q", "left")
+        comparable = F.col("comparable").isNotNull()
     none = F.lit(-1.0)
     flag = (
         F.when((F.col("x.score") >= misfiled) & (F.col("x.score") > F.coalesce("o.score", none)), "misfiled")
-        .when(F.coalesce("o.score", none) < unmatched, "no match")
+        .when((F.coalesce("o.score", none) < unmatched) & comparable, "no match")
         .otherwise("")
     )
-    return rows.select("q", (-F.col("o.r")).alias("own_ref"), (-F.col("x.r")).alias("other_ref"), F.col("o.score").alias("own"), F.col("x.score").alias("other"), flag.alias("flag"))
+    out = ["q", (-F.col("o.r")).alias("own_ref"), (-F.col("x.r")).alias("other_ref"), F.col("o.score").alias("own"), F.col("x.score").alias("other"), flag.alias("flag")]
+    if duplicates is not None:
+        rows = rows.join(twins.select("q").distinct().withColumn("twin", F.lit(True)), "q", "left")
+        out.append(F.col("twin").isNotNull().alias("duplicate"))
+    return rows.select(*out)
 
 
 def index_choice(links: DataFrame, gallery: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
