@@ -2,14 +2,25 @@
 
 Base rules find email addresses, IP addresses, payment cards and phone numbers; their
 spans always stay.  High-recall generators propose more spans, which may overlap
-(obfuscated addresses, IPv6, any long group of digits as card and as phone).  Each
-candidate has a few discrete features of format and context.  Boosted trees learn to
-tell candidates that a base rule confirms from the others, and a threshold for each
-kind is calibrated to ``PRECISION``; candidates over it are added to the base spans.
-
-The text is scanned once.  Features are discrete, so the learning set is a table of
-feature combinations with counts over all documents, of a few thousand rows whatever
-the corpus; the trees become a SQL expression again.
+(obfuscated addresses, IPv6, any long group of digits as card and as phone, long mixed
+strings as secrets).  Boosted trees score the candidates by format and context.
+
+Nobody has labelled the candidates, so they are learned from positive and unlabelled
+rows: a candidate counts as positive if a base rule of its kind finds it or if a word of
+its kind stands before it (which the trees are told only of what no base rule finds);
+all others are unlabelled, not negative.  The trees never see
+what a base rule tests (the sign ``@``, the plus, Luhn's digit, the form and range of an
+IP address), so what merely lacks it scores like its confirmed neighbours.  On the half
+of the candidates that the trees were not grown on, a threshold for each kind is
+calibrated: going down from the highest scores, each block of candidates must have
+``PRECISION`` of the best block's share of positives.  Luhn's check passes one number in ten by chance,
+which is taken off first.
+
+The text is scanned once.  Each match becomes a row with the length of the gap before
+it; places are running sums of a document's rows, and whether a base span overlaps is a
+running maximum, so a text with many matches is linear work.  Features are discrete, so
+the learning set is a table of feature combinations with counts over all documents; the
+trees become a SQL expression again.
 
 Patterns are written so that no search is quadratic and no repetition recurses: a
 candidate may start only at the start of its run or right behind the match before
@@ -20,102 +31,149 @@ possessively, which changes nothing where nothing follows them.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from math import exp
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lynceus.llm.common import PREFIX, Scratch, text_or_empty, without
+from lynceus.llm.common import PREFIX, RID, Scratch, text_or_empty, with_row_id, without
 
+#: Kinds of base spans, in the order in which spans of one start are told; secrets are only found by the method.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 
-# The patterns.
+# The patterns of the base rules.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
+# The generators.
 HIDDEN_EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:\x20?@\x20?|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)++"
 IPV6 = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
-DIGITS = r"[+]?[0-9](?:[\x20()./-]{0,2}[0-9]){7,}+"
-CONTEXT = r"(?i)(?:mail|contact|tel|phone|call|fax|mobile|card|visa|iban|account|addr|host)[^A-Za-z0-9]{0,4}$"
-
-#: Characters before a span that are context.
-WINDOW = 24
+DIGITS = r"[+]?[0-9(](?:[\x20()./-]{0,2}[0-9]){7,}+"
+SECRET = r"(?:(?<![A-Za-z0-9_+/=-])|\G)[A-Za-z0-9_+/=-]{20,}+"
+#: Words that speak for a kind, right before it.
+CONTEXT = (
+    r"(?i)(?:e?-?mail|contact|write to|reach)[^A-Za-z0-9]{0,4}(?:(?:is|at|me|us)[^A-Za-z0-9]{1,3})?$",
+    r"(?i)(?<![a-z])(?:ip|addr|address|host|server|from)[^A-Za-z0-9]{0,4}$",
+    r"(?i)(?:card|visa|mastercard|amex|credit|debit|iban|account)(?:[^A-Za-z0-9]{1,2}(?:no|nr|number))?[^A-Za-z0-9]{0,4}$",
+    r"(?i)(?<![a-z])(?:tel|phone|telephone|call|fax|mobile|cell)(?:[^A-Za-z0-9]{1,2}(?:no|nr|number|me at))?[^A-Za-z0-9]{0,4}$",
+    r"(?i)(?:token|key|secret|password|passwd|pwd|credential)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?$",
+)
+#: Characters between a candidate and the match before it that are its context.
+WINDOW = 32
 #: Boosting rounds, depth, learning rate, least weight of a leaf.
-ROUNDS, DEPTH, RATE, LEAF = 24, 3, 0.3, 8.0
-#: Candidates are added from the score on above which this share is confirmed, with this many confirmed at least.
-PRECISION = 0.95
-LEAST_CONFIRMED = 20
-
-#: Feature and its number of values.
-FEATURES = {"k": 4, "nd": 5, "plus": 2, "luhn": 2, "sep": 5, "before": 3, "behind": 3, "ctx": 2}
-
-_TEXT, _BASE, _CANDIDATES = PREFIX + "text", PREFIX + "base", PREFIX + "candidates"
+ROUNDS, DEPTH, RATE, LEAF = 32, 4, 0.3, 4.0
+#: Share of the best block's share of positives that each block over the threshold has, candidates of a block at least (but for a kind with one score), and the positives that a kind needs on either half.
+PRECISION = 0.8
+BLOCK = 3
+LEAST_POSITIVE = 4
+#: The least share of positives in a kind's best block: below it the unlabelled ones say more than the positives.
+LEAST_SHARE = 0.7
+#: What a word of the kind says is known beforehand: the trees see so many positives with it.
+PRIOR = 8.0
+#: A base rule's check passes so often by chance.
+CHANCE = {2: 0.1}
+
+#: The features: kind; number of digits; how it is grouped; its end or issuer; the characters around it; a word of its kind before it.
+FEATURES = ("k", "nd", "grouped", "form", "before", "behind", "ctx")
+
+_M, _TEXT, _SPANS, _BASE = (PREFIX + x for x in ("matches", "text", "spans", "base"))
+#: Patterns with the guard that lets most texts skip the search; those of the base rules come first, IP serves both.
+_PATTERNS = ((EMAIL, "contains({t}, '@')"), (IP, "contains({t}, '.')"), (CARD, "true"), (PHONE, "contains({t}, '+')"),
+    (HIDDEN_EMAIL, "(contains({t}, '@') or contains({t}, '(at)') or contains({t}, '[at]'))"), (IPV6, "contains({t}, ':')"), (DIGITS, "true"), (SECRET, "true"))
 
 
 def _q(pattern: str) -> str:
-    return "r'" + pattern.replace("'", "\\'") + "'"
+    return "r'" + pattern.replace("'", "\\x27").replace('"', "\\x22") + "'"
 
 
-def _spans(text: str, pattern: str, guard: str) -> str:
-    """SQL for the matches of a pattern as ``array<struct<s, e, t>>``, code points; the gaps between matches give their places."""
-    matches, gaps = f"regexp_extract_all({text}, {_q(pattern)}, 0)", f"split({text}, {_q(pattern)}, -1)"
-    none = "cast(array() as array<struct<s:int,e:int,t:string>>)"
-    placed = f"""aggregate(arrays_zip({gaps} as g, {matches} as m), named_struct('at', 0, 'out', {none}),
-      (a, x) -> named_struct('at', a.at + length(x.g) + coalesce(length(x.m), 0), 'out', if(x.m is null, a.out, concat(a.out,
-        array(named_struct('s', a.at + length(x.g), 'e', a.at + length(x.g) + length(x.m), 't', x.m))))), a -> a.out)"""
-    placed = placed.replace(f"arrays_zip({gaps} as g, {matches} as m)", f"transform(arrays_zip({gaps}, {matches}), z -> named_struct('g', z.`0`, 'm', z.`1`))")
-    return f"if({guard}, {placed}, {none})"
-
-
-def _digits(t: str) -> str:
-    return f"regexp_replace({t}, '[^0-9]', '')"
+def _matches(text: str, number: int, pattern: str, guard: str) -> str:
+    """SQL for the matches of a pattern, each with what is needed of the gap before it; a last element has the gap behind."""
+    made = f"struct({number} as p, cast(0 as int) as pos, 0 as g, '' as l, '' as f, cast(null as string) as t)"
+    each = f"struct({number} as p, i as pos, length(z.`0`) as g, right(z.`0`, {WINDOW}) as l, left(z.`0`, 1) as f, z.`1` as t)"
+    found = f"transform(arrays_zip(split({text}, {_q(pattern)}, -1), regexp_extract_all({text}, {_q(pattern)}, 0)), (z, i) -> {each})"
+    return f"if({guard.format(t=text)} and rlike({text}, {_q(pattern)}), {found}, filter(array({made}), x -> false))"
 
 
 def _luhn(t: str) -> str:
     """SQL: 12 to 19 digits pass Luhn's check.  Counted from the right, every second digit counts as its doubled digit sum."""
-    d = f"reverse({_digits(t)})"
-    total = f"aggregate(sequence(1, greatest(1, length({d}))), 0, (a, i) -> a + coalesce(try_cast(if(i % 2 = 1, substr({d}, i, 1), translate(substr({d}, i, 1), '0123456789', '0246813579')) as int), 0))"
-    return f"if(length({_digits(t)}) between 12 and 19, {total} % 10 = 0, false)"
-
-
-def base_spans(text: str) -> str:
-    """SQL for the sorted base spans ``array<struct<s, k, e>>`` of a text column; ``k`` is the place of the kind in ``KINDS``."""
-    n = f"length({_digits('x.t')})"
-    tests = (
-        (EMAIL, f"contains({text}, '@')", "true"),
-        (IP, f"contains({text}, '.')", f"rlike(x.t, {_q(OCTETS)})"),
-        (CARD, "true", _luhn('x.t')),
-        (PHONE, f"contains({text}, '+')", f"{n} between 9 and 15"),
-    )
-    parts = [f"transform(filter({_spans(text, p, guard)}, x -> {test}), x -> named_struct('s', x.s, 'k', {k}, 'e', x.e))" for k, (p, guard, test) in enumerate(tests)]
-    return f"array_sort(concat({', '.join(parts)}))"
-
-
-def candidates(text: str, base: str) -> str:
-    """SQL for the proposed spans with their features and ``hit``, whether a base span of the kind overlaps."""
-    n = f"length({_digits('x.t')})"
-    proposals = (
-        (HIDDEN_EMAIL, f"(contains({text}, '@') or contains({text}, '(at)') or contains({text}, '[at]'))", ((0, "true"),)),
-        (IP, f"contains({text}, '.')", ((1, "true"),)),
-        (IPV6, f"contains({text}, ':')", ((1, "true"),)),
-        (DIGITS, "true", ((2, f"{n} between 12 and 19"), (3, f"{n} between 8 and 15"))),
-    )
-    parts = []
-    for pattern, guard, kinds in proposals:
-        # One search a pattern, whatever the number of kinds that it proposes.
-        each = ", ".join(f"if({test}, array(named_struct('k', {k}, 's', x.s, 'e', x.e, 't', x.t)), cast(array() as array<struct<k:int,s:int,e:int,t:string>>))" for k, test in kinds)
-        parts.append(f"flatten(transform({_spans(text, pattern, guard)}, x -> concat({each})))")
-    kind_of = "case when {c} = '' or {c} rlike '^\\\\s$' then 0 when {c} rlike '^[\\\\p{{L}}\\\\p{{N}}]$' then 1 else 2 end"
-    before, behind = f"if(x.s = 0, '', substr({text}, x.s, 1))", f"substr({text}, x.e + 1, 1)"
-    features = f"""transform(array_distinct(concat({', '.join(parts)})), x -> named_struct('k', x.k, 's', x.s, 'e', x.e,
-      'nd', case when {n} < 9 then 0 when {n} < 12 then 1 when {n} < 16 then 2 when {n} = 16 then 3 else 4 end,
-      'plus', if(startswith(x.t, '+'), 1, 0), 'luhn', if({_luhn('x.t')}, 1, 0),
-      'sep', case when not rlike(x.t, '[^0-9+]') then 0 when not rlike(x.t, r'[^0-9+\\x20]') then 1 when not rlike(x.t, '[^0-9+-]') then 2 when not rlike(x.t, '[^0-9+.]') then 3 else 4 end,
-      'before', {kind_of.format(c=before)}, 'behind', {kind_of.format(c=behind)},
-      'ctx', if(rlike(substr({text}, greatest(1, x.s + 1 - {WINDOW}), least(x.s, {WINDOW})), {_q(CONTEXT)}), 1, 0),
-      'hit', exists({base}, b -> b.k = x.k and b.s < x.e and x.s < b.e)))"""
-    return features
+    d = f"reverse(regexp_replace({t}, '[^0-9]', ''))"
+    total = f"aggregate(sequence(1, least(19, greatest(1, length({d})))), 0, (a, i) -> a + coalesce(try_cast(if(i % 2 = 1, substr({d}, i, 1), translate(substr({d}, i, 1), '0123456789', '0246813579')) as int), 0))"
+    return f"if(length({d}) between 12 and 19, {total} % 10 = 0, false)"
+
+
+def placed(narrow: DataFrame) -> DataFrame:
+    """``(RID, p, t, s, e, l, before, behind)``: every match of every pattern with its place in code points; one exchange by row."""
+    each = narrow.filter(F.size(_M) > 0).select(RID, F.explode(_M).alias("x")).select(RID, "x.*").repartition(RID)
+    by = Window.partitionBy(RID, "p").orderBy("pos")
+    end = F.sum(F.col("g") + F.coalesce(F.length("t"), F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    found = each.withColumn("e", end.cast("int")).withColumn("behind", F.coalesce(F.lead("f").over(by), F.lit("")))
+    found = found.filter(F.col("t").isNotNull())
+    return found.select(RID, "p", "t", (F.col("e") - F.length("t")).alias("s"), "e", "l", F.right("l", F.lit(1)).alias("before"), "behind")
+
+
+def base_of(found: DataFrame) -> DataFrame:
+    """The base spans ``(RID, k, s, e)`` among the matches."""
+    n = F.length(F.regexp_replace("t", "[^0-9]", ""))
+    p = F.col("p")
+    ok = F.when(p == 0, True).when(p == 1, F.col("t").rlike(OCTETS)).when(p == 2, F.expr(_luhn("t"))).when(p == 3, n.between(9, 15)).otherwise(False)
+    return found.filter(ok).select(RID, p.alias("k"), "s", "e")
+
+
+def candidates_of(found: DataFrame) -> DataFrame:
+    """The proposed spans ``(RID, s, e, fold, <FEATURES>)``; a group of digits may be proposed as card and as phone, numbers over 255 are no address."""
+    n = F.length(F.regexp_replace("t", "[^0-9]", ""))
+    both = F.when(n.between(12, 15), F.array(F.lit(2), F.lit(3))).when(n.between(12, 19), F.array(F.lit(2))).when(n.between(8, 15), F.array(F.lit(3))).otherwise(F.array().cast("array<int>"))
+    mixed = F.col("t").rlike("[0-9]") & F.col("t").rlike("[A-Za-z]")
+    kinds = (
+        F.when(F.col("p") == 4, F.array(F.lit(0))).when((F.col("p") == 5) | ((F.col("p") == 1) & F.col("t").rlike(OCTETS)), F.array(F.lit(1))).when(F.col("p") == 6, both).when((F.col("p") == 7) & mixed, F.array(F.lit(4)))
+    )
+    rows = found.withColumn("n", n).withColumn("k", F.explode(kinds))
+    k, t = F.col("k"), F.col("t")
+    digits = F.regexp_replace("t", "[^0-9]", "")
+    near = lambda c: F.when((c == "") | c.rlike(r"^\s$"), 0).when(c.rlike(r"^[\p{L}\p{N}_]$"), 1).otherwise(2)
+    # Of an IP address only the characters around it and the words before it are told: its form is what the base rule tests.
+    nd = F.when(k.isin(0, 1), 0).when(k == 4, F.least(F.floor(F.length("t") / 8), F.lit(8)).cast("int")).when(F.col("n") < 9, 1).when(F.col("n") < 12, 2).when(F.col("n") < 14, 3).when(F.col("n") < 16, 4).when(F.col("n") == 16, 5).otherwise(6)
+    inner = F.regexp_replace("t", r"^[+(]+", "")
+    grouped = F.when(~k.isin(2, 3), 0).when(~inner.rlike("[^0-9]"), 0).when(t.rlike(r"\("), 1).when(inner.rlike(r"^[0-9]{4}(?:[\x20-][0-9]{4})+$"), 2).when(inner.rlike(r"[./]"), 3).otherwise(4)
+    name = F.regexp_extract("t", r"([A-Za-z0-9-]+)$", 1)
+    form = (
+        F.when(k == 0, F.when(name.rlike("(?i)^(?:com|org|net|edu|gov|info|io|co|[a-z]{2})$"), 1).when(name.rlike("^[A-Za-z]{3,6}$"), 2).otherwise(3))
+        .when(k == 2, F.when(digits.rlike("^[3-6]"), digits.substr(1, 1).cast("int")).otherwise(0))
+        .when(k == 4, F.when(t.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 1).when(t.rlike("^[A-Za-z0-9]+$"), 2).otherwise(3))
+        .otherwise(0)
+    )
+    ctx = F.lit(0)
+    for i, pattern in enumerate(CONTEXT):
+        ctx = F.when(k == i, F.col("l").rlike(pattern).cast("int")).otherwise(ctx)
+    # Digits within a longer word or number are no card or telephone.
+    rows = rows.filter(~k.isin(2, 3) | ~F.concat("before", "behind").rlike("[A-Za-z0-9_]"))
+    row = rows.select(RID, "s", "e", F.pmod(F.xxhash64("t"), F.lit(2)).alias("fold"), "k", nd.alias("nd"), grouped.alias("grouped"), form.alias("form"), near(F.col("before")).alias("before"), near(F.col("behind")).alias("behind"), ctx.alias("ctx"))
+    return row.distinct()
+
+
+def with_hits(candidates: DataFrame, base: DataFrame) -> DataFrame:
+    """The candidates, ``ctx`` 0 where a base rule speaks, with ``hit``, whether a base span of their kind overlaps, and ``taken``, whether any does; running maxima of a row's spans."""
+    both = candidates.withColumn("base", F.lit(False)).unionByName(base.withColumn("base", F.lit(True)), allowMissingColumns=True)
+    left = Window.partitionBy(RID).orderBy("s").rangeBetween(Window.unboundedPreceding, 0)
+    right = Window.partitionBy(RID).orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)
+    over = []
+    for i in range(len(KINDS)):
+        own = F.col("base") & (F.col("k") == i)
+        over.append((F.max(F.when(own, F.col("e"))).over(left), F.min(F.when(own, F.col("s"))).over(right)))
+    marked = both.select("*", *[x.alias(f"{side}{i}") for i, pair in enumerate(over) for side, x in zip("lr", pair, strict=True)]).filter(~F.col("base"))
+    meets = [F.coalesce((F.col(f"l{i}") > F.col("s")) | (F.col(f"r{i}") < F.col("e")), F.lit(False)) for i in range(len(KINDS))]
+    hit = F.lit(False)
+    for i, m in enumerate(meets):
+        hit = F.when(F.col("k") == i, m).otherwise(hit)
+    taken = meets[0]
+    for m in meets[1:]:
+        taken = taken | m
+    marked = marked.withColumn("hit", hit).withColumn("ctx", F.when(F.col("hit"), 0).otherwise(F.col("ctx")))
+    return marked.select(RID, "s", "e", "fold", *FEATURES, "hit", taken.alias("taken"))
 
 
 class Tree:
@@ -152,67 +210,93 @@ class Tree:
         return f"if({row}.{self.test[0]} = {self.test[1]}, {self.yes.sql(row)}, {self.no.sql(row)})"
 
 
-def boost(table: Iterable[tuple[dict, int, int]]) -> tuple[list[Tree], dict[int, float]]:
-    """Trees for the log-odds that a base rule confirms, from ``(features, confirmed, all)``, and the calibrated threshold of each kind."""
-    from math import exp
-
-    rows = sorted(table, key=lambda r: sorted(r[0].items()))
-    score, trees = [0.0] * len(rows), []
+def boost(table: Iterable[tuple[dict, int, float, float]]) -> tuple[list[Tree], dict[int, float]]:
+    """Trees for the log-odds of a positive, grown on fold 0 of ``(features, fold, positives, all)``, and each kind's threshold, calibrated on fold 1."""
+    rows = sorted(table, key=lambda r: (r[1], sorted(r[0].items())))
+    prior = [(dict.fromkeys(FEATURES, -1) | {"k": k, "ctx": 1}, 0, PRIOR, PRIOR) for k in range(len(ALL_KINDS))]
+    grow = [r for r in rows if r[1] == 0] + prior
+    score, trees = [0.0] * len(grow), []
     for _ in range(ROUNDS):
         work = []
-        for (f, hit, n), s in zip(rows, score, strict=True):
+        for (f, _fold, hit, n), s in zip(grow, score, strict=True):
             p = 1 / (1 + exp(-s))
             work.append((f, n * p - hit, n * p * (1 - p), float(n)))
         if not work:
             break
         trees.append(Tree(work, DEPTH))
-        score = [s + RATE * trees[-1](f) for (f, _, _), s in zip(rows, score, strict=True)]
+        score = [s + RATE * trees[-1](f) for (f, *_), s in zip(grow, score, strict=True)]
     thresholds = {}
-    for k in range(len(KINDS)):
-        own = sorted(((s, hit, n) for (f, hit, n), s in zip(rows, score, strict=True) if f["k"] == k), reverse=True)
-        hits = total = 0
-        for i, (s, hit, n) in enumerate(own):
-            hits, total = hits + hit, total + n
-            last = i + 1 == len(own) or own[i + 1][0] < s
-            if last and hits >= LEAST_CONFIRMED and hits >= PRECISION * total:
-                thresholds[k] = s - 1e-9
+    for k in range(len(ALL_KINDS)):
+        grown = sum(hit for f, fold, hit, _ in rows if fold == 0 and f["k"] == k)
+        levels: dict[float, list[float]] = {}
+        for f, fold, hit, n in rows:
+            if fold == 1 and f["k"] == k:
+                x = levels.setdefault(round(RATE * sum(t(f) for t in trees), 9), [0.0, 0.0])
+                x[0], x[1] = x[0] + hit, x[1] + n
+        if grown < LEAST_POSITIVE or sum(x[0] for x in levels.values()) < LEAST_POSITIVE:
+            continue
+        best = hits = total = 0.0
+        for s in sorted(levels, reverse=True):
+            hits, total = hits + levels[s][0], total + levels[s][1]
+            if total < BLOCK and len(levels) > 1:
+                continue
+            best = max(best, hits / total)
+            if hits < PRECISION * best * total or best < LEAST_SHARE:
+                break
+            thresholds[k], hits, total = s - 1e-6, 0.0, 0.0
     return trees, thresholds
 
 
 def find_private(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every row of ``docs`` without its text, with ``base`` and ``spans``, sorted ``array<struct<s, k, e>>``.
 
-    Places are code points, the end exclusive; ``k`` counts in ``KINDS``.  ``spans``
-    holds all of ``base`` and the added candidates that overlap no base span.  Null
-    text counts as empty and has no spans.  Repeated rows get the same spans.  Without
-    candidates, nothing is added; an empty table gives an empty table; input columns
-    named like an output are replaced.
+    Places are code points, the end exclusive; ``k`` counts in ``ALL_KINDS``.  ``spans``
+    holds all of ``base`` and the added candidates, which overlap no base span.  Null
+    text counts as empty and has no spans.  Repeated rows get the same spans.  Of a kind
+    with fewer than ``LEAST_POSITIVE`` positives on either half of the rows nothing is
+    added; an empty table gives an empty table; input columns named like an output are
+    replaced.
     """
     scratch = Scratch(docs.sparkSession, "private")
     rows = without(docs, "base", "spans")
     names = [f"`{c}`" for c in rows.columns if c != text]
-    found = rows.withColumn(_TEXT, text_or_empty(text)).withColumn(_BASE, F.expr(base_spans(_TEXT)))
-    found = found.withColumn(_CANDIDATES, F.expr(candidates(_TEXT, _BASE)))
-    found = scratch.save(found.select(*names, _BASE, _CANDIDATES), "candidates")
-    each = found.select(F.explode(_CANDIDATES).alias("c")).select("c.*")
-    counts = each.groupBy(*FEATURES).agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("n")).collect()  # the product of FEATURES at most
-    trees, thresholds = boost([({f: r[f] for f in FEATURES}, r.hits, r.n) for r in counts])
-    if not trees or not thresholds:
-        return found.select(*names, F.col(_BASE).alias("base"), F.col(_BASE).alias("spans"))
-    score = f"{RATE}D * (" + " + ".join(t.sql("x") for t in trees) + ")"
-    least = "case x.k " + " ".join(f"when {k} then {v!r}D" for k, v in thresholds.items()) + " end"
-    added = f"filter({_CANDIDATES}, x -> not x.hit and not exists({_BASE}, b -> b.s < x.e and x.s < b.e) and coalesce({score} >= {least}, false))"
-    added = f"transform({added}, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"
-    return found.select(*names, F.col(_BASE).alias("base"), F.expr(f"array_sort(concat({_BASE}, {added}))").alias("spans"))
+    arrays = F.expr("concat(" + ", ".join(_matches(_TEXT, i, p, g) for i, (p, g) in enumerate(_PATTERNS)) + ")")
+    narrow = with_row_id(scratch, rows.withColumn(_TEXT, text_or_empty(text)).select(*names, arrays.alias(_M)), "matches")
+    found = scratch.save(placed(narrow), "places")
+    base = base_of(found)
+    hits = scratch.save(with_hits(candidates_of(found), base), "candidates")
+    # Positives: a base rule of the kind or a word of the kind.  The half of a candidate goes by its text, so its copies are of one half.
+    positive = F.col("hit") | (F.col("ctx") == 1)
+    counts = hits.groupBy(*FEATURES, "fold").agg(F.count_if(positive).alias("hits"), F.count_if(F.col("ctx") == 1).alias("named"), F.count(F.lit(1)).alias("n"))
+    table = []
+    for r in counts.collect():  # two folds of the product of the features' values at most
+        chance = CHANCE.get(r.k, 0.0)
+        lucky = chance * (r.n - r.named)
+        table.append(({f: r[f] for f in FEATURES}, r.fold, max(0.0, r.hits - lucky) / (1 - chance) if r.hits < r.n else float(r.hits), float(r.n)))
+    trees, thresholds = boost(table)
+    spans = base.select(RID, "s", "k", "e", F.lit(True).alias("base"))
+    if trees and thresholds:
+        score = f"{RATE}D * (" + " + ".join(t.sql("x") for t in trees) + ")"
+        least = "case k " + " ".join(f"when {k} then {v!r}D" for k, v in thresholds.items()) + " end"
+        added = hits.filter(~F.col("taken")).withColumn("x", F.struct(*FEATURES)).filter(F.expr(f"coalesce({score} >= {least}, false)"))
+        spans = spans.unionAll(added.select(RID, "s", "k", "e", F.lit(False)).distinct())
+    one = F.struct("s", "k", "e")
+    per = spans.groupBy(F.col(RID).alias(RID + "_")).agg(F.array_sort(F.collect_list(F.when(F.col("base"), one))).alias(_BASE), F.array_sort(F.collect_list(one)).alias(_SPANS))
+    joined = narrow.drop(_M).join(scratch.save(per, "spans"), F.col(RID) == F.col(RID + "_"), "left")
+    none = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
+    return joined.select(*names, F.coalesce(_BASE, none).alias("base"), F.coalesce(_SPANS, none).alias("spans"))
 
 
 def told(spans: str) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
-    kind = "element_at(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), x.k + 1)"
+    kind = "element_at(array(" + ", ".join(f"'{k}'" for k in ALL_KINDS) + "), x.k + 1)"
     return F.expr(f"array_join(transform({spans}, x -> concat({kind}, ':', x.s, ':', x.e)), ',')")
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """The contract's columns, ``n_found`` (all spans, secrets too) and ``secrets``; ``spans`` has the kinds of the contract."""
     found = find_private(docs.select("doc_id", "text"))
+    found = found.withColumn("listed", F.expr(f"filter(spans, x -> x.k < {len(KINDS)})")).withColumn("hidden", F.expr(f"filter(spans, x -> x.k >= {len(KINDS)})"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {k})) as bigint)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told("spans").alias("spans"))
+    sha = F.sha2(told("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, sha, told("listed").alias("spans"), F.size("spans").cast("long").alias("n_found"), told("hidden").alias("secrets"))
