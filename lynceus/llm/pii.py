@@ -13,8 +13,8 @@ what a base rule tests (the sign ``@``, the plus, Luhn's digit, the form and ran
 IP address), so what merely lacks it scores like its confirmed neighbours.  On the half
 of the candidates that the trees were not grown on, a threshold for each kind is
 calibrated: going down from the highest scores, each block of candidates must have
-``PRECISION`` of the best block's share of positives.  Luhn's check passes one number in ten by chance,
-which is taken off first.
+``PRECISION`` of the best block's share of positives.  Every card passes Luhn's check,
+so digits that fail it are proposed as a card only behind a word for one.
 
 The text is scanned once.  Each match becomes a row with the length of the gap before
 it; places are running sums of a document's rows, and whether a base span overlaps is a
@@ -74,8 +74,6 @@ LEAST_POSITIVE = 4
 LEAST_SHARE = 0.7
 #: What a word of the kind says is known beforehand: the trees see so many positives with it.
 PRIOR = 8.0
-#: A base rule's check passes so often by chance.
-CHANCE = {2: 0.1}
 
 #: The features: kind; number of digits; how it is grouped; its end or issuer; the characters around it; a word of its kind before it.
 FEATURES = ("k", "nd", "grouped", "form", "before", "behind", "ctx")
@@ -151,8 +149,8 @@ def candidates_of(found: DataFrame) -> DataFrame:
         ctx = F.when(k == i, F.col("l").rlike(pattern).cast("int")).otherwise(ctx)
     # Digits within a longer word or number are no card or telephone.
     rows = rows.filter(~k.isin(2, 3) | ~F.concat("before", "behind").rlike("[A-Za-z0-9_]"))
-    row = rows.select(RID, "s", "e", F.pmod(F.xxhash64("t"), F.lit(2)).alias("fold"), "k", nd.alias("nd"), grouped.alias("grouped"), form.alias("form"), near(F.col("before")).alias("before"), near(F.col("behind")).alias("behind"), ctx.alias("ctx"))
-    return row.distinct()
+    row = rows.select(RID, "s", "e", F.pmod(F.xxhash64("t"), F.lit(2)).alias("fold"), "k", nd.alias("nd"), grouped.alias("grouped"), form.alias("form"), near(F.col("before")).alias("before"), near(F.col("behind")).alias("behind"), ctx.alias("ctx"), "t")
+    return row.filter((F.col("k") != 2) | (F.col("ctx") == 1) | F.expr(_luhn("t"))).drop("t").distinct()
 
 
 def with_hits(candidates: DataFrame, base: DataFrame) -> DataFrame:
@@ -267,13 +265,9 @@ def find_private(docs: DataFrame, text: str = "text") -> DataFrame:
     hits = scratch.save(with_hits(candidates_of(found), base), "candidates")
     # Positives: a base rule of the kind or a word of the kind.  The half of a candidate goes by its text, so its copies are of one half.
     positive = F.col("hit") | (F.col("ctx") == 1)
-    counts = hits.groupBy(*FEATURES, "fold").agg(F.count_if(positive).alias("hits"), F.count_if(F.col("ctx") == 1).alias("named"), F.count(F.lit(1)).alias("n"))
-    table = []
-    for r in counts.collect():  # two folds of the product of the features' values at most
-        chance = CHANCE.get(r.k, 0.0)
-        lucky = chance * (r.n - r.named)
-        table.append(({f: r[f] for f in FEATURES}, r.fold, max(0.0, r.hits - lucky) / (1 - chance) if r.hits < r.n else float(r.hits), float(r.n)))
-    trees, thresholds = boost(table)
+    counts = hits.groupBy(*FEATURES, "fold").agg(F.count_if(positive).alias("hits"), F.count(F.lit(1)).alias("n"))
+    # Two folds of the product of the features' values at most.
+    trees, thresholds = boost([({f: r[f] for f in FEATURES}, r.fold, float(r.hits), float(r.n)) for r in counts.collect()])
     spans = base.select(RID, "s", "k", "e", F.lit(True).alias("base"))
     if trees and thresholds:
         score = f"{RATE}D * (" + " + ".join(t.sql("x") for t in trees) + ")"
