@@ -4,12 +4,12 @@ Vectors are compared only within one label (and one length).  Unit vectors with
 cosine of t or more lie within eps = sqrt(2 - 2t) of each other, so:
 
 * equal vectors become one row with a multiplicity (map-side aggregate);
-* pivots of each label, chosen by hash, partition its vectors by nearest pivot;
+* pivots of each label, the smallest hashes of a few drawn by hash, partition its vectors by nearest pivot;
 * a vector v of cell j is replicated to an earlier cell i only if the triangle
   inequality lets a vector of that cell lie within eps: d(v, p_i) <= d(v, p_j) + 2 eps;
 * each cell is cut into chunks, and every pair of chunks is one task-sized unit, so a
-  cell of any size joins in bounded memory.  A unit is one matrix product in double
-  precision.
+  cell of any size joins in bounded memory; a vector is moved once for each chunk of its
+  cell.  A unit is a few matrix products in double precision.
 
 A unit returns, for each vector, its number of links and one link of a spanning
 forest, never all pairs.  In high dimensions distances concentrate and the bound
@@ -30,14 +30,20 @@ from lynceus.llm.common import PREFIX, RID, Scratch, with_row_id, without
 from lynceus.llm.components import components
 
 THRESHOLD = 0.93
-#: Vectors of a label for each pivot, most pivots of a label, vectors of a chunk and of an assigning task.
+#: Vectors of a label for each pivot, most pivots of a label, most vectors of a chunk, vectors of an assigning task.
 CELL = 4096
 MOST_PIVOTS = 256
-CHUNK = 2048
+CHUNK = 8192
 ASSIGN = 65536
+#: Pivots are the vectors of the smallest hashes among so many drawn for each of them; none is drawn with a chance of e ** -64.
+DRAWN = 64
+#: Components of a chunk at most, and products of a unit held at a time.
+CHUNK_NUMBERS, SLAB = 1 << 20, 1 << 23
 #: Distances are rounded: so much more than the bound is replicated.
 SLACK = 1e-6
 
+_ROW, _TOP, _LINKS = PREFIX + "row", PREFIX + "top", PREFIX + "links"
+
 
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -68,14 +74,18 @@ def _join(threshold: float):
         node, m = table.column("node").to_numpy(), table.column("m").to_numpy()
         own, chunk = table.column("own").to_numpy(zero_copy_only=False), table.column("chunk").to_numpy()
         left, right = np.flatnonzero(chunk == c), np.flatnonzero(chunk == d)
-        link = v[left] @ v[right].T >= threshold
-        link &= own[left][:, None] | own[right][None, :]
+        link = np.zeros((len(left), len(right)), bool)
+        slab = max(1, SLAB // max(1, len(right)))
+        for i in range(0, len(left), slab):
+            link[i : i + slab] = v[left[i : i + slab]] @ v[right].T >= threshold
+            link[i : i + slab] &= own[left[i : i + slab]][:, None] | own[right][None, :]
         if c == d:
             np.fill_diagonal(link, False)
         n = np.zeros(len(node), np.int64)
-        n[left] += link @ m[right]
+        some, other = np.nonzero(link.any(axis=1))[0], np.nonzero(link.any(axis=0))[0]
+        n[left[some]] += link[some] @ m[right]
         if c != d:
-            n[right] += link.T @ m[left]
+            n[right[other]] += link[:, other].T @ m[left]
         parent = np.arange(len(node))
         todo = set(np.flatnonzero(n).tolist())
         at_left, at_right = {int(x): i for i, x in enumerate(left)}, {int(x): i for i, x in enumerate(right)}
@@ -118,12 +128,13 @@ def vector_dedup(vectors: DataFrame, vector: str = "embedding", label: str = "la
     usable = usable.select(F.col(RID).alias("rid"), F.col(vec_id).alias("id"), F.col(label).cast("string").alias("cls"), F.size(vector).alias("dim"), doubles.alias("v"))
     nodes = usable.groupBy("cls", "dim", "v").agg(F.min("rid").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("m"))
     nodes = scratch.save(nodes, "nodes")
-    order = F.xxhash64("v", "node")
-    sizes = nodes.groupBy("cls", "dim").agg(F.count(F.lit(1)).alias("n"))
-    counted = nodes.select("cls", "dim", "node", "v", order.alias("h")).join(sizes, ["cls", "dim"])
+    sizes = scratch.save(nodes.groupBy("cls", "dim").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    # Few vectors of a label are drawn by hash before any are ranked, so no task sorts a label.
+    many = F.least(F.ceil(F.col("n") / CELL), F.lit(MOST_PIVOTS))
+    place = F.shiftrightunsigned(F.xxhash64("v", "node"), 11) / F.lit(float(1 << 53))
+    drawn = nodes.select("cls", "dim", "node", "v", place.alias("h")).join(sizes, ["cls", "dim"]).filter(F.col("h") < DRAWN * many / F.col("n"))
     rank = F.row_number().over(Window.partitionBy("cls", "dim").orderBy("h", "node"))
-    pivots = counted.withColumn("pivot", rank).filter(F.col("pivot") <= MOST_PIVOTS)
-    pivots = pivots.filter(F.col("pivot") <= F.ceil(F.col("n") / CELL))
+    pivots = drawn.withColumn("pivot", rank).filter(F.col("pivot") <= many)
     salts = F.ceil(F.col("n") / ASSIGN).cast("int")
     pivots = pivots.select("cls", "dim", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "pivot", "v")
     pivots = scratch.save(pivots, "pivots")
@@ -131,7 +142,8 @@ def vector_dedup(vectors: DataFrame, vector: str = "embedding", label: str = "la
     by = ("cls", "dim", "salt")
     placed = salted.groupBy(*by).cogroup(pivots.groupBy(*by)).applyInArrow(_assign(eps), "cls string, dim int, node long, m long, v array<double>, cell int, own boolean")
     placed = scratch.save(placed, "placed")
-    cells = placed.groupBy("cls", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    chunk = F.least(F.lit(CHUNK), F.greatest(F.lit(64), F.lit(CHUNK_NUMBERS) / F.col("dim")))
+    cells = placed.groupBy("cls", "dim", "cell").agg(F.count(F.lit(1)).alias("n")).select("cls", "dim", "cell", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     dealt = placed.join(cells, ["cls", "dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     units = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least("chunk", x).alias("c"), F.greatest("chunk", x).alias("d")))
     dealt = dealt.withColumn("unit", F.explode(units)).select("cls", "dim", "cell", "unit.c", "unit.d", "chunk", "node", "m", "own", "v")
@@ -141,14 +153,14 @@ def vector_dedup(vectors: DataFrame, vector: str = "embedding", label: str = "la
     roots = components(scratch, found.filter("a <> b").select("a", "b"))
     known = nodes.select("cls", "dim", "v", "node", "least", "m").join(degree, "node", "left").join(roots, "node", "left")
     known = scratch.save(known.withColumn("component", F.coalesce("component", "node")), "known")
-    top = known.groupBy("component").agg(F.min("least").alias("top"))
-    label_of = scratch.save(known.join(top, "component").select("cls", "dim", "v", "top", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links")), "labels")
-    mine = usable.join(label_of, ["cls", "dim", "v"]).select(F.col("rid").alias(PREFIX + "r"), "top", "links")
-    joined = base.join(mine, F.col(RID) == F.col(PREFIX + "r"), "left")
-    component = F.when(F.col(PREFIX + "r").isNull(), F.col(vec_id)).otherwise(F.col("top"))
+    top = known.groupBy("component").agg(F.min("least").alias(_TOP))
+    label_of = scratch.save(known.join(top, "component").select("cls", "dim", "v", _TOP, (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias(_LINKS)), "labels")
+    mine = usable.join(label_of, ["cls", "dim", "v"]).select(F.col("rid").alias(_ROW), _TOP, _LINKS)
+    joined = base.join(mine, F.col(RID) == F.col(_ROW), "left")
+    component = F.when(F.col(_ROW).isNull(), F.col(vec_id)).otherwise(F.col(_TOP))
     return joined.select(
         *[f"`{c}`" for c in rows.columns],
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(_LINKS, F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col(vec_id) == component, F.lit(False)).alias("kept"),
     )

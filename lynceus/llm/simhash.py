@@ -37,6 +37,7 @@ FINE_BLOCKS = 16
 STEP = 1 << 15
 
 FP = PREFIX + "fp"
+_ROOT, _KEEPER, _LEAST, _TOP = (PREFIX + x for x in ("root", "keeper", "least", "top"))
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -174,23 +175,23 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = without(docs, "fingerprint", "component_id", "kept")
     base = with_row_id(scratch, with_fingerprint(rows, text, words, keep_text))
-    own = F.col(doc_id)
+    own = F.col(f"`{doc_id}`")
     keeper = F.coalesce(F.min_by(F.col(RID), own), F.min(RID))
-    nodes = scratch.save(base.groupBy(FP).agg(F.min(own).alias("least"), keeper.alias("keeper")), "nodes")
+    nodes = scratch.save(base.groupBy(FP).agg(F.min(own).alias(_LEAST), keeper.alias(_KEEPER)), "nodes")
     found = components(scratch, links(scratch, nodes.select(FP), distance))
-    found = found.withColumnsRenamed({"node": FP, "component": "root"})
-    labelled = nodes.join(found, FP, "left").withColumn("root", F.coalesce("root", FP))
+    found = found.withColumnsRenamed({"node": FP, "component": _ROOT})
+    labelled = nodes.join(found, FP, "left").withColumn(_ROOT, F.coalesce(_ROOT, FP))
     labelled = scratch.save(labelled, "labelled")
-    top = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.coalesce(F.min_by("keeper", "least"), F.min("keeper")).alias("keeper"))
-    label = labelled.select(F.col(FP).alias(FP + "_"), "root").join(scratch.save(top, "top"), "root").select(FP + "_", "component_id", "keeper")
+    top = labelled.groupBy(_ROOT).agg(F.min(_LEAST).alias(_TOP), F.coalesce(F.min_by(_KEEPER, _LEAST), F.min(_KEEPER)).alias(_KEEPER))
+    label = labelled.select(F.col(FP).alias(FP + "_"), _ROOT).join(scratch.save(top, "top"), _ROOT).select(FP + "_", _TOP, _KEEPER)
     label = scratch.save(label, "label")
     joined = base.join(label, F.col(FP) == F.col(FP + "_"))
     names = [f"`{c}`" for c in rows.columns if keep_text or c != text]
     return joined.select(
         *names,
         F.lpad(F.lower(F.hex(FP)), 16, "0").alias("fingerprint"),
-        "component_id",
-        (F.col(RID) == F.col("keeper")).alias("kept"),
+        F.col(_TOP).alias("component_id"),
+        (F.col(RID) == F.col(_KEEPER)).alias("kept"),
     )
 
 
