@@ -37,7 +37,8 @@ def line_dedup(docs: DataFrame, text: str = "text", site: str = "source", min_si
     are compared without white space at either end.  Null text stays null and has no
     lines; a null site counts as no site; repeated rows add nothing to a line's sites.
     An empty table gives an empty table; input columns named like an output are
-    replaced.
+    replaced.  Lines are told apart by 128 bits of two hashes: among 10 ** 13 different
+    lines two agree with a chance of 2e-13.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = without(docs, "n_lines", "n_removed")
@@ -61,7 +62,8 @@ def line_dedup(docs: DataFrame, text: str = "text", site: str = "source", min_si
     hits = lines.join(boilerplate, ["k1", "k2"], "left_semi").groupBy(F.col(RID).alias(RID + "_")).agg(F.collect_list("pos").alias(_HITS))
     joined = base.join(scratch.save(hits, "hits"), F.col(RID) == F.col(RID + "_"), "left")
     joined = joined.withColumn(_LINES, F.split(F.col(text).cast("string"), "\n", -1))
-    kept = F.expr(f"filter({_LINES}, (x, i) -> NOT array_contains({_HITS}, i))")
+    # The places that stay are a set difference, so a text of many lines is linear work; the list is bound once.
+    kept = F.expr(f"element_at(transform(array({_LINES}), ls -> transform(array_except(sequence(0, size(ls) - 1), {_HITS}), i -> ls[i])), 1)")
     cleaned = F.when(F.col(_HITS).isNull(), F.col(text).cast("string")).otherwise(F.concat_ws("\n", kept))
     names = [cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns]
     count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")

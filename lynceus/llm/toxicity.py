@@ -209,14 +209,19 @@ def fit(sample: Sample, features: list[int], q: np.ndarray) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", sample: int = SAMPLE) -> Model:
-    """The model from a bounded sample of the labelled rows outside the held-out fifth, chosen by hash of the id.
+    """The model from ``sample`` labelled rows at most outside the held-out fifth, chosen by hash of the id.
 
-    Rows with a null label or id are left out; without any, every text scores 0.5.
+    Rows with a null label or id, and texts over ``SAMPLE_CHARS``, are left out before the
+    sample is drawn; repeated rows count once.  Without any row, every text scores 0.5.
     """
     ids = labels.select(F.col(doc_id).alias("i"), F.col(toxic).cast("int").alias("y")).filter(F.col("i").isNotNull() & F.col("y").isNotNull() & ~held_out("i"))
-    ids = ids.orderBy(F.xxhash64("i"), "i", "y").limit(sample)
     texts = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
-    got = sorted(texts.join(F.broadcast(ids), "i").collect(), key=lambda r: (str(r.i), r.t, r.y))
+    texts = texts.withColumn("h", F.xxhash64("t"))
+    # Ids and hashes are ranked, without the texts; repeated rows are one.
+    keys = texts.select("i", "h").join(ids, "i").distinct().orderBy(F.xxhash64("i"), "i", "h", "y").limit(sample)
+    keys = docs.sparkSession.createDataFrame(keys.collect(), keys.schema)
+    got = texts.join(F.broadcast(keys), ["i", "h"]).groupBy("i", "h", "y").agg(F.min("t").alias("t")).collect()  # ``sample`` rows at most
+    got = sorted(got, key=lambda r: (str(r.i), r.t, r.y))
     if not got:
         return Model({}, [0.0] * len(PATTERNS), 0.0)
     y = np.array([int(r.y > 0) for r in got])

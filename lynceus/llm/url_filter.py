@@ -3,10 +3,14 @@
 Every listed string (a rule's host and path, or a blocked host) has one 64-bit xxhash
 key.  The keys are sorted and written to one file with the full strings behind them;
 the file is sent to each executor once and memory-mapped, so all workers of a machine
-share its pages.  A batch of urls becomes a flat array of probes (each host suffix
-with each path prefix of a listed length), which one vectorised binary search looks
-up; hits are confirmed against the full strings, so a collision of digests changes
-nothing.
+share its pages.  A batch of urls becomes a flat array of probes (each host suffix of a
+listed number of labels with each path prefix of a listed length), which one vectorised
+binary search looks up; hits are confirmed against the full strings, so a collision of
+digests changes nothing.
+
+A list over ``LARGEST_FILE`` bytes isn't sent: it is cut by ranges of the digests into
+shards of that size at most, the probes are shuffled to the shard of their digest, and
+each task searches the sorted array of one shard.  Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -24,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm.common import without
+from lynceus.llm.common import PREFIX, RID, Scratch, with_row_id, without
 
 #: (verdict, host, path) of the query's rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -33,11 +38,14 @@ BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets
 BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in BLOCKED_NAMES for top in ("com", "net", "org"))
 #: Verdict where nothing fits.
 DEFAULT = "allow"
-#: The array goes to every executor, so it may not be larger than this.
-LARGEST_FILE = 2 << 30
+#: The array goes to every executor, so a larger list is searched in shards.
+LARGEST_FILE = 256 << 20
+#: Tasks that share a shard's probes.
+SALTS = 8
 SEED = 0
 
 _ALLOW, _BLOCK, _HOST = 0, 1, 2
+_BEST, _LISTED = PREFIX + "best", PREFIX + "listed"
 
 
 def host_of(url: str) -> Column:
@@ -51,35 +59,70 @@ def path_of(url: str) -> Column:
     return F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def write_array(rules, hosts, folder: str) -> tuple[str, list[int]]:
-    """The file of the digest array, named by its content, and the lengths of paths in it."""
+def entries(rules, hosts) -> dict[str, int]:
+    """Each listed string once with its kind; a rule goes before a listed host."""
     listed = {h.lower() + p: _ALLOW if v == "allow" else _BLOCK for v, h, p in rules}
     for h in hosts:
         listed.setdefault(h.lower(), _HOST)
-    rows = sorted((xxhash.xxh64_intdigest(s.encode(), SEED), s.encode(), kind) for s, kind in listed.items())
+    return listed
+
+
+def array_bytes(listed: Iterable[tuple[str, int]]) -> bytes:
+    """The sorted digest array: the number of entries, digests, ends of the strings, kinds, strings."""
+    rows = sorted((xxhash.xxh64_intdigest(s.encode(), SEED), s.encode(), kind) for s, kind in listed)
     digests = np.array([r[0] for r in rows], "<u8")
     ends = np.cumsum([0, *(len(r[1]) for r in rows)]).astype("<u8")
     kinds = np.array([r[2] for r in rows], "u1")
-    content = np.uint64(len(rows)).tobytes() + digests.tobytes() + ends.tobytes() + kinds.tobytes() + b"".join(r[1] for r in rows)
-    if len(content) > LARGEST_FILE:
-        raise ValueError(f"the digest array has {len(content)} bytes; {LARGEST_FILE} at most can be sent to every executor")
+    return np.uint64(len(rows)).tobytes() + digests.tobytes() + ends.tobytes() + kinds.tobytes() + b"".join(r[1] for r in rows)
+
+
+def write_array(rules, hosts, folder: str) -> tuple[str, Shapes]:
+    """The file of the digest array, named by its content, and what probes can be in it."""
+    content = array_bytes(entries(rules, hosts).items())
     name = f"urls-{hashlib.sha256(content).hexdigest()[:24]}.digests"
     with open(os.path.join(folder, name), "wb") as f:
         f.write(content)
-    return os.path.join(folder, name), sorted({len(p) for _, _, p in rules} | ({0} if hosts else set()))
+    return os.path.join(folder, name), Shapes.of(rules, hosts)
+
+
+@dataclass(frozen=True)
+class Shapes:
+    """The numbers of labels of listed hosts and the lengths of listed paths: no other probe can hit."""
+
+    labels: tuple[int, ...]
+    lengths: tuple[int, ...]
+
+    @classmethod
+    def of(cls, rules, hosts) -> Shapes:
+        labels = {h.count(".") + 1 for _, h, _ in rules} | {h.count(".") + 1 for h in hosts}
+        return cls(tuple(sorted(labels)), tuple(sorted({len(p) for _, _, p in rules} | ({0} if hosts else set()))))
+
+    def probes(self, host: str, path: str) -> Iterator[tuple[bytes, int]]:
+        """Each probe with the length of its host.  A host of any number of labels is cut once for each listed number."""
+        starts = [path[:n] for n in self.lengths if n <= len(path)]
+        for n in self.labels if host else ():
+            parts = host.rsplit(".", n)
+            if len(parts) < n:
+                continue
+            suffix = ".".join(parts[-n:])
+            for start in starts:
+                yield (suffix + start).encode("utf-8", "replace"), len(suffix)
 
 
 class DigestArray:
     """The mapped file; ``find`` gives the place of each probe or -1."""
 
-    def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
+    def __init__(self, raw: np.ndarray):
         n = int(raw[:8].view("<u8")[0])
         self.digests = raw[8 : 8 + 8 * n].view("<u8")
         self.ends = raw[8 + 8 * n : 16 + 16 * n].view("<u8")
         self.kinds = raw[16 + 16 * n : 16 + 17 * n]
         self.strings = raw[16 + 17 * n :]
 
+    @classmethod
+    def mapped(cls, path: str) -> DigestArray:
+        return cls(np.memmap(path, np.uint8, "r"))
+
     def find(self, probes: list[bytes]) -> np.ndarray:
         digest = xxhash.xxh64_intdigest
         keys = np.fromiter((digest(p, SEED) for p in probes), np.uint64, len(probes))
@@ -96,18 +139,19 @@ class DigestArray:
         return found
 
 
-def _suffixes(host: str) -> list[str]:
-    parts = host.split(".")
-    return [".".join(parts[i:]) for i in range(len(parts))] if host else []
-
-
 @cache
 def _driver_folder() -> str:
     """One folder of the driver's for all arrays: the same array is the same file again, which Spark accepts; executors get it from the driver."""
     return tempfile.mkdtemp(prefix="lynceus-urls-")
 
 
-def judge(pages: DataFrame, rules=RULES, hosts=BLOCKED_HOSTS, url: str = "url", default: str = DEFAULT) -> DataFrame:
+def _verdicts(best: list, blocked: list[bool], default: str) -> tuple[list, list]:
+    """Rule and verdict of each row from ``(length, host length, kind, rule)`` of its best rule, or None."""
+    rule = [x[3] if x else None for x in best]
+    return rule, [("block" if x[2] == _BLOCK else "allow") if x else "block" if listed else default for x, listed in zip(best, blocked, strict=True)]
+
+
+def judge(pages: DataFrame, rules=RULES, hosts=BLOCKED_HOSTS, url: str = "url", default: str = DEFAULT, largest: int | None = None) -> DataFrame:
     """Every row of ``pages`` with ``host, path, rule, verdict``.
 
     The rule is the longest that fits, host and path together; of equally long ones
@@ -115,45 +159,81 @@ def judge(pages: DataFrame, rules=RULES, hosts=BLOCKED_HOSTS, url: str = "url",
     ``block`` for a listed host or a subdomain of one, else ``default``.  Null urls and
     those without `://` have empty host and path and fit nothing.  Repeated rows get
     the same verdict; an empty table gives an empty table; input columns named like an
-    output are replaced.
+    output are replaced.  A list of more than ``largest`` bytes is searched in shards.
     """
     spark: SparkSession = pages.sparkSession
-    file, lengths = write_array(rules, hosts, _driver_folder())
-    name = os.path.basename(file)
-    spark.sparkContext.addFile(file)
+    listed = entries(rules, hosts)
     rows = without(pages, "host", "path", "rule", "verdict")
     rows = rows.withColumn("host", host_of(url)).withColumn("path", path_of(url))
+    size, largest = sum(len(s.encode()) + 17 for s in listed), largest or LARGEST_FILE
+    if size > largest:
+        return _judge_in_shards(rows, listed, Shapes.of(rules, hosts), -(-size // largest), default)
+    file, shapes = write_array(rules, hosts, _driver_folder())
+    name = os.path.basename(file)
+    spark.sparkContext.addFile(file)
     names = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     h_at, p_at = len(names) - 2, len(names) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = DigestArray(SparkFiles.get(name))
+        array = DigestArray.mapped(SparkFiles.get(name))
         for b in batches:
             probes, owner, host_len = [], [], []
             for i, (host, path) in enumerate(zip(b.column(h_at).to_pylist(), b.column(p_at).to_pylist(), strict=True)):
-                starts = [path[:n] for n in lengths if n <= len(path)]
-                for suffix in _suffixes(host):
-                    for start in starts:
-                        probes.append((suffix + start).encode("utf-8", "replace"))
-                        owner.append(i)
-                        host_len.append(len(suffix))
-            rule: list = [None] * b.num_rows
-            best: list = [(0, 0, _ALLOW)] * b.num_rows
+                for probe, n in shapes.probes(host, path):
+                    probes.append(probe)
+                    owner.append(i)
+                    host_len.append(n)
+            best: list = [None] * b.num_rows
             blocked = [False] * b.num_rows
             at = array.find(probes)
             for k in np.flatnonzero(at >= 0).tolist():
                 i, kind = owner[k], int(array.kinds[at[k]])
                 if kind == _HOST:
                     blocked[i] = True
-                elif (rank := (len(probes[k]), host_len[k])) > best[i][:2]:
-                    best[i], rule[i] = (*rank, kind), probes[k].decode()
-            verdict = [("block" if best[i][2] == _BLOCK else "allow") if rule[i] is not None else "block" if blocked[i] else default for i in range(b.num_rows)]
+                elif best[i] is None or (len(probes[k]), host_len[k]) > best[i][:2]:
+                    best[i] = (len(probes[k]), host_len[k], kind, probes[k].decode())
+            rule, verdict = _verdicts(best, blocked, default)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*names, "rule", "verdict"])
 
     return rows.mapInArrow(run, f"{schema}, rule string, verdict string")
 
 
+def _judge_in_shards(rows: DataFrame, listed: dict[str, int], shapes: Shapes, shards: int, default: str) -> DataFrame:
+    """The list by ranges of the digests, the probes by the range of theirs; a row's hits meet by its number."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "urls")
+    base = with_row_id(scratch, rows)
+    shard_of = lambda digest: digest * shards >> 64
+    table = [(shard_of(xxhash.xxh64_intdigest(s.encode(), SEED)), s, kind) for s, kind in listed.items()]
+    entries_of = scratch.save(spark.createDataFrame(table, "shard int, entry string, kind int"), "list")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(shard_of(xxhash.xxh64_intdigest(p, SEED)), rid, p, n) for rid, host, path in zip(*(c.to_pylist() for c in b.columns), strict=True) for p, n in shapes.probes(host, path)]
+            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "rid", "probe", "n"])
+
+    # A shard's probes are dealt over salts, so that a common host doesn't meet in one task.
+    probes = base.select(RID, "host", "path").mapInArrow(probe, "shard int, rid long, probe binary, n int").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    salted = entries_of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def search(asked: pa.Table, known: pa.Table) -> pa.Table:
+        array = DigestArray(np.frombuffer(array_bytes(zip(known.column("entry").to_pylist(), known.column("kind").to_pylist(), strict=True)), np.uint8))
+        at = array.find(asked.column("probe").to_pylist())
+        hit = np.flatnonzero(at >= 0)
+        return asked.take(pa.array(hit)).select(["rid", "probe", "n"]).append_column("kind", pa.array(array.kinds[at[hit]].astype(np.int32)))
+
+    hits = probes.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInArrow(search, "rid long, probe binary, n int, kind int")
+    rule = F.col("kind") != _HOST
+    per = hits.groupBy(F.col("rid").alias(RID + "_")).agg(
+        F.max(F.when(rule, F.struct(F.length("probe").alias("l"), "n", "kind", F.decode("probe", "UTF-8").alias("rule")))).alias(_BEST), F.max(~rule).alias(_LISTED)
+    )
+    joined = base.join(scratch.save(per, "hits"), F.col(RID) == F.col(RID + "_"), "left")
+    verdict = F.when(F.col(_BEST).isNotNull(), F.when(F.col(_BEST)["kind"] == _BLOCK, "block").otherwise("allow")).when(F.coalesce(_LISTED, F.lit(False)), "block").otherwise(default)
+    return joined.select(*[f"`{c}`" for c in rows.columns], F.col(_BEST)["rule"].alias("rule"), verdict.alias("verdict"))
+
+
 def op10(pages: DataFrame) -> DataFrame:
     return judge(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 

@@ -43,11 +43,11 @@ def test_url_rules(spark):
 def test_digest_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter, "xxhash", SimpleNamespace(xxh64_intdigest=lambda s, seed: xxhash.xxh64_intdigest(s, seed) % 3))
     file, _ = url_filter.write_array([("allow", f"h{i}.x", "/") for i in range(20)], (), str(tmp_path))
-    array = url_filter.DigestArray(file)
+    array = url_filter.DigestArray.mapped(file)
     at = array.find([f"h{i}.x/".encode() for i in range(30)])
     assert (at[:20] >= 0).all() and len(set(at[:20].tolist())) == 20 and (at[20:] == -1).all()
     file, _ = url_filter.write_array([], (), str(tmp_path))
-    assert url_filter.DigestArray(file).find([b"x"]).tolist() == [-1]
+    assert url_filter.DigestArray.mapped(file).find([b"x"]).tolist() == [-1]
 
 
 def test_lines(spark):
