@@ -54,3 +54,16 @@ def gap_bucket(years: Column) -> Column:
 
 def sightings_bin(n: Column) -> Column:
     return F.when(n <= 2, n.cast("string")).when(n <= 4, "3-4").when(n <= 9, "5-9").otherwise("10+")
+
+
+#: What a service says of a photo and the name of the view.
+PHOTO_VIEWS = {"top": "carapace_top", "plastron": "plastron", "front": "front", "rear": "rear", "site_view": "site_view"}
+PHOTO_VIEWS |= {v: v for v in ("carapace_top", "carapace_left", "carapace_right", "carapace_side")}
+HEAD_VIEWS = {"left": "carapace_left", "right": "carapace_right"}
+
+
+def view_of(photo: Column, head: Column) -> Column:
+    """The view from the kind of photo and, of a side, from where the head points; a side without a head is the plain side, what is unknown is empty."""
+    side = F.coalesce(*[F.when(head == k, v) for k, v in HEAD_VIEWS.items()], F.lit("carapace_side"))
+    other = F.coalesce(*[F.when(photo == k, v) for k, v in PHOTO_VIEWS.items()], F.lit(""))
+    return F.when(photo == "side", side).otherwise(other)

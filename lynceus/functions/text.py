@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the ends of names that a system gives to copies of a file.
 COPY_NAME = r"( \d+| copy( \d+)?| \(\d+\))$"
 
 

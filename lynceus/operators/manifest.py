@@ -22,13 +22,27 @@ def split_counts(rows: DataFrame, cls: str, share: float = 0.15) -> DataFrame:
     return per.select(cls, "n", (F.col("n") - 2 * part).cast("int").alias("train"), part.alias("valid"), part.alias("test"))
 
 
-def assign_splits(rows: DataFrame, cls: str, key: Column, share: float = 0.15) -> DataFrame:
-    """Rows with ``split``: the first of each class in the order of ``key`` (a seeded hash) are test, the next valid, the rest train."""
-    part = split_counts(rows, cls, share).select(F.col(cls).alias("c"), F.col("test").alias("part"))
-    place = F.row_number().over(Window.partitionBy(cls).orderBy(key))
-    placed = rows.withColumn("place", place).join(part, F.col(cls).eqNullSafe(F.col("c")))
+#: Rows that share a bucket of a class in :func:`assign_splits`, as the mean.
+BUCKET = 4096
+
+
+def assign_splits(rows: DataFrame, cls: str, digest: Column, tie: Column, share: float = 0.15) -> DataFrame:
+    """Rows with ``split``: the first of each class in the order of ``digest`` (a seeded hash in hex digits) and ``tie`` are test, the next valid, the rest train.
+
+    A class is cut into buckets by the leading digits of the hash; bucket counts give the
+    place of a bucket's first row, so no task sorts a class.
+    """
+    part = split_counts(rows, cls, share).select(F.col(cls).alias("c"), F.col("test").alias("part"), F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET)).alias("buckets"))
+    lead = F.conv(F.substring("digest_", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    dealt = rows.withColumn("digest_", digest).withColumn("tie_", tie).join(part, F.col(cls).eqNullSafe(F.col("c"))).withColumn("bucket", F.floor(lead * F.col("buckets")))
+    counts = dealt.groupBy("c", "bucket").agg(F.count(F.lit(1)).alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("c").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("c").alias("c_"), F.col("bucket").alias("bucket_"), before.alias("start"))
+    placed = dealt.join(starts, F.col("c").eqNullSafe(F.col("c_")) & (F.col("bucket") == F.col("bucket_")))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("c", "bucket").orderBy("digest_", "tie_"))
+    placed = placed.withColumn("place", place)
     split = F.when(F.col("place") <= F.col("part"), "test").when(F.col("place") <= 2 * F.col("part"), "valid").otherwise("train")
-    return placed.withColumn("split", split).drop("place", "part", "c")
+    return placed.select(*rows.columns, split.alias("split"))
 
 
 def not_done(rows: DataFrame, done: DataFrame, *on: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lynceus.operators.prefix import running_before
+
 
 def hits(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     """A row for each query of ``truth(q, true_cls)`` with a flag for each k; a query without a ranking misses."""
@@ -24,11 +26,10 @@ def right_rank(best: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def auc(scores: DataFrame, positive: str = "known", value: str = "score") -> DataFrame:
-    """Mann-Whitney, ties half, from average ranks: one aggregate by value and one running sum over distinct values."""
-    per = scores.groupBy(value).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n").over(before), F.lit(0))
-    wins = per.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("w"))
+    """Mann-Whitney, ties half, from average ranks: one aggregate by value and running sums over ranges of distinct values."""
+    per = scores.groupBy(F.col(value).alias("t")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
+    run = running_before(per, "t", ["n"])
+    wins = run.select("p", "n", (F.col("p") * (F.col("before_n") + F.col("n") / 2)).alias("w"))
     return wins.agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
@@ -42,17 +43,13 @@ def calibrate(pairs: DataFrame, keep_known: float | None = None) -> DataFrame:
     """The cut-off: the first that maximises known kept plus new caught, or the highest that keeps a share of the known.
 
     Candidates are all scores; kept counts scores from the cut-off on, caught those
-    under it.  Both are running sums over distinct scores.
+    under it.  Both are running sums over ranges of distinct scores.
     """
     each = pairs.select(F.explode(F.array(F.struct(F.col("s_known").alias("t"), F.lit(1).alias("k"), F.lit(0).alias("w")), F.struct(F.col("s_new").alias("t"), F.lit(0).alias("k"), F.lit(1).alias("w")))).alias("x"))
     per = each.select("x.*").filter(F.col("t").isNotNull()).groupBy("t").agg(F.sum("k").alias("k"), F.sum("w").alias("w"))
-    up = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    run = per.select(
-        "t",
-        (1 - F.coalesce(F.sum("k").over(up), F.lit(0)) / F.sum("k").over(everything)).alias("kept"),
-        (F.coalesce(F.sum("w").over(up), F.lit(0)) / F.sum("w").over(everything)).alias("caught"),
-    )
+    run = running_before(per, "t", ["k", "w"])
+    total = per.agg(F.sum("k").alias("all_k"), F.sum("w").alias("all_w"))
+    run = run.crossJoin(F.broadcast(total)).select("t", (1 - F.col("before_k") / F.col("all_k")).alias("kept"), (F.col("before_w") / F.col("all_w")).alias("caught"))
     if keep_known is None:
         return run.orderBy(F.desc(F.round(F.col("kept") + F.col("caught"), 12)), "t").limit(1)
     return run.filter(F.round("kept", 12) >= keep_known).orderBy(F.desc("t")).limit(1)

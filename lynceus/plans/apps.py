@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from lynceus.operators import gallery as G
 from lynceus.operators import identify as I
 from lynceus.operators import metrics as M
+from lynceus.operators.projection import logistic_scores
 from lynceus.plans.reid import BASE, SIGHTINGS, SPOTS, best, load, r6, ranked, spots, truth
 
 QUERIES: dict = {}
@@ -97,7 +98,7 @@ def accuracy_levels(spark, sf_dir):
 
 @query(None)
 def model_comparison(spark, sf_dir):
-    """Centroid and 1-, 3-, 5-nearest votes, chosen on one sighting's queries and reported on another's."""
+    """Centroid, 1-, 3-, 5-nearest votes and a logistic regression, chosen on one sighting's queries and reported on another's."""
     from functools import reduce
 
     g = load(spark, sf_dir)
@@ -105,6 +106,7 @@ def model_comparison(spark, sf_dir):
     runs = {"centroid": G.score(ask, G.centroids(train), "none", "class", 1)}
     for k in (1, 3, 5):
         runs[f"nearest {k}"] = G.knn_votes(G.score(ask, train, "none", "overall", k))
+    runs["logistic"] = logistic_scores(train, ask)
     rows = []
     for name, scores in runs.items():
         flags = M.hits(G.top_classes(scores), truth(ask)).withColumn("part", F.when(F.col("q") % SIGHTINGS == 0, "valid").otherwise("test"))

@@ -49,8 +49,8 @@ def split_counts(spark, sf_dir):
 @query(f"""WITH {SPLIT}, p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) AS k FROM documents)
 SELECT doc_id, source, CASE WHEN k <= part THEN 'test' WHEN k <= 2 * part THEN 'valid' ELSE 'train' END AS split FROM p JOIN c USING (source)""")
 def split_assign(spark, sf_dir):
-    key = F.struct(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary")), F.col("doc_id"))
-    return O.assign_splits(docs(spark, sf_dir).select("doc_id", "source"), "source", key)
+    digest = F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary"))
+    return O.assign_splits(docs(spark, sf_dir).select("doc_id", "source"), "source", digest, F.col("doc_id"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS kept, count(*) FILTER (WHERE lang <> 'en') AS other, count(DISTINCT source) AS classes, count(DISTINCT lang) AS categories FROM documents")

@@ -10,6 +10,7 @@ from lynceus.operators import gallery as G
 from lynceus.operators import greedy, projection, spots
 from lynceus.operators import metrics as M
 from lynceus.plans.reid import BASE, SIGHTINGS, load, r6, truth
+from lynceus.sources.scratch import cut
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -59,14 +60,17 @@ def pca_sweep(spark, sf_dir):
     from functools import reduce
 
     g = load(spark, sf_dir)
-    rest = g.filter("grp > 1")
+    rest, most = g.filter("grp > 1"), g.select(F.max(F.size("v"))).first()[0] or 1
+    dims = [d for d in (8, 16, 32, 64, 128, 256, 512, 1024, 2048) if d < most] + [most]
     rows = []
-    for dim in (8, 32):
+    for dim in dims:
         for white in (False, True):
-            f = projection.fit_pca(rest, dim, white)
-            space = projection.project(g, f)
-            for k in (1, 5):
-                votes = G.knn_votes(G.score(space.filter("grp <= 1"), space.filter("grp > 1"), "none", "overall", k))
+            space = projection.project(g, projection.fit_pca(rest, dim, white))
+            # The nearest five once; fewer are among them.
+            near = cut(G.score(space.filter("grp <= 1"), space.filter("grp > 1"), "none", "overall", 5))
+            placed = near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "ref")))
+            for k in (1, 3, 5):
+                votes = G.knn_votes(placed.filter(F.col("place") <= k))
                 flags = M.hits(G.top_classes(votes), truth(g.filter("grp <= 1"))).withColumn("part", F.when(F.col("q") % SIGHTINGS == 0, "valid").otherwise("test"))
                 acc = M.accuracy(flags, "part").groupBy().pivot("part", ["valid", "test"]).agg(F.first("top1"))
                 rows.append(acc.select(F.lit(dim).alias("dim"), F.lit(white).alias("whiten"), F.lit(k).alias("k"), r6("valid"), r6("test")))
@@ -168,9 +172,7 @@ SELECT q AS vec_id, cls AS label, round(score, 6) AS score FROM (SELECT *, row_n
 def spots_mutual(spark, sf_dir):
     """Mutual matches of every pair of photos, best reference of each class, top class."""
     p = spots.photos_of(features(spark, sf_dir))
-    e = spots.evidence(p, p).select("q", "cls", F.col("r").alias("ref"), spots.score_of("mutg").alias("score"))
-    best = e.groupBy("q", "cls").agg(F.max("score").alias("score"))
-    return G.top_classes(best, 1).select(F.col("q").alias("vec_id"), F.col("cls").alias("label"), r6("score"))
+    return G.top_classes(spots.best_of_class(p, p, "mutg"), 1).select(F.col("q").alias("vec_id"), F.col("cls").alias("label"), r6("score"))
 
 
 

@@ -89,44 +89,82 @@ def flatten_captures(answers: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def _writer(df: DataFrame, form: str, mode: str):
+    w = df.write.mode(mode)
+    if form == "csv":  # as read_csv reads it: quotes doubled, white space kept
+        w = w.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return w.format(form)
+
+
 def overwrite(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Replace a table as a whole, after the new rows are complete."""
-    w = df.write.mode("overwrite")
-    (w.option("header", True) if form == "csv" else w).format(form).save(path)
+    """Replace a table as a whole, after the new rows are complete: they are written beside it first, so a failed write leaves the old ones."""
+    spark, target = df.sparkSession, f"{path.rstrip('/')}.next"
+    _writer(df, form, "overwrite").save(target)
+    _swap(spark, target, path)
 
 
 def append(df: DataFrame, path: str, form: str = "parquet") -> None:
-    df.write.mode("append").format(form).save(path)
+    _writer(df, form, "append").save(path)
 
 
 def append_new(df: DataFrame, path: str, *key: str) -> None:
     """Resume: append the rows whose key the table doesn't hold yet."""
+    recover(df.sparkSession, path)
     done = df.sparkSession.read.parquet(path) if exists(df.sparkSession, path) else df.limit(0)
     append(not_done(df, done, *key), path)
 
 
 def upsert_table(new: DataFrame, path: str, key: str, version: str, stale: tuple[str, ...] = ()) -> str:
-    """Merge into a Parquet table; the result is written beside it and its path returned, so that a failed merge leaves the old rows."""
+    """Merge into a Parquet table, which a failed merge leaves as it was."""
     spark = new.sparkSession
-    target = f"{path.rstrip('/')}.next"
-    merged = upsert(spark.read.parquet(path), new, key, version, stale) if exists(spark, path) else new
-    overwrite(merged, target)
-    _swap(spark, target, path)
+    recover(spark, path)
+    overwrite(upsert(spark.read.parquet(path), new, key, version, stale) if exists(spark, path) else new, path)
     return path
 
 
 def replace_rows(new: DataFrame, path: str, key: str) -> str:
+    """Rows of ``new`` replace those of its keys in a Parquet table, which a failure leaves as it was."""
     spark = new.sparkSession
-    target = f"{path.rstrip('/')}.next"
-    overwrite(insert_or_replace(spark.read.parquet(path), new, key) if exists(spark, path) else new, target)
-    _swap(spark, target, path)
+    recover(spark, path)
+    overwrite(insert_or_replace(spark.read.parquet(path), new, key) if exists(spark, path) else new, path)
     return path
 
 
+def check_keys(rows: DataFrame, *key: str, unique: bool = True) -> DataFrame:
+    """The rows; an action on them fails where a key column is null, or, checked at once, where a key occurs twice."""
+    whole = rows
+    for c in key:
+        whole = whole.filter(F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} is null"))).otherwise(F.lit(True)).cast("boolean"))
+    if unique and not rows.groupBy(*key).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{key} occurs more than once")
+    return whole
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back what a swap set aside, if it was broken off between its two renames."""
+    fs, here = _file_system(spark, path)
+    old = _path(spark, f"{path.rstrip('/')}.old")
+    if not fs.exists(here) and fs.exists(old):
+        fs.rename(old, here)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = _path(spark, path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _swap(spark: SparkSession, source: str, target: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    a, b = hadoop(source), hadoop(target)
-    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(b, True)
+    """Set the old table aside, rename the new one into its place, delete the old one; a failed rename puts the old one back."""
+    fs, a = _file_system(spark, source)
+    b, old = _path(spark, target), _path(spark, f"{target.rstrip('/')}.old")
+    fs.delete(old, True)
+    aside = fs.exists(b) and fs.rename(b, old)
     if not fs.rename(a, b):
+        if aside:
+            fs.rename(old, b)
         raise OSError(f"{source} could not take the place of {target}")
+    fs.delete(old, True)
