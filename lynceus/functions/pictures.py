@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 ROWS, COLUMNS = 16, 17
 
 
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def difference_bits(gray: Column) -> Column:
     """256 bits of a 16 x 17 gray picture, row by row: whether a pixel is brighter than the one to its left; null where the size isn't that."""
     places = F.sequence(F.lit(0), F.lit(ROWS * (COLUMNS - 1) - 1))
-    at = lambda i: F.floor(i / (COLUMNS - 1)) * COLUMNS + i % (COLUMNS - 1)
-    bits = F.transform(places, lambda i: (F.get(gray, (at(i) + 1).cast("int")) > F.get(gray, at(i).cast("int"))).cast("int"))
-    return F.when(F.size(gray) == ROWS * COLUMNS, bits)
+    at = lambda i: (F.floor(i / (COLUMNS - 1)) * COLUMNS + i % (COLUMNS - 1)).cast("int")
+    bits = lambda g: F.transform(places, lambda i: (F.get(g, at(i) + 1) > F.get(g, at(i))).cast("int"))
+    return _bound(gray, lambda g: F.when(F.size(g) == ROWS * COLUMNS, bits(g)))
 
 
 def pack_bits(bits: Column) -> Column:
     """256 bits as four 64-bit words, the first bit lowest."""
-    word = lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", F.get(bits, 64 * w + i).cast("long"), i)))
-    return F.when(bits.isNotNull(), F.array(*[word(w) for w in range(ROWS * (COLUMNS - 1) // 64)]))
+    place = lambda b, w: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", F.get(b, 64 * w + i).cast("long"), i)))
+    return _bound(bits, lambda b: F.when(b.isNotNull(), F.array(*[place(b, w) for w in range(ROWS * (COLUMNS - 1) // 64)])))

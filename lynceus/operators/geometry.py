@@ -19,6 +19,7 @@ LEAST = 5
 #: Matches of a minimal set, and sets drawn.
 MINIMAL = {"homography": 4, "similarity": 2, "affine": 3, "epipolar": 8}
 DRAWS = 500
+CONFIDENCE = 0.9999
 
 
 def _null_vector(rows: np.ndarray) -> np.ndarray:
@@ -69,8 +70,10 @@ def inliers(model: str, a: np.ndarray, b: np.ndarray, seed: int = 0, draws: int
     need = MINIMAL[model]
     if len(a) < max(LEAST, need):
         return 0
-    rng, best = np.random.default_rng(seed), np.zeros(len(a), bool)
-    for _ in range(draws):
+    rng, best, drawn = np.random.default_rng(seed), np.zeros(len(a), bool), 0
+    # Fewer draws do where many agree: one set of agreeing matches is drawn with a chance of CONFIDENCE.
+    while drawn < min(draws, np.log(1 - CONFIDENCE) / np.log1p(-min(1 - 1e-9, max(1e-9, best.mean() ** need)))):
+        drawn += 1
         some = rng.choice(len(a), need, replace=False)
         matrix = fit(model, a[some], b[some])
         if matrix is None:

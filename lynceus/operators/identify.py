@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,26 @@ def identify(spot: DataFrame, emb: DataFrame, cutoff: float, weight: float = 1.0
     return out.select("q", "pick", "score", "spot", band(F.col("spot")).alias("band"), likelihood(F.col("spot")).alias("likelihood"), (F.coalesce("sim", F.lit(-1.0)) < cutoff).alias("likely_new"), "top")
 
 
+def decide(scores: dict[str, tuple[DataFrame, float | None]], similarity: DataFrame, cutoff: float, asked: Callable[[Column], Column] | None = None, best: str = "best") -> DataFrame:
+    """``(method, q, pick, five, likely_new)``: what each method says of each photo.
+
+    ``scores`` has each method's ``(q, cls, score)`` and the least score of a known
+    individual; a method without one is judged by the best similarity against ``cutoff``.
+    ``asked`` makes an outside order of the ``best`` method's five, which is a method of
+    its own, ``asked``, judged like it.  A photo that a method has no score for has no row.
+    """
+    new = similarity.groupBy("q").agg((F.max("score") < cutoff).alias("new"))
+    parts = []
+    for name, (rows, least) in scores.items():
+        five = G.top_classes(rows, 5).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "cls"))).alias("x"), F.max("score").alias("top"))
+        five = five.join(new, "q").select("q", F.transform("x", lambda r: r.cls).alias("five"), F.col("new") if least is None else (F.col("top") < least).alias("new"))
+        parts.append(five.select(F.lit(name).alias("method"), "q", F.get("five", 0).alias("pick"), "five", F.col("new").alias("likely_new")))
+        if name == best and asked is not None:
+            order = five.withColumn("five", merge_answer(asked(F.col("five")), F.col("five")))
+            parts.append(order.select(F.lit("asked").alias("method"), "q", F.get("five", 0).alias("pick"), "five", F.col("new").alias("likely_new")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def recheck(refs: DataFrame, picks: DataFrame) -> DataFrame:
     """The spot score of a pick from elsewhere: the best reference of that class, 0 without one."""
     best = refs.join(picks, "q").filter(F.col("cls") == F.col("pick")).groupBy("q").agg(F.max("score").alias("spot"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.plans import apps, manifest, models, reid, session
+from lynceus.plans import apps, details, manifest, models, reid, session
 
-MODULES = (reid, manifest, session, models, apps)
+MODULES = (reid, manifest, session, models, apps, details)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
