@@ -157,10 +157,57 @@ def json_props(spark, sf_dir):
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_log_summary(spark, sf_dir):
-    """The materialised summary that a stream of the log keeps, after all of it: see ``lynceus.streaming``."""
-    from lynceus.streaming.log import daily_summary
+    """The summary that a stream of the log keeps, after all of it: three files, a micro-batch each."""
+    from lynceus.streaming import log
 
-    return daily_summary(events(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+    rows, target = _stream(spark, events(spark, sf_dir).select("event_id", "ts", "event_type", "user_id", "value"))
+    log.keep_summary(rows, f"{target}/state", f"{target}/checkpoint").awaitTermination()
+    return log.summary_of(log.latest(spark, f"{target}/state")).withColumn("day", F.col("day").cast("string"))
+
+
+def _stream(spark, rows):
+    """The rows as a log in three files, read as a stream, and a folder for what is kept of it."""
+    from lynceus.plans.details import place
+    from lynceus.streaming import log
+
+    target = place(spark)
+    rows.repartition(3, "event_id").write.parquet(f"{target}/log")
+    return log.read_log(spark, f"{target}/log", rows.schema), target
+
+
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def stream_last_wins(spark, sf_dir):
+    """The last row of each key in append order, whatever the order in which the files come."""
+    from lynceus.streaming import log
+
+    rows, target = _stream(spark, events(spark, sf_dir).select("user_id", "event_type", "event_id", "value"))
+    log.keep_last(rows, f"{target}/state", f"{target}/checkpoint", ["user_id", "event_type"], "event_id", ["value"]).awaitTermination()
+    return log.latest(spark, f"{target}/state").select("user_id", "event_type", "value", "event_id")
+
+
+@query("""WITH s AS (SELECT event_id % 50 AS upload_id, arg_max(event_id, event_id) AS e FROM events WHERE event_id % 4 <> 0 AND event_id % 5 <> 1 GROUP BY 1)
+SELECT CAST(unnest([e, e + 1, e * 2]) AS VARCHAR) AS member, upload_id FROM s""")
+def stream_members(spark, sf_dir):
+    """Which photos a set has, from the log's own rows on sets; the last row of a set wins, other rows say nothing."""
+    from lynceus.streaming import log
+
+    e = F.col("event_id")
+    notes = F.concat(F.when(e % 5 == 1, "spot ").otherwise(log.MEMBERS), F.concat_ws(";", e.cast("string"), (e + 1).cast("string"), (e * 2).cast("string")))
+    rows = events(spark, sf_dir).select("event_id", (e % 50).alias("upload_id"), F.when(e % 4 == 0, "best").otherwise("sighting").alias("method"), notes.alias("notes"), e.alias("seq"))
+    rows, target = _stream(spark, rows)
+    log.keep_members(rows, f"{target}/state", f"{target}/checkpoint").awaitTermination()
+    return log.set_of(log.latest(spark, f"{target}/state"), "upload_id").select("member", "upload_id")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, sf_dir):
+    """Each user and kind once, when it is first seen."""
+    from lynceus.streaming import log
+
+    rows, target = _stream(spark, events(spark, sf_dir).select("event_id", "user_id", "event_type"))
+    once = log.drop_seen(rows.withColumn("key", F.struct("user_id", "event_type")), "key").select("user_id", "event_type")
+    log.append_to(once, f"{target}/once", f"{target}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{target}/once")
 
 
 @query("""WITH s AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

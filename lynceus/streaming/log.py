@@ -3,56 +3,118 @@
 The log is a file source; each micro-batch merges into a materialised table that is
 replaced as a whole.  Feedback may come late without bound and the last row in append
 order wins, so the state is a table keyed by upload and no watermark drops anything.
+Distinct users are exact: the summary's state has a row for each day, kind and user, so
+what a micro-batch adds is an aggregate of it and the state is an aggregate of aggregates.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lynceus.operators.session import last_wins
+from lynceus.sources.scratch import delete
+
+#: Versions of a kept table that stay: the newest, and the one before for those who still read it.
+VERSIONS = 2
+
+
+def _per_user(log: DataFrame) -> DataFrame:
+    return log.groupBy(F.to_date("ts").alias("day"), "event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def summary_of(state: DataFrame) -> DataFrame:
+    """A tumbling day of events, by kind, from a row for each user: rows, users, total."""
+    return state.groupBy("day", "event_type").agg(F.sum("n").alias("n"), F.count("user_id").alias("users"), F.round(F.sum("total"), 4).alias("total"))
 
 
 def daily_summary(log: DataFrame) -> DataFrame:
-    """A tumbling day of events, by kind: rows, users, total.  The same code runs on a batch and in complete mode on a stream of exact sizes."""
-    return log.groupBy(F.to_date("ts").alias("day"), "event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total")
-    )
+    """The summary of a log that is at rest; :func:`keep_summary` keeps the same of one that grows."""
+    return summary_of(_per_user(log))
 
 
 def read_log(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def keep_last(log: DataFrame, target: str, checkpoint: str, keys: list[str], order: str, values: list[str]) -> StreamingQuery:
-    """Last-wins state of a streaming log in ``target/<version>``; a replayed batch writes the same rows again.
+def keep_merged(log: DataFrame, target: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> StreamingQuery:
+    """A table that every micro-batch is merged into, in ``target/<version>``; a replayed batch writes the same rows again.
 
-    Each micro-batch reads the newest version, merges, and writes the next; ``latest``
-    names the version that is whole.
+    ``merge`` gets the batch and the newest version from before it, or None.  ``latest``
+    names the version that is whole; older ones than the last ``VERSIONS`` are deleted.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        merge(batch, latest(spark, target, before=number)).write.mode("overwrite").parquet(f"{target}/v{number:09d}")
+        for name in _whole(spark, target, None)[:-VERSIONS]:
+            delete(spark, f"{target}/{name}")
+
+    return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_last(log: DataFrame, target: str, checkpoint: str, keys: list[str], order: str, values: list[str]) -> StreamingQuery:
+    """Last-wins state of a streaming log."""
+
+    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
         rows = last_wins(batch, keys, order, [*values, order])
-        old = latest(spark, target, before=number)
-        if old is not None:
-            rows = last_wins(old.unionByName(rows), keys, order, [*values, order])
-        rows.write.mode("overwrite").parquet(f"{target}/v{number:09d}")
+        return rows if old is None else last_wins(old.unionByName(rows), keys, order, [*values, order])
 
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return keep_merged(log, target, checkpoint, merge)
 
 
-def latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest whole version of a table kept by :func:`keep_last`."""
+def keep_summary(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """The state of :func:`summary_of` of a streaming log."""
+
+    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+        rows = _per_user(batch)
+        return rows if old is None else old.unionByName(rows).groupBy("day", "event_type", "user_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+    return keep_merged(log, target, checkpoint, merge)
+
+
+#: Fixed value: how a log row of a set lists its members.
+MEMBERS = "photos "
+
+
+def members_in(log: DataFrame, set_id: str = "upload_id", method: str = "method", notes: str = "notes", order: str = "seq") -> DataFrame:
+    """``(set_id, members, order)`` from rows of method ``sighting`` whose notes list the members; the last row of a set wins."""
+    rows = log.filter((F.col(method) == "sighting") & F.col(notes).startswith(MEMBERS))
+    listed = F.split(F.substring(F.col(notes), len(MEMBERS) + 1, 1 << 30), ";", -1)
+    return last_wins(rows.withColumn("members", listed), [set_id], order, ["members", order])
+
+
+def keep_members(log: DataFrame, target: str, checkpoint: str, set_id: str = "upload_id", order: str = "seq") -> StreamingQuery:
+    """Set membership from a streaming log."""
+
+    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+        rows = members_in(batch, set_id, order=order)
+        return rows if old is None else last_wins(old.unionByName(rows), [set_id], order, ["members", order])
+
+    return keep_merged(log, target, checkpoint, merge)
+
+
+def set_of(members: DataFrame, set_id: str) -> DataFrame:
+    """The inverse, ``(member, <set_id>)``: for spreading what is said of a set to its members."""
+    return members.select(F.explode("members").alias("member"), set_id)
+
+
+def _whole(spark: SparkSession, target: str, before: int | None) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None
+        return []
     names = [s.getPath().getName() for s in fs.listStatus(path)]
-    whole = sorted(n for n in names if n.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")) and (before is None or int(n[1:]) < before))
+    return sorted(n for n in names if n.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")) and (before is None or int(n[1:]) < before))
+
+
+def latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """The newest whole version of a table kept by :func:`keep_merged`."""
+    whole = _whole(spark, target, before)
     return spark.read.parquet(f"{target}/{whole[-1]}") if whole else None
 
 
@@ -67,6 +129,11 @@ def drop_seen(log: DataFrame, key: str) -> DataFrame:
     return log.dropDuplicates([key])
 
 
+def append_to(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """A streaming frame appended to a Parquet table, each row once."""
+    return log.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def run_to_end(log: DataFrame, mode: str = "complete") -> DataFrame:
     """Drive a streaming frame to its end into memory: for checks on small inputs."""
     name = f"lynceus_{uuid.uuid4().hex}"
