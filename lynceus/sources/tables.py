@@ -163,8 +163,12 @@ def _swap(spark: SparkSession, source: str, target: str) -> None:
     b, old = _path(spark, target), _path(spark, f"{target.rstrip('/')}.old")
     fs.delete(old, True)
     aside = fs.exists(b) and fs.rename(b, old)
-    if not fs.rename(a, b):
-        if aside:
+    moved = False
+    try:
+        moved = fs.exists(a) and fs.rename(a, b)
+    finally:
+        if not moved and aside:
             fs.rename(old, b)
+    if not moved:
         raise OSError(f"{source} could not take the place of {target}")
     fs.delete(old, True)

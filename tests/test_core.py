@@ -6,6 +6,7 @@ import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lynceus.functions import boxes, decisions, text, vectors
 from lynceus.operators import gallery as G
@@ -111,10 +112,20 @@ def test_evidence_and_scores(spark):
     assert len(got) == 30 and all(r.s3 >= 0 for r in got) and all(r.s5 == 0 for r in got if 5 in (r.q, r.r))
 
 
+def nearest_features(queries, refs, k):
+    """The k nearest features of other photos, relational form."""
+    q = queries.select("photo", "kp", spots.root_descriptor(F.col("d")).alias("v"))
+    r = refs.select(F.col("photo").alias("ref"), "cls", F.col("kp").alias("rkp"), spots.root_descriptor(F.col("d")).alias("w"))
+    gap = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    both = q.join(r, F.col("photo") != F.col("ref")).select("photo", "kp", "ref", "cls", "rkp", F.round(gap, 9).alias("d"))
+    rank = F.row_number().over(Window.partitionBy("photo", "kp").orderBy("d", "ref", "rkp"))
+    return both.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def test_lnbnn_relational(spark):
     rows = [(p, p % 2, k, [float(1 + (p * 5 + k * 3 + c) % 7) for c in range(3)]) for p in range(4) for k in range(2)]
     f = spark.createDataFrame(rows, "photo long, cls int, kp int, d array<double>")
-    near = spots.nearest_features(f, f, 4)
+    near = nearest_features(f, f, 4)
     votes = spots.lnbnn(near, 3).collect()
     assert votes and all(r.votes >= 0 for r in votes)
     assert spots.lnbnn(near, 3, "ref").count() >= len(votes)
