@@ -35,11 +35,14 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 mask = ((1 << hi) - 1) ^ ((1 << lo) - 1)
                 parts.append(F.element_at("h", w + 1).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
         keys.append(F.struct(F.lit(i).alias("i"), F.xxhash64(*parts).alias("k")))
-    dealt = prints.select("id", "h", F.explode(F.array(*keys)).alias("x")).select("id", "h", "x.i", "x.k")
+    dealt = prints.select("id", "h", F.array(*[k.getField("k") for k in keys]).alias("ks"))
+    dealt = dealt.select("id", "h", "ks", F.posexplode("ks").alias("i", "k"))
     other = dealt.select([F.col(c).alias("o_" + c) for c in dealt.columns])
     gap = F.aggregate(F.zip_with("h", "o_h", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    both = dealt.join(other, (F.col("i") == F.col("o_i")) & (F.col("k") == F.col("o_k")) & (F.col("id") < F.col("o_id")) & (gap <= distance))
-    return both.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
+    # A pair comes from the first piece that it agrees in, so none comes twice.
+    first = F.array_position(F.zip_with("ks", "o_ks", lambda a, b: a == b), True) == F.col("i") + 1
+    both = dealt.join(other, (F.col("i") == F.col("o_i")) & (F.col("k") == F.col("o_k")) & (F.col("id") < F.col("o_id")) & (gap <= distance) & first)
+    return both.select(F.col("id").alias("a"), F.col("o_id").alias("b"))
 
 
 def first_kept(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:

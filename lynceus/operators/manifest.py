@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lynceus.functions.decisions import share_count
+from lynceus.operators.prefix import running_before
 
 
 def keep_large_classes(rows: DataFrame, cls: str, least: int) -> DataFrame:
@@ -78,8 +79,9 @@ def misaligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def encode_labels(rows: DataFrame, cls: str) -> DataFrame:
-    """``(cls, code)``: the place of each class among the sorted distinct ones, from 0."""
-    return rows.select(cls).distinct().withColumn("code", (F.row_number().over(Window.orderBy(cls)) - 1).cast("int"))
+    """``(cls, code)``: the place of each class among the sorted distinct ones, from 0, as a running count over ranges of classes."""
+    each = running_before(rows.select(cls).distinct().withColumn("one", F.lit(1)), cls, ["one"])
+    return each.select(cls, F.col("before_one").cast("int").alias("code"))
 
 
 def seen_in(rows: DataFrame, train: DataFrame, cls: str) -> DataFrame:

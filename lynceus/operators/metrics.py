@@ -62,3 +62,24 @@ def sweep(scores: DataFrame, thresholds: list[float], known: str, right: str) ->
     return rows.groupBy("t").agg(
         F.count_if(F.col(known) & over).alias("kept"), F.count_if(F.col(known) & over & F.col(right)).alias("right"), F.count_if(~F.col(known) & ~over).alias("caught")
     )
+
+
+def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``(by, <a column for each share>)``: interpolated quantiles of each group, from running counts over ranges of distinct values.
+
+    A quantile lies between the two values at the places around ``share * (n - 1)``; no
+    group's values meet in one task.  Null values don't count.
+    """
+    per = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    run = running_before(per.withColumn("o", F.struct(by, "v")), "o", ["c"]).select(by, "v", "c", "before_c")
+    # Groups lie one behind another in the order, so a group's first place is its least running count.
+    size = run.groupBy(F.col(by).alias("g_")).agg(F.sum("c").alias("n"), F.min("before_c").alias("start"))
+    placed = run.join(size, F.col(by).eqNullSafe(F.col("g_"))).withColumn("lo", F.col("before_c") - F.col("start"))
+    out = []
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("n") - 1)
+        holds = lambda p: (F.col("lo") <= p) & (p < F.col("lo") + F.col("c"))
+        low, high = F.max(F.when(holds(F.floor(at)), F.col("v"))), F.max(F.when(holds(F.ceil(at)), F.col("v")))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return placed.groupBy(by).agg(*out)

@@ -73,8 +73,8 @@ def set_members(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
 def percentiles_by_kind(spark, sf_dir):
-    p = events(spark, sf_dir).groupBy("event_type").agg(F.percentile("value", F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias("p"))
-    return p.select("event_type", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75", "p90"))])
+    q = M.quantiles(events(spark, sf_dir), "event_type", "value", {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
+    return q.select("event_type", *[F.round(c, 6).alias(c) for c in q.columns[1:]])
 
 
 SCORES = "s AS (SELECT event_id, user_id, ts, value / 20 AS score, event_id % 3 <> 0 AS known, event_id % 5 <> 0 AS correct FROM events)"
