@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from lynceus.llm.common import PREFIX, RID, Scratch, text_or_empty, with_row_id, without
 
 MIN_SITES = 10
-MIN_CHARS = 20
+#: Shortest line that counts: every line with a character other than white space.
+MIN_CHARS = 1
 LOG_REGISTERS = 12
 #: Standard errors of the sketch on either side of the threshold that are counted exactly.
 BAND = 6.0

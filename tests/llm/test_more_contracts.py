@@ -50,7 +50,8 @@ def test_digest_collisions(tmp_path, monkeypatch):
     assert url_filter.DigestArray.mapped(file).find([b"x"]).tolist() == [-1]
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("least", [1, 20])
+def test_lines(spark, least):
     rows = [(i, f"own line number {i:05d} of it\nThis passage is on every site.\n short \n\nends {i}", f"s{i % 40}", "n") for i in range(120)]
     rows += [(500, None, "s1", "n"), (501, "", None, "n"), (502, "This passage is on every site. ", None, "n"), (503, "seen on nine sites or so\n" * 3, "s0", "n")]
     rows += [(600 + i, "seen on nine sites or so", f"s{i}", "n") for i in range(9)] + [(700 + i, "seen on ten sites or so", f"s{i}", "n") for i in range(10)] * 2
@@ -63,10 +64,10 @@ def test_lines(spark):
     want = defaultdict(list)
     for i, t, _, _ in rows:
         ls = t.split("\n") if t is not None else []
-        kept = [x for x in ls if len(x.strip()) < 20 or len(sites[x.strip()]) < 10]
+        kept = [x for x in ls if len(x.strip()) < least or len(sites[x.strip()]) < 10]
         want[i].append((None if t is None else "\n".join(kept), len(ls), len(ls) - len(kept)))
     got = defaultdict(list)
-    for r in line_dedup.line_dedup(df).collect():
+    for r in line_dedup.line_dedup(df, min_chars=least).collect():
         got[r.doc_id].append((r.text, r.n_lines, r.n_removed))
     assert got == want
     assert line_dedup.line_dedup(df.limit(0)).collect() == []
