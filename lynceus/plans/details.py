@@ -175,10 +175,10 @@ def result_case(spark, sf_dir):
     return top.join(truth(g), "q").select(F.col("q").alias("vec_id"), decisions.result(known, F.col("top")).alias("result"))
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id % 4 = 0 AND source IN (SELECT source FROM documents WHERE doc_id % 4 = 1 AND lang = 'en')")
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 7 = 0 AND source IN (SELECT source FROM documents WHERE doc_id % 7 = 1 AND lang = 'de')")
 def seen_classes(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return O.seen_in(d.filter("doc_id % 4 = 0"), d.filter("doc_id % 4 = 1 and lang = 'en'"), "source").select("doc_id", "source")
+    return O.seen_in(d.filter("doc_id % 7 = 0"), d.filter("doc_id % 7 = 1 and lang = 'de'"), "source").select("doc_id", "source")
 
 
 BOX = "greatest(0, least(1000, {}))"
