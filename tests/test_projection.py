@@ -156,3 +156,17 @@ def test_projections_of_an_empty_fold(spark):
     cls, grp, x = gallery(20, 3, 2)
     df = frame(spark, cls, grp, x).withColumn("cls", F.lit(0))
     assert P.fit_lda(df, 3)(x.astype(float)).shape == (20, 1)
+
+
+@pytest.mark.parametrize("balanced", [False, True])
+def test_binary_logistic_is_at_its_minimum(spark, balanced):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    y = (x @ [1.0, -0.5] + rng.logistic(size=300) > 0.8).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y int")
+    got = {r.term: r.weight for r in P.logistic(df, ["a", "b"], "y", c=0.7, balanced=balanced).collect()}
+    w = np.array([got["a"], got["b"], got["constant"]])
+    one = np.hstack((x, np.ones((300, 1))))
+    weight = 300 / (2 * np.bincount(y)[y]) if balanced else np.ones(300)
+    slope = one.T @ ((1 / (1 + np.exp(-one @ w)) - y) * weight) + np.array([w[0] / 0.7, w[1] / 0.7, 0])
+    assert np.abs(slope).max() < 0.01
