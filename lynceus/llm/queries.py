@@ -19,6 +19,9 @@ _OPERATORS = (
     ("op8_mixing", "mixing", "op8", ("documents",)),
     ("op9_language_id", "language_id", "op9", ("documents",)),
     ("op10_url_filter", "url_filter", "op10", ("pages",)),
+    ("op11_centroids", "centroids", "op11", ("embeddings",)),
+    ("op12_token_files", "token_files", "op12", ("documents",)),
+    ("op13_whitening", "whitening", "op13", ("embeddings",)),
 )
 
 
@@ -38,10 +41,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
+    from lynceus.llm.centroids import OP11_SQL
     from lynceus.llm.embedding_dedup import OP6_SQL
     from lynceus.llm.exact_dedup import OP2_SQL
     from lynceus.llm.line_dedup import OP7_SQL
     from lynceus.llm.url_filter import oracle_sql as op10_sql
 
-    out = {"op2_exact_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op10_url_filter": op10_sql()}
+    out = {"op2_exact_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op10_url_filter": op10_sql(), "op11_centroids": OP11_SQL}
     return out | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
