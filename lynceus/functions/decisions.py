@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Cut-offs of the decision bands and the likelihood steps (upper end, percent).
+# Cut-offs of the decision bands; likelihood steps (percent from this score on, 5 below) and that of the check zone's low end with several photos.
 MATCH, CHECK, CHECK_MULTI = 2.0, 1.2, 1.5
-LIKELIHOOD_STEPS = ((0.4, 6), (0.8, 18), (1.2, 40), (1.6, 44))
-LIKELIHOOD_TOP = 100
+LIKELIHOOD = ((3.0, 98), (2.0, 97), (1.5, 95), (1.2, 45), (1.0, 30), (0.8, 15))
+LIKELIHOOD_LOW, LIKELIHOOD_MULTI = 5, 30
+#: Edges of the score bins in which the share of right answers is told.
+LIKELIHOOD_BINS = (0.0, 0.8, 1.0, 1.2, 1.5, 2.0, 3.0, 5.0)
 
 
 def band(score: Column, photos: Column | None = None) -> Column:
@@ -17,12 +19,17 @@ def band(score: Column, photos: Column | None = None) -> Column:
     return F.when(score >= MATCH, "match").when(score >= least, "check").otherwise("possibly new")
 
 
-def likelihood(score: Column) -> Column:
-    """Percent of right answers by half-open steps of the score."""
-    step = None
-    for top, percent in LIKELIHOOD_STEPS:
-        step = (F.when if step is None else step.when)(score < top, percent)
-    return step.otherwise(LIKELIHOOD_TOP)
+def likelihood(score: Column, photos: Column | None = None) -> Column:
+    """Rough percent chance that the pick is right, by half-open steps of its spot score; with several photos a score in the check zone's low end says less."""
+    steps = F.coalesce(*[F.when(score >= least, percent) for least, percent in LIKELIHOOD], F.lit(LIKELIHOOD_LOW))
+    if photos is None:
+        return steps
+    return F.when((photos > 1) & (score >= CHECK) & (score < CHECK_MULTI), LIKELIHOOD_MULTI).otherwise(steps)
+
+
+def likelihood_bin(score: Column) -> Column:
+    """Lower edge of the score's bin; a score below all edges has none."""
+    return F.coalesce(*[F.when(score >= edge, edge) for edge in reversed(LIKELIHOOD_BINS)])
 
 
 def verdict_kind(verdict: Column) -> Column:
@@ -52,6 +59,15 @@ def gap_bucket(years: Column) -> Column:
     return F.when(years < 1, "<1").when(years < 2, "1-2").when(years < 3, "2-3").otherwise("3+")
 
 
+#: Fixed value: the first year of the standard photo protocol.
+PROTOCOL_YEAR = 2024
+
+
+def era(day: Column) -> Column:
+    """Before or since the standard photo protocol; null without a day."""
+    return F.when(F.year(day) >= PROTOCOL_YEAR, f"{PROTOCOL_YEAR}+").when(day.isNotNull(), f"before {PROTOCOL_YEAR}")
+
+
 def sightings_bin(n: Column) -> Column:
     return F.when(n <= 2, n.cast("string")).when(n <= 4, "3-4").when(n <= 9, "5-9").otherwise("10+")
 

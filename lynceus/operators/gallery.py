@@ -5,7 +5,8 @@ as a grid of blocks: both sides are dealt to blocks by hash, each pair of blocks
 one matrix product in double precision, and each task reduces its block (best
 reference of each class, or the best references) before anything leaves it.  So the
 shuffle holds each vector once for every block of the other side and a few rows a
-query, never the pairs.
+query, never the pairs.  Blocks are as large as memory allows, so that a vector is
+moved seldom, and smaller only where there would be fewer pairs of blocks than cores.
 
 Gallery frames have the columns ``id, cls, grp, v`` (and ``day`` for time rules).
 """
@@ -18,10 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-#: Rows of a block; a task holds two blocks and their product.
-BLOCK = 512
+#: Rows of a block: at least and at most, and numbers of a block at most; a task holds two blocks and one slab of their product.
+LEAST_BLOCK, MOST_BLOCK, BLOCK_NUMBERS = 512, 8192, 1 << 23
+#: Queries whose products with a block are held at a time.
+SLAB = 512
 
 #: What a query may not be scored against, given arrays of the two blocks: True is left out.
 EXCLUSIONS: dict[str, Callable] = {
@@ -44,8 +49,10 @@ def years_apart(years: int, own_class_only: bool = True) -> Callable:
     return rule
 
 
-def blocks_of(frame: DataFrame, rows: int, block: int) -> int:
-    return max(1, -(-rows // block))
+def block_rows(n: int, m: int, dim: int, cores: int) -> int:
+    """Rows of a block for ``n`` queries and ``m`` references: about four pairs of blocks a core until blocks are as large as they may be."""
+    most = max(1, min(MOST_BLOCK, BLOCK_NUMBERS // max(1, dim)))
+    return min(most, max(LEAST_BLOCK, int((n * m / (4 * cores)) ** 0.5)))
 
 
 def _arrays(t: pa.Table) -> dict:
@@ -88,35 +95,74 @@ def _over(s: np.ndarray, q: dict, r: dict, least: float) -> pa.Table:
 REDUCTIONS = {"class": _best_of_class, "overall": _best_overall, "over": _over}
 
 
-def score(queries: DataFrame, refs: DataFrame, exclude: str | Callable = "sighting", keep: str = "class", k: float = 1, block: int = BLOCK) -> DataFrame:
-    """``(q, cls, ref, score)``: cosines of queries with references.
+def _take(x: dict, rows: slice) -> dict:
+    return {c: a[rows] for c, a in x.items()}
 
-    ``keep`` is ``class`` (the k best references of each class and query), ``overall``
-    (the k best of a query) or ``over`` (all of k or more).  Ties go to the smaller id.
+
+def grid(queries: DataFrame, refs: DataFrame, exclude: str | Callable, reduce: Callable, schema: str, block: int | None = None) -> tuple[DataFrame, int]:
+    """``reduce(scores, q, r)`` over all pairs of blocks, where the scores of left-out pairs are minus infinity; and the number of reference blocks.
+
+    ``reduce`` sees some queries of a block with all references of another and returns
+    the columns of ``schema``.
     """
-    rule, reduce = EXCLUSIONS[exclude] if isinstance(exclude, str) else exclude, REDUCTIONS[keep]
-    counts = queries.agg(F.count(F.lit(1)).alias("n")).crossJoin(refs.agg(F.count(F.lit(1)).alias("m"))).first()
+    rule = EXCLUSIONS[exclude] if isinstance(exclude, str) else exclude
+    size = lambda f, name: f.agg(F.count(F.lit(1)).alias(name), F.max(F.size("v")).alias(name + "dim"))
+    counts = size(queries, "n").crossJoin(size(refs, "m")).first()
+    dim = max(counts.ndim or 1, counts.mdim or 1)
+    block = block or block_rows(counts.n, counts.m, dim, queries.sparkSession.sparkContext.defaultParallelism)
     nq, nr = max(1, -(-counts.n // block)), max(1, -(-counts.m // block))
     deal = lambda f, own, n, other, m: f.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     left, right = deal(queries, "qb", nq, "rb", nr), deal(refs, "rb", nr, "qb", nq)
     right = right.select([F.col(c).alias("r_" + c) for c in right.columns])  # a gallery scored against itself needs names of its own
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return pa.table({"q": np.zeros(0, np.int64), "cls": np.zeros(0, np.int32), "ref": np.zeros(0, np.int64), "score": np.zeros(0)})
-        q, r = _arrays(a), _arrays(b.rename_columns([c[2:] for c in b.column_names]))
-        s = q["v"] @ r["v"].T
-        s[rule(q, r)] = -np.inf
-        got = reduce(s, q, r, k)
-        return got.cast(pa.schema([("q", pa.int64()), ("cls", pa.int32()), ("ref", pa.int64()), ("score", pa.float64())]))
-
-    part = left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInArrow(cell, "q long, cls int, ref long, score double")
+            return arrow.empty_table()
+        every, r, parts = _arrays(a), _arrays(b.rename_columns([c[2:] for c in b.column_names])), []
+        for first in range(0, a.num_rows, SLAB):
+            q = _take(every, slice(first, first + SLAB))
+            s = q["v"] @ r["v"].T
+            s[rule(q, r)] = -np.inf
+            parts.append(reduce(s, q, r).cast(arrow))
+        return pa.concat_tables(parts)
+
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInArrow(cell, schema), nr
+
+
+def score(queries: DataFrame, refs: DataFrame, exclude: str | Callable = "sighting", keep: str = "class", k: float = 1, block: int | None = None) -> DataFrame:
+    """``(q, cls, ref, score)``: cosines of queries with references.
+
+    ``keep`` is ``class`` (the k best references of each class and query), ``overall``
+    (the k best of a query) or ``over`` (all of k or more).  Ties go to the smaller id.
+    """
+    kept = REDUCTIONS[keep]
+    part, nr = grid(queries, refs, exclude, lambda s, q, r: kept(s, q, r, k), "q long, cls int, ref long, score double", block)
     if keep == "over" or nr == 1:
         return part
     by = Window.partitionBy(*(("q", "cls") if keep == "class" else ("q",))).orderBy(F.desc("score"), "ref")
     return part.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).drop("n")
 
 
+def _sums_of_sighting(least: float) -> Callable:
+    def run(s: np.ndarray, q: dict, r: dict) -> pa.Table:
+        groups, code = np.unique(r["grp"], return_inverse=True)
+        open_ = np.isfinite(s)
+        member = np.eye(len(groups))[code]
+        met, strong, total = open_ @ member, (s >= least) @ member, np.where(open_, s, 0.0) @ member
+        i, j = np.nonzero(met)
+        return pa.table({"id": q["id"][i], "rgrp": groups[j], "strong": strong[i, j].astype(np.int64), "total": total[i, j]})
+
+    return run
+
+
+def by_sighting(gallery: DataFrame, least: float, block: int | None = None) -> DataFrame:
+    """``(id, rgrp, strong, total)``: for each photo and each other sighting of its class, how many of its photos match with ``least`` or more and the sum of all scores."""
+    rule = lambda q, r: EXCLUSIONS["sighting"](q, r) | ~EXCLUSIONS["own_class"](q, r)
+    part, nr = grid(gallery, gallery, rule, _sums_of_sighting(least), "id long, rgrp long, strong long, total double", block)
+    return part if nr == 1 else part.groupBy("id", "rgrp").agg(F.sum("strong").alias("strong"), F.sum("total").alias("total"))
+
+
 def top_classes(best: DataFrame, k: int = 5) -> DataFrame:
     """The k best classes of each query: score first, then class."""
     by = Window.partitionBy("q").orderBy(F.desc("score"), "cls")

@@ -8,7 +8,7 @@ is decided when all linked items before it are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.sources.scratch import cut
@@ -16,12 +16,8 @@ from lynceus.sources.scratch import cut
 DISTANCE = 10
 
 
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``(a, b)`` with a before b, for ``prints(id, h array<long>)`` within the distance.
-
-    The bits are cut into distance + 1 pieces; two prints within the distance agree in
-    one at least.
-    """
+def piece_keys(prints: DataFrame, distance: int) -> Column:
+    """The bits of ``prints(h array<long>)`` cut into distance + 1 pieces, each as a number; two prints within the distance agree in one at least."""
     first = prints.select("h").first()
     words = len(first.h) if first else 1
     pieces = distance + 1
@@ -34,8 +30,13 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             if hi > lo:
                 mask = ((1 << hi) - 1) ^ ((1 << lo) - 1)
                 parts.append(F.element_at("h", w + 1).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
-        keys.append(F.struct(F.lit(i).alias("i"), F.xxhash64(*parts).alias("k")))
-    dealt = prints.select("id", "h", F.array(*[k.getField("k") for k in keys]).alias("ks"))
+        keys.append(F.xxhash64(*parts))
+    return F.array(*keys)
+
+
+def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``(a, b)`` with a before b, for ``prints(id, h array<long>)`` within the distance."""
+    dealt = prints.select("id", "h", piece_keys(prints, distance).alias("ks"))
     dealt = dealt.select("id", "h", "ks", F.posexplode("ks").alias("i", "k"))
     other = dealt.select([F.col(c).alias("o_" + c) for c in dealt.columns])
     gap = F.aggregate(F.zip_with("h", "o_h", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)

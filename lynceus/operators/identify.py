@@ -12,11 +12,12 @@ from lynceus.functions.decisions import band, likelihood
 from lynceus.operators import gallery as G
 
 
-def identify(spot: DataFrame, emb: DataFrame, cutoff: float, weight: float = 1.0) -> DataFrame:
+def identify(spot: DataFrame, emb: DataFrame, cutoff: float, weight: float = 1.0, photos: DataFrame | None = None) -> DataFrame:
     """One row a query: the best fused class, its score, its spot score with band and likelihood, the top five, and whether the individual is likely new.
 
     ``spot`` and ``emb`` are ``(q, cls, score)``, best of each class.  The likely-new
-    flag compares the best unrounded similarity with a calibrated cut-off.
+    flag compares the best unrounded similarity with a calibrated cut-off.  Where a query
+    stands for several photos, ``photos(q, n)`` tells how many.
     """
     five = G.top_classes(G.fuse(spot, emb, weight), 5)
     top = five.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cls", "score"))), lambda x: F.struct(x.cls, x.score)).alias("top"))
@@ -24,7 +25,10 @@ def identify(spot: DataFrame, emb: DataFrame, cutoff: float, weight: float = 1.0
     s = spot.select(F.col("q").alias("sq"), F.col("cls").alias("sc"), F.col("score").alias("spot"))
     out = top.select("q", F.col("top")[0]["cls"].alias("pick"), F.col("top")[0]["score"].alias("score"), "top").join(best, "q", "left")
     out = out.join(s, (F.col("q") == F.col("sq")) & (F.col("pick") == F.col("sc")), "left").withColumn("spot", F.coalesce("spot", F.lit(0.0)))
-    return out.select("q", "pick", "score", "spot", band(F.col("spot")).alias("band"), likelihood(F.col("spot")).alias("likelihood"), (F.coalesce("sim", F.lit(-1.0)) < cutoff).alias("likely_new"), "top")
+    n = None
+    if photos is not None:
+        out, n = out.join(photos.select("q", F.col("n").alias("photos_")), "q", "left"), F.coalesce("photos_", F.lit(1))
+    return out.select("q", "pick", "score", "spot", band(F.col("spot"), n).alias("band"), likelihood(F.col("spot"), n).alias("likelihood"), (F.coalesce("sim", F.lit(-1.0)) < cutoff).alias("likely_new"), "top")
 
 
 def decide(scores: dict[str, tuple[DataFrame, float | None]], similarity: DataFrame, cutoff: float, asked: Callable[[Column], Column] | None = None, best: str = "best") -> DataFrame:
@@ -105,8 +109,9 @@ def combine(photos: DataFrame, how: str = "sum") -> DataFrame:
     """``(grp, cls, score)`` from ``photos(q, grp, side, cls, spot, emb)``, one row a photo and class.
 
     ``sum`` adds the fused scores; ``sides`` adds those of side views, or of all photos
-    where a set has none; the next two mix the two kinds of evidence; ``vote`` counts
-    photos whose best class it is, with the mean spot and vector as small tie-breaks.
+    where a set has none; the next two take the best of one kind of evidence and the mean,
+    or the sum over photos, of the other; in a ``vote`` each photo gives its best class one
+    and a thousandth of that score, and a millionth of all scores breaks ties.
     """
     fused = F.log1p(F.greatest("spot", F.lit(0.0))) + F.col("emb")
     rows = photos.withColumn("f", fused)
@@ -120,9 +125,9 @@ def combine(photos: DataFrame, how: str = "sum") -> DataFrame:
     if how == "best spot, mean vector":
         return by.agg((F.log1p(F.greatest(F.max("spot"), F.lit(0.0))) + F.avg("emb")).alias("score"))
     if how == "sum of spots, best vector":
-        return by.agg((F.log1p(F.sum(F.greatest("spot", F.lit(0.0)))) + F.max("emb")).alias("score"))
+        return by.agg((F.sum(F.log1p(F.greatest("spot", F.lit(0.0)))) + F.max("emb")).alias("score"))
     if how == "vote":
         best = rows.groupBy("q").agg(F.max(F.struct("f", (-F.col("cls")).alias("c"))).alias("b")).select("q", (-F.col("b.c")).alias("top"))
-        voted = rows.join(best, "q").withColumn("v", (F.col("cls") == F.col("top")).cast("double"))
-        return voted.groupBy("grp", "cls").agg((F.sum("v") + F.avg("spot") * 1e-3 + F.avg("emb") * 1e-6).alias("score"))
+        given = F.when(F.col("cls") == F.col("top"), 1 + F.col("f") * 1e-3).otherwise(0.0)
+        return rows.join(best, "q").groupBy("grp", "cls").agg((F.sum(given) + F.sum("f") * 1e-6).alias("score"))
     raise ValueError(f"one of {COMBINERS}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lynceus.functions.decisions import likelihood_bin
 from lynceus.operators.prefix import running_before
 
 
@@ -83,3 +84,16 @@ def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) ->
         part = F.max(at - F.floor(at))
         out.append((low + (high - low) * part).alias(name))
     return placed.groupBy(by).agg(*out)
+
+
+def with_log(rows: DataFrame) -> DataFrame:
+    """``log1p`` of a score that isn't negative: what chances of right answers are fitted on."""
+    return rows.withColumn("log1p", F.log1p(F.greatest("score", F.lit(0.0))))
+
+
+def binned(rows: DataFrame, fit: dict[str, float] | None = None) -> DataFrame:
+    """``(bin, n, right, observed)`` of ``rows(score, right)`` in the fixed score bins, and with coefficients of :func:`projection.logistic` on ``log1p`` the mean ``fitted`` chance.  Scores below all bins are left out."""
+    chance = F.lit(None).cast("double") if fit is None else 1 / (1 + F.exp(-(F.col("log1p") * F.lit(fit["log1p"]) + F.lit(fit["constant"]))))
+    binned = with_log(rows).select(likelihood_bin(F.col("score")).alias("bin"), F.col("right").cast("int").alias("r"), chance.alias("p")).filter("bin is not null")
+    more = [] if fit is None else [F.avg("p").alias("fitted")]
+    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("right"), F.avg("r").alias("observed"), *more)

@@ -52,20 +52,22 @@ def spread_dates(photos: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 
 def closest_comparable(photos: DataFrame) -> DataFrame:
-    """For each photo another of its class and view: another date first, then the latest, then the smallest id.
+    """For each photo another of its class: of its view and another date, else of its view, else any; of these the latest, then the smallest id.
 
     The answer is always among the two smallest ids of the two latest dates of the
-    class and view, so each photo meets four candidates at most, not its whole class.
+    class and view, or the two latest photos of the class, so each photo meets six
+    candidates at most, not its whole class.
     """
     group = ["cls", "view"]
     first = Window.partitionBy(*group, "date").orderBy("id")
     two = photos.withColumn("k", F.row_number().over(first)).filter("k <= 2")
     late = Window.partitionBy(*group).orderBy(F.desc_nulls_last("date"))
-    two = two.withColumn("d", F.dense_rank().over(late)).filter("d <= 2")
-    o = two.select(F.col("cls").alias("oc"), F.col("view").alias("ov"), F.col("id").alias("other"), F.col("date").alias("od"))
-    both = photos.join(o, (F.col("cls") == F.col("oc")) & (F.col("view") == F.col("ov")) & (F.col("id") != F.col("other")))
-    apart = F.coalesce(F.col("date") != F.col("od"), F.lit(False))
-    best = F.max(F.struct(apart.alias("p"), F.coalesce(F.col("od"), F.lit("0001-01-01").cast("date")).alias("d"), (-F.col("other")).alias("o")))
+    of_view = two.withColumn("d", F.dense_rank().over(late)).filter("d <= 2")
+    of_class = two.withColumn("d", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc_nulls_last("date"), "id"))).filter("d <= 2")
+    met = lambda rows, on, view: photos.join(rows.select(*on, F.col("id").alias("other"), F.col("date").alias("od")), list(on)).filter("id <> other").select("id", "date", "other", "od", F.lit(view).alias("same"))
+    both = met(of_view, ("cls", "view"), True).unionAll(met(of_class, ("cls",), False))
+    apart = F.col("same") & F.coalesce(F.col("date") != F.col("od"), F.lit(False))
+    best = F.max(F.struct("same", apart.alias("p"), F.coalesce(F.col("od"), F.lit("0001-01-01").cast("date")).alias("d"), (-F.col("other")).alias("o")))
     return both.groupBy("id").agg(best.alias("x")).select("id", (-F.col("x.o")).alias("other"))
 
 

@@ -27,7 +27,7 @@ def query(sql: str | None):
 
 @query("""WITH $BASE $SPOTS, sims AS (SELECT q, max(score) AS sim FROM best GROUP BY q), t AS (SELECT f.q, f.cls, f.f, coalesce(sp.sp, 0) AS spot FROM frank f LEFT JOIN sp ON sp.q = f.q AND sp.cls = f.cls WHERE rank = 1)
 SELECT t.q AS vec_id, cls AS pick, round(f, 6) AS score, round(spot, 6) AS spot, CASE WHEN spot >= 2 THEN 'match' WHEN spot >= 1.2 THEN 'check' ELSE 'possibly new' END AS band,
-CASE WHEN spot < 0.4 THEN 6 WHEN spot < 0.8 THEN 18 WHEN spot < 1.2 THEN 40 WHEN spot < 1.6 THEN 44 ELSE 100 END AS likelihood, sim < 0.3 AS likely_new FROM t JOIN sims USING (q)""")
+CASE WHEN spot >= 3 THEN 98 WHEN spot >= 2 THEN 97 WHEN spot >= 1.5 THEN 95 WHEN spot >= 1.2 THEN 45 WHEN spot >= 1 THEN 30 WHEN spot >= 0.8 THEN 15 ELSE 5 END AS likelihood, sim < 0.3 AS likely_new FROM t JOIN sims USING (q)""")
 def identify_decisions(spark, sf_dir):
     g = load(spark, sf_dir)
     return I.identify(spots(g), best(g), 0.3).select(F.col("q").alias("vec_id"), "pick", r6("score"), r6("spot"), "band", "likelihood", "likely_new")
@@ -123,8 +123,8 @@ pf AS (SELECT *, ln(1 + greatest(spot, 0)) + emb AS f FROM ph)"""
 top AS (SELECT q, cls FROM (SELECT q, cls, row_number() OVER (PARTITION BY q ORDER BY f DESC, cls) AS k FROM pf) WHERE k = 1),
 a AS (SELECT 'sum' AS how, grp, cls, sum(f) AS s FROM pf GROUP BY ALL UNION ALL SELECT 'sides', grp, cls, sum(f) FROM pf JOIN has USING (grp) WHERE side OR NOT h GROUP BY ALL
   UNION ALL SELECT 'best spot, mean vector', grp, cls, ln(1 + greatest(max(spot), 0)) + avg(emb) FROM pf GROUP BY ALL
-  UNION ALL SELECT 'sum of spots, best vector', grp, cls, ln(1 + sum(greatest(spot, 0))) + max(emb) FROM pf GROUP BY ALL
-  UNION ALL SELECT 'vote', pf.grp, pf.cls, sum((top.cls = pf.cls)::INT) + avg(spot) * 1e-3 + avg(emb) * 1e-6 FROM pf JOIN top USING (q) GROUP BY ALL)
+  UNION ALL SELECT 'sum of spots, best vector', grp, cls, sum(ln(1 + greatest(spot, 0))) + max(emb) FROM pf GROUP BY ALL
+  UNION ALL SELECT 'vote', pf.grp, pf.cls, sum(CASE WHEN top.cls = pf.cls THEN 1 + 1e-3 * f ELSE 0 END) + 1e-6 * sum(f) FROM pf JOIN top USING (q) GROUP BY ALL)
 SELECT how, grp AS "set", cls AS pick, round(s, 6) AS score FROM a""")
 def combine_variants(spark, sf_dir):
     from functools import reduce

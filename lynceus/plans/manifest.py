@@ -161,7 +161,7 @@ def date_propagation(spark, sf_dir):
     return S.spread_dates(p, p.filter("id % 6 = 0").select(F.col("id").alias("a"), (F.col("id") + 4).alias("b"))).select(F.col("id").alias("doc_id"), F.col("date").cast("string").alias("date"))
 
 
-@query(f"""WITH {DATED}, j AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY coalesce(a.date <> b.date, false) DESC, b.date DESC NULLS LAST, b.id) AS k FROM p a JOIN p b ON a.cls = b.cls AND a.view = b.view AND a.id <> b.id)
+@query(f"""WITH {DATED}, j AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY coalesce(a.view = b.view, false) DESC, coalesce(a.view = b.view AND a.date <> b.date, false) DESC, b.date DESC NULLS LAST, b.id) AS k FROM p a JOIN p b ON a.cls = b.cls AND a.id <> b.id)
 SELECT id AS doc_id, other FROM j WHERE k = 1""")
 def closest_comparable(spark, sf_dir):
     return S.closest_comparable(dated(spark, sf_dir)).select(F.col("id").alias("doc_id"), "other")

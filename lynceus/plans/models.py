@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lynceus.functions.decisions import gap_bucket
+from lynceus.functions.decisions import era, gap_bucket
 from lynceus.operators import gallery as G
 from lynceus.operators import greedy, projection, spots
 from lynceus.operators import metrics as M
@@ -143,16 +143,33 @@ o AS (SELECT q, max(s) AS other FROM pairs WHERE cls <> qcls GROUP BY q)
 SELECT CASE WHEN gap < 1 THEN '<1' WHEN gap < 2 THEN '1-2' WHEN gap < 3 THEN '2-3' ELSE '3+' END AS gap, count(*) AS n, round(avg((own > other)::INT), 6) AS "right", round(quantile_cont(own, 0.5), 6) AS "median" FROM e JOIN o USING (q) GROUP BY 1""")
 def one_other_encounter(spark, sf_dir):
     """Each query against each other encounter of its class alone, by the years between."""
+    rows = _encounters(spark, sf_dir).select(gap_bucket(F.col("gap")).alias("gap"), "own", (F.col("own") > F.col("other")).cast("int").alias("ok"))
+    return rows.groupBy("gap").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ok"), 6).alias("right"), F.round(F.percentile("own", 0.5), 6).alias("median"))
+
+
+def _encounters(spark, sf_dir):
+    """``(q, rgrp, own, gap, qday, rday, other)``: each query's best score with each other encounter of its class, the years and first days of both, and its best score with other classes."""
     g = G.with_other_sighting(_with_day(spark, sf_dir))
     not_own = lambda q, r: G.EXCLUSIONS["sighting"](q, r) | ~G.EXCLUSIONS["own_class"](q, r)
     own = G.score(g, g, not_own, "over", -2.0)
     r = g.select(F.col("id").alias("ref"), F.col("grp").alias("rgrp"), F.col("day").alias("rday"))
     q = g.select(F.col("id").alias("q"), F.col("day").alias("qday"))
-    e = own.join(r, "ref").join(q, "q").groupBy("q", "rgrp").agg(F.max("score").alias("own"), (F.min(F.abs(F.col("qday") - F.col("rday"))) / 365.25).alias("gap"))
-    all_ = load(spark, sf_dir)
-    other = G.score(g, all_, lambda q, r: G.EXCLUSIONS["sighting"](q, r) | G.EXCLUSIONS["own_class"](q, r)).groupBy("q").agg(F.max("score").alias("other"))
-    rows = e.join(other, "q").select(gap_bucket(F.col("gap")).alias("gap"), "own", (F.col("own") > F.col("other")).cast("int").alias("ok"))
-    return rows.groupBy("gap").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ok"), 6).alias("right"), F.round(F.percentile("own", 0.5), 6).alias("median"))
+    e = own.join(r, "ref").join(q, "q").groupBy("q", "rgrp", "qday").agg(F.max("score").alias("own"), (F.min(F.abs(F.col("qday") - F.col("rday"))) / 365.25).alias("gap"), F.min("rday").alias("rday"))
+    other = G.score(g, load(spark, sf_dir), lambda q, r: G.EXCLUSIONS["sighting"](q, r) | G.EXCLUSIONS["own_class"](q, r)).groupBy("q").agg(F.max("score").alias("other"))
+    return e.join(other, "q")
+
+
+@query(f"""WITH $BASE, d AS (SELECT vec_id AS id, {DAYS} AS day FROM embeddings), e AS (SELECT q, rgrp, a.day AS qday, max(s) AS own, min(b.day) AS rday FROM pairs JOIN d a ON a.id = q JOIN d b ON b.id = ref WHERE cls = qcls GROUP BY ALL),
+o AS (SELECT q, max(s) AS other FROM pairs WHERE cls <> qcls GROUP BY q), x AS (SELECT *, DATE '2021-01-01' + qday::INTEGER AS qd, DATE '2021-01-01' + rday::INTEGER AS rd FROM e JOIN o USING (q))
+SELECT CASE WHEN year(qd) >= 2024 THEN '2024+' ELSE 'before 2024' END AS taken, CASE WHEN year(rd) >= 2024 THEN '2024+' ELSE 'before 2024' END AS encounter, count(*) AS n, round(avg((own > other)::INT), 6) AS "right",
+round(quantile_cont(own, 0.5), 6) AS "median", round(avg((own >= 0.3)::INT), 6) AS strong FROM x GROUP BY 1, 2""")
+def one_other_encounter_by_era(spark, sf_dir):
+    """The same by whether each of the two was photographed by the standard protocol."""
+    day = lambda c: F.date_add(F.lit("2021-01-01").cast("date"), F.col(c).cast("int"))
+    rows = _encounters(spark, sf_dir).select(era(day("qday")).alias("taken"), era(day("rday")).alias("encounter"), "own", (F.col("own") > F.col("other")).cast("int").alias("ok"))
+    return rows.groupBy("taken", "encounter").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("ok"), 6).alias("right"), F.round(F.percentile("own", 0.5), 6).alias("median"), F.round(F.avg((F.col("own") >= 0.3).cast("int")), 6).alias("strong")
+    )
 
 
 def features(spark, sf_dir):

@@ -211,34 +211,40 @@ def sighting_vote(spark, sf_dir):
 SUPPORT_LEAST = 0.2
 
 
-def support(g: DataFrame) -> DataFrame:
-    """For each reference: distinct other sightings of its class that match it, and the matched total."""
+def support(g: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each reference shares with each other sighting of its class, and its support: sightings with a strong match, and the sum of all."""
     from lynceus.operators.audit import support_of
+    from lynceus.sources.scratch import cut
 
-    pairs = G.score(g, g, lambda q, r: G.EXCLUSIONS["sighting"](q, r) | ~G.EXCLUSIONS["own_class"](q, r), "over", SUPPORT_LEAST)
-    return support_of(pairs, g)
+    met = cut(G.by_sighting(g, SUPPORT_LEAST))
+    return met, support_of(met, g)
 
 
-SUPPORT = f""", sup AS (SELECT q AS id, count(DISTINCT rgrp) AS sightings, sum(s) AS total FROM (SELECT q.id AS q, r.grp AS rgrp, list_dot_product(q.v, r.v) / (q.n * r.n) AS s FROM m q JOIN m r ON q.cls = r.cls AND q.grp <> r.grp) WHERE s >= {SUPPORT_LEAST} GROUP BY q),
+SUPPORT = f""", met AS (SELECT q.id, r.grp AS rgrp, count(*) FILTER (WHERE list_dot_product(q.v, r.v) / (q.n * r.n) >= {SUPPORT_LEAST}) AS strong, sum(list_dot_product(q.v, r.v) / (q.n * r.n)) AS total FROM m q JOIN m r ON q.cls = r.cls AND q.grp <> r.grp GROUP BY ALL),
+sup AS (SELECT id, count(*) FILTER (WHERE strong > 0) AS sightings, sum(total) AS total FROM met GROUP BY id),
 supp AS (SELECT m.id, m.cls, m.grp, coalesce(sightings, 0) AS sightings, coalesce(total, 0) AS total FROM m LEFT JOIN sup ON sup.id = m.id)"""
 
 
 @query("WITH $BASE" + SUPPORT + """, t AS (SELECT *, row_number() OVER (PARTITION BY cls, id % 2 ORDER BY sightings DESC, round(total, 9) DESC, id) AS k FROM supp)
 SELECT cls AS label, id % 2 AS side, CAST(k AS INTEGER) AS rank, id AS vec_id, sightings, round(total, 6) AS total FROM t WHERE k <= 3""")
 def index_support_topk(spark, sf_dir):
-    s = support(load(spark, sf_dir)).withColumn("side", F.col("id") % 2)
+    s = support(load(spark, sf_dir))[1].withColumn("side", F.col("id") % 2)
     by = Window.partitionBy("cls", "side").orderBy(F.desc("sightings"), F.desc(F.round("total", 9)), "id")
     top = s.withColumn("rank", F.row_number().over(by)).filter("rank <= 3")
     return top.select(F.col("cls").alias("label"), "side", "rank", F.col("id").alias("vec_id"), "sightings", r6("total"))
 
 
-@query("WITH $BASE" + SUPPORT + """, b AS (SELECT q, cls, ref, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, cls, ref) AS k FROM pairs)
-SELECT b.q AS vec_id, b.cls AS pick, CASE WHEN s < 0.3 THEN 'possibly new' WHEN sightings = 0 THEN 'check' ELSE 'match' END AS band FROM b JOIN supp ON supp.id = b.ref WHERE k = 1""")
+@query("WITH $BASE" + SUPPORT + """, b AS (SELECT q, qcls, qgrp, cls, ref, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, cls, ref) AS k FROM pairs),
+u AS (SELECT b.*, sightings - CASE WHEN b.cls = qcls AND coalesce(met.strong, 0) > 0 THEN 1 ELSE 0 END AS left_ FROM b JOIN supp ON supp.id = b.ref LEFT JOIN met ON met.id = b.ref AND met.rgrp = b.qgrp WHERE k = 1)
+SELECT q AS vec_id, cls AS pick, left_ AS support, CASE WHEN s < 0.2 THEN 'possibly new' WHEN s < 0.3 OR left_ < 1 THEN 'check' ELSE 'match' END AS band FROM u""")
 def two_tier_downgrade(spark, sf_dir):
     from lynceus.operators.audit import two_tier
 
     g = load(spark, sf_dir)
-    return two_tier(G.top_classes(best(g), 1), support(g), 0.3).select(F.col("q").alias("vec_id"), F.col("cls").alias("pick"), "band")
+    met, support_ = support(g)
+    queries = g.select(F.col("id").alias("q"), F.col("cls").alias("true_cls"), "grp")
+    out = two_tier(G.top_classes(best(g), 1), queries, met, support_, 0.3, 0.2)
+    return out.select(F.col("q").alias("vec_id"), F.col("cls").alias("pick"), "support", "band")
 
 
 @query("WITH $BASE" + """, ownb AS (SELECT q, max(s) AS own, arg_max(ref, (s, -ref)) AS own_ref FROM pairs WHERE cls = qcls GROUP BY q),
@@ -268,27 +274,39 @@ def pair_links_components(spark, sf_dir):
     return c.select(F.col("node").alias("vec_id"), F.col("component").alias("cluster"), F.count(F.lit(1)).over(Window.partitionBy("component")).alias("size"))
 
 
-@query("WITH $BASE" + SUPPORT + """, side AS (SELECT id, cls, grp, id % 2 AS side FROM m),
-pr AS (SELECT a.id, a.cls, a.grp, b.grp AS bgrp, list_dot_product(a.v, b.v) / (a.n * b.n) AS s FROM m a JOIN m b ON a.cls = b.cls AND a.grp <> b.grp),
-x AS (SELECT DISTINCT cls, grp AS gone FROM m),
-cand AS (SELECT x.cls, x.gone, side.id, side.side, count(DISTINCT pr.bgrp) FILTER (WHERE s >= 0.2) AS n, coalesce(sum(s) FILTER (WHERE s >= 0.2), 0) AS total
-  FROM x JOIN side ON side.cls = x.cls AND side.grp <> x.gone LEFT JOIN pr ON pr.id = side.id AND pr.bgrp <> x.gone GROUP BY ALL),
-own AS (SELECT *, row_number() OVER (PARTITION BY cls, gone, side ORDER BY n DESC, round(total, 9) DESC, id) AS k FROM cand),
-oth AS (SELECT *, row_number() OVER (PARTITION BY cls, id % 2 ORDER BY sightings DESC, round(total, 9) DESC, id) AS k FROM supp),
-ok AS (SELECT q, qcls, cls, s FROM pairs WHERE (cls = qcls AND EXISTS (SELECT 1 FROM own WHERE own.cls = qcls AND own.gone = qgrp AND own.id = ref AND k <= 3)) OR (cls <> qcls AND EXISTS (SELECT 1 FROM oth WHERE oth.id = ref AND k <= 3))),
+#: The index over all sightings (``oth``) and, of the query's class, without its own sighting (``own``); ``{keep}`` says which rows stay.
+INDEX = """, side AS (SELECT id, cls, grp, id % 2 AS side FROM m),
+cand AS (SELECT side.cls, met.rgrp AS gone, side.grp, side.id, side.side, sightings - (strong > 0)::INT AS n, supp.total - met.total AS total FROM met JOIN side USING (id) JOIN supp USING (id)),
+own AS (SELECT *, row_number() OVER (PARTITION BY cls, gone, side ORDER BY n DESC, round(total, 9) DESC, id) AS k, (min(grp) OVER w = max(grp) OVER w) AS single FROM cand WINDOW w AS (PARTITION BY cls, gone)),
+oth AS (SELECT *, sightings AS n, row_number() OVER (PARTITION BY cls, id % 2 ORDER BY sightings DESC, round(total, 9) DESC, id) AS k, (min(grp) OVER w = max(grp) OVER w) AS single FROM supp WINDOW w AS (PARTITION BY cls)),
+ok AS (SELECT p.q, p.qcls, p.cls, s FROM pairs p JOIN own ON own.cls = qcls AND own.gone = qgrp AND own.id = ref WHERE p.cls = qcls AND ({keep})
+  UNION ALL SELECT p.q, p.qcls, p.cls, s FROM pairs p JOIN oth ON oth.id = ref WHERE p.cls <> qcls AND ({keep})),
 b2 AS (SELECT q, qcls, cls, max(s) AS score FROM ok GROUP BY ALL), r2 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, cls) AS k FROM b2)
-SELECT count(*) AS n, round(avg((cls = qcls)::INT), 6) AS top1 FROM r2 WHERE k = 1""")
-def restricted_index_accuracy(spark, sf_dir):
+SELECT count(*) AS n, round(avg((cls = qcls)::INT), 6) AS top1 FROM r2 WHERE k = 1"""
+
+
+def _accuracy_with_index(g: DataFrame, k: int | None) -> DataFrame:
     from lynceus.operators.audit import index_choice
 
-    g = load(spark, sf_dir)
-    of_class = lambda q, r: G.EXCLUSIONS["sighting"](q, r) | ~G.EXCLUSIONS["own_class"](q, r)
-    links = G.score(g, g, of_class, "over", SUPPORT_LEAST)
-    general, own = index_choice(links, g.withColumn("side", F.col("id") % 2), 3)
+    met, _ = support(g)
+    general, own = index_choice(met, g.withColumn("side", F.col("id") % 2), k)
     queries = G.with_other_sighting(g)
     others = G.score(queries, g.join(general, "id", "left_semi"), lambda q, r: G.EXCLUSIONS["sighting"](q, r) | G.EXCLUSIONS["own_class"](q, r), "class", 1)
+    of_class = lambda q, r: G.EXCLUSIONS["sighting"](q, r) | ~G.EXCLUSIONS["own_class"](q, r)
     mine = G.score(queries, g, of_class, "over", -2.0)
     mine = mine.join(g.select(F.col("id").alias("q"), F.col("grp").alias("gone")), "q").join(own.withColumnRenamed("id", "ref"), ["cls", "gone", "ref"], "left_semi")
     mine = mine.groupBy("q", "cls").agg(F.max("score").alias("score"))
     top = G.top_classes(others.select("q", "cls", "score").unionByName(mine), 1).join(truth(g), "q")
     return top.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("cls") == F.col("true_cls")).cast("int")), 6).alias("top1"))
+
+
+@query("WITH $BASE" + SUPPORT + INDEX.replace("{keep}", "k <= 3"))
+def restricted_index_accuracy(spark, sf_dir):
+    """Three photos of each class and side are the index; a query's own class is chosen anew without its sighting."""
+    return _accuracy_with_index(load(spark, sf_dir), 3)
+
+
+@query("WITH $BASE" + SUPPORT + INDEX.replace("{keep}", "n > 0 OR single"))
+def supported_index_accuracy(spark, sf_dir):
+    """All photos but those that no other sighting supports."""
+    return _accuracy_with_index(load(spark, sf_dir), None)

@@ -98,10 +98,34 @@ def band_table(spark, sf_dir):
     return names.join(per, "band", "left").select("band", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("known", "right", "new")])
 
 
-@query(f"WITH {SCORES}, b AS (SELECT CASE WHEN score < 0.4 THEN 6 WHEN score < 0.8 THEN 18 WHEN score < 1.2 THEN 40 WHEN score < 1.6 THEN 44 ELSE 100 END AS step, correct FROM s) SELECT step, count(*) AS n, round(avg(correct::INT), 6) AS \"right\" FROM b GROUP BY step")
+BINS = "CASE WHEN score >= 5 THEN 5 WHEN score >= 3 THEN 3 WHEN score >= 2 THEN 2 WHEN score >= 1.5 THEN 1.5 WHEN score >= 1.2 THEN 1.2 WHEN score >= 1 THEN 1 WHEN score >= 0.8 THEN 0.8 WHEN score >= 0 THEN 0 END"
+
+
+@query(f"""WITH {SCORES}, b AS (SELECT ({BINS})::DOUBLE AS bin, correct FROM s)
+SELECT bin, count(*) AS n, count(*) FILTER (WHERE correct) AS "right", round(avg(correct::INT), 6) AS observed FROM b WHERE bin IS NOT NULL GROUP BY bin""")
 def likelihood_bins(spark, sf_dir):
-    s = scores(spark, sf_dir).select(decisions.likelihood(F.col("score")).alias("step"), "correct")
-    return s.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("right"))
+    return M.binned(scores(spark, sf_dir).select("score", F.col("correct").alias("right"))).select("bin", "n", "right", F.round("observed", 6).alias("observed"))
+
+
+@query(None)
+def likelihood_fit(spark, sf_dir):
+    """The same bins with the mean of a logistic fit on log1p of the score."""
+    from lynceus.operators.projection import logistic
+
+    s = scores(spark, sf_dir).select("score", F.col("correct").alias("right"))
+    fit = logistic(M.with_log(s).withColumn("y", F.col("right").cast("int")), ["log1p"], "y")
+    return M.binned(s, {r.term: r.weight for r in fit.collect()}).select("bin", "n", "right", F.round("observed", 6).alias("observed"), F.round("fitted", 6).alias("fitted"))
+
+
+STEPS = "CASE WHEN best >= 3 THEN 98 WHEN best >= 2 THEN 97 WHEN best >= 1.5 THEN 95 WHEN n > 1 AND best >= 1.2 THEN 30 WHEN best >= 1.2 THEN 45 WHEN best >= 1 THEN 30 WHEN best >= 0.8 THEN 15 ELSE 5 END"
+
+
+@query(f"""WITH {SCORES}, e AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, max(score) AS best FROM s GROUP BY ALL)
+SELECT user_id, CAST(day AS VARCHAR) AS day, n, CASE WHEN best >= 2 THEN 'match' WHEN best >= CASE WHEN n > 1 THEN 1.5 ELSE 1.2 END THEN 'check' ELSE 'possibly new' END AS band, {STEPS} AS likelihood FROM e""")
+def encounter_likelihood(spark, sf_dir):
+    """Band and likelihood of a set's best score, which need more where the set has several photos."""
+    e = scores(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    return e.select("user_id", F.col("day").cast("string").alias("day"), "n", decisions.band(F.col("best"), F.col("n")).alias("band"), decisions.likelihood(F.col("best"), F.col("n")).alias("likelihood"))
 
 
 @query(f"WITH {SCORES}, e AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(score) AS m, count(*) AS n, max(score) AS best FROM s GROUP BY ALL) SELECT user_id, CAST(day AS VARCHAR) AS day, n, round(m, 6) AS mean, round(best, 6) AS best FROM e")
@@ -158,11 +182,11 @@ def json_props(spark, sf_dir):
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_log_summary(spark, sf_dir):
     """The summary that a stream of the log keeps, after all of it: three files, a micro-batch each."""
-    from lynceus.streaming import log
+    from lynceus.streaming import keyed, log
 
     rows, target = _stream(spark, events(spark, sf_dir).select("event_id", "ts", "event_type", "user_id", "value"))
-    log.keep_summary(rows, f"{target}/state", f"{target}/checkpoint").awaitTermination()
-    return log.summary_of(log.latest(spark, f"{target}/state")).withColumn("day", F.col("day").cast("string"))
+    log.keep_summary(rows, f"{target}/checkpoint").awaitTermination()
+    return log.summary_of(keyed.kept(spark, f"{target}/checkpoint")).withColumn("day", F.col("day").cast("string"))
 
 
 def _stream(spark, rows):
@@ -178,25 +202,25 @@ def _stream(spark, rows):
 @query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def stream_last_wins(spark, sf_dir):
     """The last row of each key in append order, whatever the order in which the files come."""
-    from lynceus.streaming import log
+    from lynceus.streaming import keyed, log
 
     rows, target = _stream(spark, events(spark, sf_dir).select("user_id", "event_type", "event_id", "value"))
-    log.keep_last(rows, f"{target}/state", f"{target}/checkpoint", ["user_id", "event_type"], "event_id", ["value"]).awaitTermination()
-    return log.latest(spark, f"{target}/state").select("user_id", "event_type", "value", "event_id")
+    log.keep_last(rows, f"{target}/checkpoint", ["user_id", "event_type"], "event_id", ["value"]).awaitTermination()
+    return keyed.kept(spark, f"{target}/checkpoint").select("user_id", "event_type", "value", "event_id")
 
 
 @query("""WITH s AS (SELECT event_id % 50 AS upload_id, arg_max(event_id, event_id) AS e FROM events WHERE event_id % 4 <> 0 AND event_id % 5 <> 1 GROUP BY 1)
 SELECT CAST(unnest([e, e + 1, e * 2]) AS VARCHAR) AS member, upload_id FROM s""")
 def stream_members(spark, sf_dir):
     """Which photos a set has, from the log's own rows on sets; the last row of a set wins, other rows say nothing."""
-    from lynceus.streaming import log
+    from lynceus.streaming import keyed, log
 
     e = F.col("event_id")
     notes = F.concat(F.when(e % 5 == 1, "spot ").otherwise(log.MEMBERS), F.concat_ws(";", e.cast("string"), (e + 1).cast("string"), (e * 2).cast("string")))
     rows = events(spark, sf_dir).select("event_id", (e % 50).alias("upload_id"), F.when(e % 4 == 0, "best").otherwise("sighting").alias("method"), notes.alias("notes"), e.alias("seq"))
     rows, target = _stream(spark, rows)
-    log.keep_members(rows, f"{target}/state", f"{target}/checkpoint").awaitTermination()
-    return log.set_of(log.latest(spark, f"{target}/state"), "upload_id").select("member", "upload_id")
+    log.keep_members(rows, f"{target}/checkpoint").awaitTermination()
+    return log.set_of(keyed.kept(spark, f"{target}/checkpoint"), "upload_id").select("member", "upload_id")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

@@ -1,26 +1,22 @@
 """The append-only log as a stream.
 
-The log is a file source; each micro-batch merges into a materialised table that is
-replaced as a whole.  Feedback may come late without bound and the last row in append
-order wins, so the state is a table keyed by upload and no watermark drops anything.
-Distinct users are exact: the summary's state has a row for each day, kind and user, so
-what a micro-batch adds is an aggregate of it and the state is an aggregate of aggregates.
+The log is a file source; what is kept of it is a value a key in the state store (see
+:mod:`lynceus.streaming.keyed`), read back from the checkpoint as a table.  Feedback may
+come late without bound and the last row in append order wins, so no watermark drops
+anything.  Distinct users are exact: the summary's state has a row for each day, kind and
+user, and the summary is an aggregate of it.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lynceus.operators.session import last_wins
-from lynceus.sources.scratch import delete
-
-#: Versions of a kept table that stay: the newest, and the one before for those who still read it.
-VERSIONS = 2
+from lynceus.streaming import keyed
 
 
 def _per_user(log: DataFrame) -> DataFrame:
@@ -41,61 +37,43 @@ def read_log(spark: SparkSession, folder: str, schema, files_per_batch: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def keep_merged(log: DataFrame, target: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> StreamingQuery:
-    """A table that every micro-batch is merged into, in ``target/<version>``; a replayed batch writes the same rows again.
-
-    ``merge`` gets the batch and the newest version from before it, or None.  ``latest``
-    names the version that is whole; older ones than the last ``VERSIONS`` are deleted.
-    """
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        merge(batch, latest(spark, target, before=number)).write.mode("overwrite").parquet(f"{target}/v{number:09d}")
-        for name in _whole(spark, target, None)[:-VERSIONS]:
-            delete(spark, f"{target}/{name}")
-
-    return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _fields(rows: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
 
 
-def keep_last(log: DataFrame, target: str, checkpoint: str, keys: list[str], order: str, values: list[str]) -> StreamingQuery:
-    """Last-wins state of a streaming log."""
+def keep_last(log: DataFrame, checkpoint: str, keys: list[str], order: str, values: list[str]) -> StreamingQuery:
+    """Last-wins state of a streaming log; :func:`keyed.kept` reads it."""
+    names = [*values, order]
+    rows = keyed.last_of_batch(log.select(*keys, *names), keys, order)
+    return keyed.start(keyed.keep(rows, keys, _fields(rows, names), keyed.later(len(values))), checkpoint)
 
-    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-        rows = last_wins(batch, keys, order, [*values, order])
-        return rows if old is None else last_wins(old.unionByName(rows), keys, order, [*values, order])
 
-    return keep_merged(log, target, checkpoint, merge)
-
-
-def keep_summary(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def keep_summary(log: DataFrame, checkpoint: str) -> StreamingQuery:
     """The state of :func:`summary_of` of a streaming log."""
-
-    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-        rows = _per_user(batch)
-        return rows if old is None else old.unionByName(rows).groupBy("day", "event_type", "user_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-
-    return keep_merged(log, target, checkpoint, merge)
+    keys = ["day", "event_type", "user_id"]
+    rows = log.select(F.to_date("ts").alias("day"), "event_type", "user_id", F.lit(1).cast("long").alias("n"), F.col("value").cast("double").alias("total"))
+    rows = keyed.sums_of_batch(rows, keys, ["n", "total"])
+    return keyed.start(keyed.keep(rows, keys, "n long, total double", keyed.added), checkpoint)
 
 
 #: Fixed value: how a log row of a set lists its members.
 MEMBERS = "photos "
 
 
-def members_in(log: DataFrame, set_id: str = "upload_id", method: str = "method", notes: str = "notes", order: str = "seq") -> DataFrame:
-    """``(set_id, members, order)`` from rows of method ``sighting`` whose notes list the members; the last row of a set wins."""
+def _listed(log: DataFrame, set_id: str, method: str, notes: str, order: str) -> DataFrame:
     rows = log.filter((F.col(method) == "sighting") & F.col(notes).startswith(MEMBERS))
-    listed = F.split(F.substring(F.col(notes), len(MEMBERS) + 1, 1 << 30), ";", -1)
-    return last_wins(rows.withColumn("members", listed), [set_id], order, ["members", order])
+    return rows.select(set_id, F.split(F.substring(F.col(notes), len(MEMBERS) + 1, 1 << 30), ";", -1).alias("members"), order)
 
 
-def keep_members(log: DataFrame, target: str, checkpoint: str, set_id: str = "upload_id", order: str = "seq") -> StreamingQuery:
-    """Set membership from a streaming log."""
+def members_in(log: DataFrame, set_id: str = "upload_id", method: str = "method", notes: str = "notes", order: str = "seq") -> DataFrame:
+    """``(set_id, members, order)`` from rows of method ``sighting`` whose notes list the members; the last row of a set wins."""
+    return last_wins(_listed(log, set_id, method, notes, order), [set_id], order, ["members", order])
 
-    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-        rows = members_in(batch, set_id, order=order)
-        return rows if old is None else last_wins(old.unionByName(rows), [set_id], order, ["members", order])
 
-    return keep_merged(log, target, checkpoint, merge)
+def keep_members(log: DataFrame, checkpoint: str, set_id: str = "upload_id", method: str = "method", notes: str = "notes", order: str = "seq") -> StreamingQuery:
+    """Set membership from a streaming log: the state of :func:`members_in`."""
+    rows = keyed.last_of_batch(_listed(log, set_id, method, notes, order), [set_id], order)
+    return keyed.start(keyed.keep(rows, [set_id], _fields(rows, ["members", order]), keyed.later(1)), checkpoint)
 
 
 def set_of(members: DataFrame, set_id: str) -> DataFrame:
@@ -103,21 +81,6 @@ def set_of(members: DataFrame, set_id: str) -> DataFrame:
     return members.select(F.explode("members").alias("member"), set_id)
 
 
-def _whole(spark: SparkSession, target: str, before: int | None) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return sorted(n for n in names if n.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")) and (before is None or int(n[1:]) < before))
-
-
-def latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest whole version of a table kept by :func:`keep_merged`."""
-    whole = _whole(spark, target, before)
-    return spark.read.parquet(f"{target}/{whole[-1]}") if whole else None
-
-
 def count_windows(log: DataFrame, late: str = "10 minutes", size: str = "1 day") -> DataFrame:
     """Extension: event-time windows with a watermark, for sinks that can't be rewritten."""
     timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -118,19 +118,3 @@ def test_splits_by_bucket(spark, monkeypatch):
     monkeypatch.setattr(O, "BUCKET", 10)
     assert {r.id: r.split for r in O.assign_splits(rows, "cls", digest, F.col("id")).collect()} == want
     assert sorted({s: list(want.values()).count(s) for s in set(want.values())}.items()) == [("test", 105), ("train", 490), ("valid", 105)]
-
-
-def test_kept_streams(spark, tmp_path):
-    from lynceus.streaming import log as L
-
-    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    e.repartition(5).write.parquet(str(tmp_path / "log"))
-    L.keep_summary(L.read_log(spark, str(tmp_path / "log"), e.schema), str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
-    got = {(r.day, r.event_type): (r.n, r.users, round(r.total, 3)) for r in L.summary_of(L.latest(spark, str(tmp_path / "s"))).collect()}
-    want = e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.sum("value").alias("total"))
-    assert got == {(r.day, r.event_type): (r.n, r.users, round(r.total, 3)) for r in want.collect()}
-    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("v")]) == L.VERSIONS
-    rows = [(1, "S1", "sighting", "photos a;b"), (2, "S2", "sighting", "photos c"), (3, "a", "best", "spot 2.1"), (4, "S1", "sighting", "photos a;b;d"), (5, "S2", "sighting", None)]
-    got = L.members_in(spark.createDataFrame(rows, "seq long, upload_id string, method string, notes string"))
-    assert {r.upload_id: r.members for r in got.collect()} == {"S1": ["a", "b", "d"], "S2": ["c"]}
-    assert sorted(map(tuple, L.set_of(got, "upload_id").collect())) == [("a", "S1"), ("b", "S1"), ("c", "S2"), ("d", "S1")]
