@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import exp, factorial
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -97,3 +99,32 @@ def binned(rows: DataFrame, fit: dict[str, float] | None = None) -> DataFrame:
     binned = with_log(rows).select(likelihood_bin(F.col("score")).alias("bin"), F.col("right").cast("int").alias("r"), chance.alias("p")).filter("bin is not null")
     more = [] if fit is None else [F.avg("p").alias("fitted")]
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("right"), F.avg("r").alias("observed"), *more)
+
+
+#: Chances of 0, 1, ... occurrences of a row in a drawing with replacement from many rows, as running sums; more than nine occur once in ten million.
+OCCURRENCES = [sum(exp(-1) / factorial(j) for j in range(k + 1)) for k in range(10)]
+
+
+def occurrences(row: Column, replicates: int, seed: int) -> Column:
+    """How often each replicate's drawing has this row: an array from four digits groups of a hash of seed, row and replicate, so reruns and other layouts draw the same."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1)), lambda j: F.md5(F.concat_ws(":", F.lit(str(seed)), row.cast("string"), j.cast("string")).cast("binary")))
+    share = lambda h, p: F.conv(F.substring(h, 1 + 8 * p, 8), 16, 10).cast("double") / float(1 << 32)
+    count = lambda u: sum(((u >= c).cast("int") for c in OCCURRENCES), F.lit(0))
+    each = F.flatten(F.transform(parts, lambda h: F.array(*[count(share(h, p)) for p in range(4)])))
+    return F.slice(each, 1, replicates)
+
+
+def bootstrap(rows: DataFrame, row: Column, by: list[str], flag: Column, statistic, replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """``(*by, n, estimate, low, high)``: a statistic of the share of rows with a flag, and the interval of its replicates.
+
+    ``statistic`` makes a column from the share.  Every replicate draws each row as often
+    as :func:`occurrences` says; all replicates are one aggregate, whose size is that of
+    the groups times the replicates, whatever the rows.  Replicates that draw nothing of
+    a group don't count.
+    """
+    drawn = rows.select(*by, flag.cast("int").alias("f_"), F.posexplode(occurrences(row, replicates, seed)).alias("r_", "w_"))
+    each = drawn.groupBy(*by, "r_").agg((F.sum(F.col("w_") * F.col("f_")) / F.nullif(F.sum("w_"), F.lit(0))).alias("p_"))
+    tail = (1 - level) / 2
+    spread = each.filter("p_ is not null").groupBy(*by).agg(*[F.percentile(statistic(F.col("p_")), q).alias(name) for name, q in (("low", tail), ("high", 1 - tail))])
+    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), statistic(F.avg(flag.cast("int"))).alias("estimate"))
+    return whole.join(spread, by, "left")

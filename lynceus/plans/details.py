@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lynceus.functions import boxes, decisions, pictures, text, vectors
-from lynceus.operators import audit, geometry, greedy, spots
+from lynceus.operators import alignment, audit, greedy, spots
 from lynceus.operators import gallery as G
 from lynceus.operators import identify as I
 from lynceus.operators import manifest as O
@@ -20,7 +20,7 @@ from lynceus.plans.models import features
 from lynceus.plans.reid import BASE, SPOTS, best, load, r6, ranked, truth
 from lynceus.plans.reid import spots as spot_scores
 from lynceus.sources import cache, tables
-from lynceus.sources.scratch import delete_at_end, shared_folder
+from lynceus.sources.scratch import cut, delete_at_end, shared_folder
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -64,11 +64,15 @@ def csv_roundtrip(spark, sf_dir):
     return tables.read_csv(spark, path, T.StructType.fromDDL("doc_id long, source string, lang string, note string, n_chars long, found boolean"))
 
 
-@query("SELECT 0::BIGINT AS rows, 5::BIGINT AS columns")
+@query("""SELECT source, count(*) FILTER (WHERE doc_id % 2 = 1) AS "there", 0::BIGINT AS missing FROM documents GROUP BY source""")
 def missing_csv(spark, sf_dir):
-    """A file that isn't there is a table without rows."""
-    got = tables.read_csv(spark, f"{place(spark)}/nothing.csv", T.StructType.fromDDL("a long, b string, c double, d date, e boolean"))
-    return got.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(got.columns)).cast("long").alias("columns"))
+    """A file that isn't there is a table without rows, with the columns of one that is."""
+    path, schema = place(spark), T.StructType.fromDDL("doc_id long, source string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    tables.overwrite(docs.filter("doc_id % 2 = 1"), f"{path}/odd.csv", "csv")
+    got = {name: tables.read_csv(spark, f"{path}/{file}.csv", schema).select("source", F.lit(name).alias("kind")) for name, file in (("there", "odd"), ("missing", "even"))}
+    counts = got["there"].unionAll(got["missing"]).groupBy("source").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in got])
+    return docs.select("source").distinct().join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", *[F.coalesce(k, F.lit(0)).alias(k) for k in got])
 
 
 @query("SELECT vec_id, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -246,27 +250,88 @@ def sorted_by_coalesce(spark, sf_dir):
 
 # --- pictures and keypoints ----------------------------------------------------------------------
 
-GRAY = "[(vec_id % 97 * 7 + i * i * (3 + vec_id % 97) // 5) % 256 for i in range(272)]"
+#: A vector as a gray picture of 8 x 8 pixels; its lines and columns resampled to 17 x 16 by a windowed sinc in whole numbers; the bits.
+GRAY = "greatest(0, least(255, floor(embedding[i + 1]::DOUBLE * 300) + 128))::BIGINT"
 
 
-@query(f"""WITH g AS (SELECT vec_id, {GRAY} AS p FROM embeddings), b AS (SELECT vec_id, [CASE WHEN p[i // 16 * 17 + i % 16 + 2] > p[i // 16 * 17 + i % 16 + 1] THEN 1 ELSE 0 END for i in range(256)] AS b FROM g)
-SELECT vec_id, CAST(list_sum(b) AS BIGINT) AS ones, md5(array_to_string(b, '')) AS bits FROM b""")
+def _kernel_sql(wanted: int) -> str:
+    at = f"(x + 0.5 - (o + 0.5) * 8 / {wanted}.0)"
+    sinc = lambda a: f"CASE WHEN abs({a}) < 1e-12 THEN 1 ELSE sin(pi() * {a}) / (pi() * {a}) END"
+    inside = f"x >= greatest(0, trunc((o + 0.5) * 8 / {wanted}.0 - 2.5)) AND x < least(8, trunc((o + 0.5) * 8 / {wanted}.0 + 3.5)) AND abs{at} < 3"
+    raw = f"SELECT o, x, CASE WHEN {inside} THEN ({sinc(at)}) * ({sinc(at + ' / 3')}) ELSE 0 END AS w FROM range({wanted}) a(o), range(8) b(x)"
+    return f"SELECT o, x, trunc(w / s * 4194304 + CASE WHEN w < 0 THEN -0.5 ELSE 0.5 END)::BIGINT AS w FROM (SELECT *, sum(w) OVER (PARTITION BY o) AS s FROM ({raw}))"
+
+
+#: From the pixels ``px(id, y, x, g)`` of 8 x 8 pictures to their 256 bits ``bits(id, b)``.
+BITS = f"""kh AS ({_kernel_sql(17)}), kv AS ({_kernel_sql(16)}),
+wide AS (SELECT id, y, o AS c, greatest(0, least(255, (sum(g * w) + 2097152)::BIGINT >> 22)) AS g FROM px JOIN kh USING (x) GROUP BY ALL),
+pic AS (SELECT id, kv.o AS r, c, greatest(0, least(255, (sum(g * w) + 2097152)::BIGINT >> 22)) AS g FROM wide JOIN kv ON kv.x = wide.y GROUP BY ALL),
+bit AS (SELECT a.id, a.r * 16 + a.c AS i, (b.g > a.g)::INT AS b FROM pic a JOIN pic b ON a.id = b.id AND a.r = b.r AND b.c = a.c + 1),
+bits AS (SELECT id, list(b ORDER BY i) AS b FROM bit GROUP BY id)"""
+PICTURE = f"px AS (SELECT vec_id AS id, i // 8 AS y, i % 8 AS x, {GRAY} AS g FROM embeddings, range(64) r(i) WHERE embedding IS NOT NULL AND label IS NOT NULL)"
+#: A text as a picture: how often each of 64 classes of characters comes, against the commonest.
+LETTERS = """ch AS (SELECT doc_id, unicode(c) % 64 AS i, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text IS NOT NULL) WHERE c <> '' GROUP BY ALL),
+px AS (SELECT m.doc_id AS id, r.i // 8 AS y, r.i % 8 AS x, coalesce(255 * ch.n // m.n, 0) AS g FROM (SELECT doc_id, max(n) AS n FROM ch GROUP BY doc_id) m CROSS JOIN range(64) r(i) LEFT JOIN ch ON ch.doc_id = m.doc_id AND ch.i = r.i)"""
+
+
+@query(f"WITH {PICTURE}, {BITS} SELECT id AS vec_id, CAST(list_sum(b) AS BIGINT) AS ones, md5(array_to_string(b, '')) AS bits FROM bits")
 def difference_hash(spark, sf_dir):
-    bits = _gray(spark, sf_dir).withColumn("b", pictures.difference_bits(F.col("p")))
-    return bits.select("vec_id", F.aggregate("b", F.lit(0), lambda s, x: s + x).cast("long").alias("ones"), F.md5(F.array_join(F.transform("b", lambda x: x.cast("string")), "").cast("binary")).alias("bits"))
+    """The difference hash of a picture of another size: resampled, then compared with the left neighbour."""
+    bits = _pictures(spark, sf_dir).withColumn("b", pictures.difference_bits(pictures.hash_picture("gray", "width", "height")))
+    return bits.select(F.col("id").alias("vec_id"), F.aggregate("b", F.lit(0), lambda s, x: s + x).cast("long").alias("ones"), F.md5(F.array_join(F.transform("b", lambda x: x.cast("string")), "").cast("binary")).alias("bits"))
+
 
+def _pictures(spark, sf_dir):
+    """``(id, width, height, gray)``: each vector as a picture of 8 x 8 pixels."""
+    gray = F.transform("v", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 300) + 128)).cast("int"))
+    return load(spark, sf_dir).select("id", F.lit(8).alias("width"), F.lit(8).alias("height"), gray.alias("gray"))
 
-def _gray(spark, sf_dir):
-    v = F.col("vec_id")
-    gray = F.transform(F.sequence(F.lit(0), F.lit(271)), lambda i: ((v % 97 * 7 + F.floor(i * i * (3 + v % 97) / 5)) % 256).cast("int"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", gray.alias("p"))
 
+def _prints(spark, sf_dir):
+    """``(id, h)``: hashes of texts as pictures."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null and text <> ''")
+    n = docs.select("doc_id", F.explode(F.split("text", "")).alias("c")).filter("c <> ''").groupBy("doc_id", (F.ascii("c") % 64).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    row = n.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"), F.max("n").alias("most"))
+    gray = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.floor(F.try_element_at("m", i) * 255 / F.col("most")), F.lit(0)).cast("int"))
+    return row.select(F.col("doc_id").alias("id"), pictures.pack_bits(pictures.difference_bits(pictures.hash_picture(gray, F.lit(8), F.lit(8)))).alias("h"))
 
-@query("""SELECT vec_id, CASE WHEN vec_id >= 97 THEN vec_id % 97 END AS twin FROM embeddings""")
+
+GREEDY = f"""WITH RECURSIVE {LETTERS}, {BITS}, p AS (SELECT id, array_to_string(b, '')::BIT AS h, row_number() OVER (ORDER BY id) AS k FROM bits),
+l AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.k < b.k AND bit_count(xor(a.h, b.h)) <= {greedy.DISTANCE}),
+s AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL
+  SELECT p.k, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.b = p.id AND list_contains(s.kept, l.a)) THEN s.kept ELSE list_append(s.kept, p.id) END FROM s JOIN p ON p.k = s.k + 1),
+f AS (SELECT kept FROM s ORDER BY k DESC LIMIT 1)
+SELECT p.id AS doc_id, (SELECT min(l.a) FROM l, f WHERE l.b = p.id AND list_contains(f.kept, l.a)) AS twin FROM p"""
+
+
+@query(GREEDY)
 def near_dup_pictures(spark, sf_dir):
-    """256-bit difference hashes within ten bits: here a picture comes again after 97 others."""
-    prints = _gray(spark, sf_dir).select(F.col("vec_id").alias("id"), pictures.pack_bits(pictures.difference_bits(F.col("p"))).alias("h"))
-    return greedy.first_kept(prints, 10).select(F.col("id").alias("vec_id"), "twin")
+    """Near copies among 256-bit difference hashes, each against the kept ones before it."""
+    return greedy.first_kept(_prints(spark, sf_dir)).select(F.col("id").alias("doc_id"), "twin")
+
+
+@query(GREEDY)
+def stream_near_copies(spark, sf_dir):
+    """The same of a stream of pictures, three files in the order of their numbers, a micro-batch each."""
+    from lynceus.streaming import copies
+
+    target, prints = place(spark), cut(_prints(spark, sf_dir))
+    ends = prints.agg(F.percentile("id", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("x")).first().x
+    for i, inside in enumerate((F.col("id") < ends[0], (F.col("id") >= ends[0]) & (F.col("id") < ends[1]), F.col("id") >= ends[1])):
+        prints.filter(inside).coalesce(1).write.parquet(f"{target}/log/{i}")
+    stream = spark.readStream.schema(prints.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{target}/log")
+    copies.keep_first(stream, f"{target}/state", f"{target}/checkpoint").awaitTermination()
+    return copies.decided(spark, f"{target}/state").select(F.col("id").alias("doc_id"), "twin")
+
+
+@query("""WITH $BASE, l AS (SELECT a.id AS a, b.id AS b, a.v AS av, b.v AS bv FROM m a JOIN m b ON a.id < b.id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.35),
+d AS (SELECT a, b, list_avg([abs(greatest(0, least(255, floor(av[i] * 300) + 128)) - greatest(0, least(255, floor(bv[i] * 300) + 128))) for i in range(1, 65)]) AS difference FROM l)
+SELECT a, b, round(difference, 6) AS difference, 1.0::DOUBLE AS overlap, difference < 10 AS same FROM d""")
+def same_picture(spark, sf_dir):
+    """Pixels of photos that lie alike, pair by pair; the motion between them is none here."""
+    g = load(spark, sf_dir)
+    pairs = G.score(g, g, "not_before", "over", 0.35).select(F.col("q").alias("a"), F.col("ref").alias("b"), F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)]).alias("matrix"))
+    return alignment.compared(pairs, _pictures(spark, sf_dir)).select("a", "b", r6("difference"), "overlap", (F.col("difference") < alignment.SAME).alias("same"))
 
 
 @query("""WITH $BASE, kp AS (SELECT id AS photo, cls, k, [abs(x) for x in v[k * 8 + 1:k * 8 + 8]] AS d FROM (SELECT *, unnest(range(8)) AS k FROM g)),
@@ -289,18 +354,49 @@ def weighted_fuse(spark, sf_dir):
     return G.top_classes(G.fuse(spot_scores(g), best(g), 0.4, 1.7), 2).select(F.col("q").alias("vec_id"), F.col("cls").alias("label"), r6("score"))
 
 
-@query("SELECT vec_id AS q, vec_id % 11 AS r, 24 AS matches, CASE vec_id % 3 WHEN 0 THEN 16 WHEN 1 THEN 20 ELSE 12 END AS inliers FROM embeddings")
+PLACED = """WITH $BASE, kp AS (SELECT id AS photo, cls, k, v[k * 8 + 1] AS px, v[k * 8 + 2] AS py, [abs(x) for x in v[k * 8 + 1:k * 8 + 8]] AS d FROM (SELECT *, unnest(range(8)) AS k FROM g)),
+w AS (SELECT photo, cls, k, px, py, [sqrt(x / (list_sum(d) + 1e-7)) for x in d] AS w FROM kp),
+p AS (SELECT a.photo AS q, b.photo AS r, b.cls, a.k AS ka, b.k AS kb, list_distance(a.w, b.w) AS d FROM w a JOIN w b ON a.photo <> b.photo)"""
+
+
+@query(PLACED + """, x AS (SELECT q, r, any_value(cls) AS cls, ka, arg_min(kb, d) AS i, min(d, 2) AS m FROM p GROUP BY q, r, ka), y AS (SELECT q, r, kb, arg_min(ka, d) AS j, min(d, 2) AS m FROM p GROUP BY q, r, kb),
+s AS (SELECT x.q, x.r, x.cls, count(*) FILTER (WHERE y.j = x.ka AND x.m[1] < 0.8 * x.m[2] AND y.m[1] < 0.8 * y.m[2]) AS mutual FROM x JOIN y ON x.q = y.q AND x.r = y.r AND x.i = y.kb GROUP BY x.q, x.r, x.cls),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY mutual DESC, r) <= 3),
+mt AS (SELECT x.q, x.r, x.ka, a.px AS ax, a.py AS ay, c.px AS bx, c.py AS by_ FROM x JOIN b USING (q, r) JOIN w a ON a.photo = x.q AND a.k = x.ka JOIN w c ON c.photo = x.r AND c.k = x.i WHERE x.m[1] < 0.8 * x.m[2]),
+mo AS (SELECT f.q, f.r, f.ka AS i, t.ka AS j, f.ax, f.ay, f.bx, f.by_, t.ax - f.ax AS ux, t.ay - f.ay AS uy, t.bx - f.bx AS vx, t.by_ - f.by_ AS vy FROM mt f JOIN mt t ON f.q = t.q AND f.r = t.r AND f.ka < t.ka WHERE (SELECT count(*) FROM mt c WHERE c.q = f.q AND c.r = f.r) >= 6),
+fit AS (SELECT *, (vx * ux + vy * uy) / (ux * ux + uy * uy) AS c, (vy * ux - vx * uy) / (ux * ux + uy * uy) AS s FROM mo WHERE ux * ux + uy * uy > 0),
+n AS (SELECT fit.q, fit.r, fit.i, fit.j, count(*) AS n FROM fit JOIN mt ON mt.q = fit.q AND mt.r = fit.r
+  WHERE sqrt(power(c * (mt.ax - fit.ax) - s * (mt.ay - fit.ay) + fit.bx - mt.bx, 2) + power(s * (mt.ax - fit.ax) + c * (mt.ay - fit.ay) + fit.by_ - mt.by_, 2)) <= 0.03 GROUP BY ALL),
+top AS (SELECT q, r, max(n) AS n FROM n GROUP BY q, r)
+SELECT b.q AS vec_id, b.r AS ref, b.cls AS label, b.mutual::INT AS mutual, coalesce(top.n, 0)::INT AS inliers FROM b LEFT JOIN top USING (q, r)""")
 def geometric_inliers(spark, sf_dir):
-    """Matches of which some follow one turn, scaling and shift and the others lie far from where it puts them."""
-    v, k = F.col("vec_id"), F.col("k")
-    ax, ay = (k * 37 % 24) / 30.0 + 0.05, (k * 53 % 23) / 28.0 + 0.04
-    turn, size = (v % 50) / 25.0, 0.8 + (v % 7) / 20.0
-    bx, by = size * (F.cos(turn) * ax - F.sin(turn) * ay) + 0.1, size * (F.sin(turn) * ax + F.cos(turn) * ay) - 0.2
-    good = F.when(v % 3 == 0, 16).when(v % 3 == 1, 20).otherwise(12)
-    off = k >= good
-    m = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k"))
-    m = m.select(v.alias("q"), (v % 11).alias("r"), ax.alias("ax"), ay.alias("ay"), F.when(off, bx + 0.5 + k * k % 13 / 4.0).otherwise(bx).alias("bx"), F.when(off, by - 0.7 - k * k * k % 17 / 5.0).otherwise(by).alias("by"))
-    return geometry.verify(m, "similarity")
+    """Each photo's three best references by mutual matches, and how many one-way matches one motion explains; pairs this small have all their minimal sets tried."""
+    p = spots.photos_of(features(spark, sf_dir, places=True))
+    matched = spots.matches(p, p, spots.shortlist(p, p, "mut", 3))
+    out = spots.verified(matched, ("similarity",), refit=False)
+    return out.select(F.col("q").alias("vec_id"), F.col("r").alias("ref"), F.col("cls").alias("label"), F.col("`mut@0.8`").alias("mutual"), F.col("rs_similarity").alias("inliers"))
+
+
+@query(PLACED + """, x AS (SELECT q, r, any_value(cls) AS cls, ka, min(d) AS d FROM p GROUP BY q, r, ka), t AS (SELECT *, row_number() OVER (PARTITION BY q, ka ORDER BY d, r) AS k FROM x QUALIFY k <= 6),
+e AS (SELECT q, ka, d AS edge FROM t WHERE k = 6), v AS (SELECT q, r, cls, sum(edge - d) AS votes FROM t JOIN e USING (q, ka) WHERE k <= 5 GROUP BY ALL),
+c AS (SELECT q, cls, sum(edge - d) AS votes FROM (SELECT q, ka, cls, min(d) AS d FROM t WHERE k <= 5 GROUP BY ALL) JOIN e USING (q, ka) GROUP BY ALL)
+SELECT v.q AS vec_id, v.r AS ref, v.cls AS label, round(v.votes, 5) AS lnbnn_ref, round(c.votes, 5) AS lnbnn_cls FROM v JOIN c USING (q, cls)""")
+def lnbnn_columns(spark, sf_dir):
+    """Votes of each keypoint's five nearest references, for a reference and for its class, as columns of the pairs that have any."""
+    p = spots.photos_of(features(spark, sf_dir))
+    near = cut(spots.nearest_refs(p, p, 5))
+    pairs = near.filter("rank <= 5").select(F.col("photo").alias("q"), "r", "cls").distinct()
+    return spots.with_votes(pairs, near, 5).select(F.col("q").alias("vec_id"), F.col("r").alias("ref"), F.col("cls").alias("label"), F.round("lnbnn_ref", 5).alias("lnbnn_ref"), F.round("lnbnn_cls", 5).alias("lnbnn_cls"))
+
+
+@query(None)
+def verified_scores(spark, sf_dir):
+    """Scores by name of the shortlisted pairs: counts, inliers of three motions, votes."""
+    p = spots.photos_of(features(spark, sf_dir, places=True))
+    matched = cut(spots.matches(p, p, spots.shortlist(p, p, "mutg", 3)))
+    rows = spots.with_votes(spots.verified(matched, ("similarity", "affine", "homography")), spots.nearest_refs(p, p, 5), 5)
+    kinds = ("mutg", "rs_similarity", "rs_affine_n", "rs67_similarity", "rs_mutaff", "lnbnn_ref", "lnbnn_cls")
+    return rows.select(F.col("q").alias("vec_id"), F.col("r").alias("ref"), *[F.round(spots.score_of(k), 6).alias(k) for k in kinds])
 
 
 # --- decisions, groups, audits -------------------------------------------------------------------

@@ -172,11 +172,13 @@ def one_other_encounter_by_era(spark, sf_dir):
     )
 
 
-def features(spark, sf_dir):
-    """Keypoints made from vectors: eight of eight components each."""
+def features(spark, sf_dir, places=False):
+    """Keypoints made from vectors: eight of eight components each; the first two are also its place, if asked for."""
     g = load(spark, sf_dir)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(i.alias("kp"), F.transform(F.slice("v", i * 8 + 1, 8), lambda x: F.abs(x).cast("double")).alias("d")))
-    return g.select(F.col("id").alias("photo"), "cls", F.explode(parts).alias("x")).select("photo", "cls", "x.kp", "x.d")
+    at = lambda i, n, name: F.get("v", i * 8 + n).cast("double").alias(name)
+    one = lambda i: F.struct(i.alias("kp"), F.transform(F.slice("v", i * 8 + 1, 8), lambda x: F.abs(x).cast("double")).alias("d"), at(i, 0, "x"), at(i, 1, "y"))
+    rows = g.select(F.col("id").alias("photo"), "cls", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), one)).alias("k"))
+    return rows.select("photo", "cls", "k.kp", "k.d", *(["k.x", "k.y"] if places else []))
 
 
 @query("""WITH $BASE, kp AS (SELECT id AS photo, cls, k, [abs(x) for x in v[k * 8 + 1:k * 8 + 8]] AS d FROM (SELECT *, unnest(range(8)) AS k FROM g)),

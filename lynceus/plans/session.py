@@ -147,6 +147,22 @@ def best_of_two(spark, sf_dir):
     return e.select(F.col("day").cast("string").alias("day"), F.round(1 - F.pow(1 - F.col("k") / F.col("n"), 2), 6).alias("p"))
 
 
+REPLICATES = 100
+
+
+@query(f"""WITH {SCORES}, h AS (SELECT event_id, user_id % 5 AS kind, (score >= 1.2)::INT AS f FROM s), m AS (SELECT *, j, md5('7:' || event_id || ':' || j) AS m FROM h, range({REPLICATES // 4}) r(j)),
+u AS (SELECT kind, f, j * 4 + p AS r, ('0x' || substr(m, (1 + 8 * p)::INT, 8))::BIGINT / 4294967296.0 AS u FROM m, range(4) q(p)),
+w AS (SELECT kind, r, f, len([c for c in {M.OCCURRENCES} if u >= c]) AS w FROM u), p AS (SELECT kind, r, sum(w * f) / sum(w) AS p FROM w GROUP BY ALL HAVING sum(w) > 0),
+i AS (SELECT kind, quantile_cont(1 - power(1 - p, 2), 0.025) AS low, quantile_cont(1 - power(1 - p, 2), 0.975) AS high FROM p GROUP BY kind),
+e AS (SELECT kind, count(*) AS n, 1 - power(1 - avg(f), 2) AS e FROM h GROUP BY kind)
+SELECT kind, n, round(e, 6) AS estimate, round(low, 6) AS low, round(high, 6) AS high FROM e JOIN i USING (kind)""")
+def best_of_two_interval(spark, sf_dir):
+    """The chance that the better of two draws reaches the line, with an interval from drawings with replacement."""
+    e = scores(spark, sf_dir).withColumn("kind", F.col("user_id") % 5)
+    got = M.bootstrap(e, F.col("event_id"), ["kind"], F.col("score") >= 1.2, lambda p: 1 - F.pow(1 - p, 2), REPLICATES, 7)
+    return got.select("kind", "n", *[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
+
+
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d, lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders),
 g AS (SELECT abs(d - p) / 365.25 AS y FROM o WHERE p IS NOT NULL) SELECT CASE WHEN y < 1 THEN '<1' WHEN y < 2 THEN '1-2' WHEN y < 3 THEN '2-3' ELSE '3+' END AS gap, count(*) AS n, round(avg(y), 6) AS mean FROM g GROUP BY 1""")
 def gap_buckets(spark, sf_dir):
