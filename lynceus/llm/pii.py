@@ -6,15 +6,18 @@ spans always stay.  High-recall generators propose more spans, which may overlap
 strings as secrets).  Boosted trees score the candidates by format and context.
 
 Nobody has labelled the candidates, so they are learned from positive and unlabelled
-rows: a candidate counts as positive if a base rule of its kind finds it or if a word of
-its kind stands before it (which the trees are told only of what no base rule finds);
-all others are unlabelled, not negative.  The trees never see
-what a base rule tests (the sign ``@``, the plus, Luhn's digit, the form and range of an
-IP address), so what merely lacks it scores like its confirmed neighbours.  On the half
-of the candidates that the trees were not grown on, a threshold for each kind is
-calibrated: going down from the highest scores, each block of candidates must have
-``PRECISION`` of the best block's share of positives.  Every card passes Luhn's check,
-so digits that fail it are proposed as a card only behind a word for one.
+rows.  What labels a candidate is held back from the trees: a base rule of its kind finds
+it, or two generators agree, a word of its kind stands before it and it has a form of
+its kind (a card's issuer and grouping, a telephone's beginning, letters and digits of
+a secret).  All others are unlabelled, not negative.  The trees see neither the words nor
+those forms nor what a base rule tests (the sign ``@``, the plus, Luhn's digit, the range
+of an IP address), but how long a candidate is, how its digits are grouped, how it ends
+and what stands around it; so what merely lacks a label scores like its labelled
+neighbours, and a word alone makes nothing a finding.  On the half of the candidates that
+the trees were not grown on, a threshold for each kind is calibrated: going down from the
+highest scores, each block of candidates must have ``PRECISION`` of the best block's
+share of positives, and that ``LEAST_SHARE``.  A card passes Luhn's check, so digits that
+fail it are proposed as one only where both generators say so.
 
 The text is scanned once.  Each match becomes a row with the length of the gap before
 it; places are running sums of a document's rows, and whether a base span overlaps is a
@@ -53,7 +56,7 @@ OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]
 HIDDEN_EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:\x20?@\x20?|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)++"
 IPV6 = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
 DIGITS = r"[+]?[0-9(](?:[\x20()./-]{0,2}[0-9]){7,}+"
-SECRET = r"(?:(?<![A-Za-z0-9_+/=-])|\G)[A-Za-z0-9_+/=-]{20,}+"
+SECRET = r"(?:(?<![A-Za-z0-9_+/-])|\G)[A-Za-z0-9_+/-]{20,}+={0,2}+"
 #: Words that speak for a kind, right before it.
 CONTEXT = (
     r"(?i)(?:e?-?mail|contact|write to|reach)[^A-Za-z0-9]{0,4}(?:(?:is|at|me|us)[^A-Za-z0-9]{1,3})?$",
@@ -71,12 +74,14 @@ PRECISION = 0.8
 BLOCK = 3
 LEAST_POSITIVE = 4
 #: The least share of positives in a kind's best block: below it the unlabelled ones say more than the positives.
-LEAST_SHARE = 0.7
-#: What a word of the kind says is known beforehand: the trees see so many positives with it.
-PRIOR = 8.0
+LEAST_SHARE = 0.4
 
-#: The features: kind; number of digits; how it is grouped; its end or issuer; the characters around it; a word of its kind before it.
-FEATURES = ("k", "nd", "grouped", "form", "before", "behind", "ctx")
+#: The features: kind; length; signs between the digits; lengths of the last groups, or the end; the characters around it.
+FEATURES = ("k", "nd", "grouped", "form", "before", "behind")
+#: Forms of cards and telephones by which a word before them is believed; dates are neither.
+CARD_FORM = r"^[3-6](?:[0-9]{11,18}|[0-9]{3}(?:[\x20-][0-9]{4}){2,3}(?:[\x20-]?[0-9]{1,3})?|[0-9]{3}[\x20-][0-9]{6}[\x20-][0-9]{5})$"
+PHONE_FORM = r"^[+(0]|[0-9][\x20()./-]{1,2}[0-9]"
+DATE_FORM = r"^(?:(?:19|20)[0-9]{2}[\x20./-]?[01][0-9][\x20./-]?[0-3][0-9]\x20?){1,2}$|^[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)?[0-9]{2}$"
 
 _M, _TEXT, _SPANS, _BASE = (PREFIX + x for x in ("matches", "text", "spans", "base"))
 #: Patterns with the guard that lets most texts skip the search; those of the base rules come first, IP serves both.
@@ -109,6 +114,8 @@ def placed(narrow: DataFrame) -> DataFrame:
     by = Window.partitionBy(RID, "p").orderBy("pos")
     end = F.sum(F.col("g") + F.coalesce(F.length("t"), F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0))
     found = each.withColumn("e", end.cast("int")).withColumn("behind", F.coalesce(F.lead("f").over(by), F.lit("")))
+    # What stands before a match may reach into the one before it.
+    found = found.withColumn("l", F.right(F.concat(F.coalesce(F.right(F.lag("t").over(by), F.lit(WINDOW)), F.lit("")), "l"), F.lit(WINDOW)))
     found = found.filter(F.col("t").isNotNull())
     return found.select(RID, "p", "t", (F.col("e") - F.length("t")).alias("s"), "e", "l", F.right("l", F.lit(1)).alias("before"), "behind")
 
@@ -122,7 +129,7 @@ def base_of(found: DataFrame) -> DataFrame:
 
 
 def candidates_of(found: DataFrame) -> DataFrame:
-    """The proposed spans ``(RID, s, e, fold, <FEATURES>)``; a group of digits may be proposed as card and as phone, numbers over 255 are no address."""
+    """The proposed spans ``(RID, s, e, fold, <FEATURES>, said)``; a group of digits may be proposed as card and as phone, numbers over 255 are no address.  ``said`` is whether a word of the kind and the form agree."""
     n = F.length(F.regexp_replace("t", "[^0-9]", ""))
     both = F.when(n.between(12, 15), F.array(F.lit(2), F.lit(3))).when(n.between(12, 19), F.array(F.lit(2))).when(n.between(8, 15), F.array(F.lit(3))).otherwise(F.array().cast("array<int>"))
     mixed = F.col("t").rlike("[0-9]") & F.col("t").rlike("[A-Za-z]")
@@ -131,30 +138,39 @@ def candidates_of(found: DataFrame) -> DataFrame:
     )
     rows = found.withColumn("n", n).withColumn("k", F.explode(kinds))
     k, t = F.col("k"), F.col("t")
-    digits = F.regexp_replace("t", "[^0-9]", "")
     near = lambda c: F.when((c == "") | c.rlike(r"^\s$"), 0).when(c.rlike(r"^[\p{L}\p{N}_]$"), 1).otherwise(2)
-    # Of an IP address only the characters around it and the words before it are told: its form is what the base rule tests.
-    nd = F.when(k.isin(0, 1), 0).when(k == 4, F.least(F.floor(F.length("t") / 8), F.lit(8)).cast("int")).when(F.col("n") < 9, 1).when(F.col("n") < 12, 2).when(F.col("n") < 14, 3).when(F.col("n") < 16, 4).when(F.col("n") == 16, 5).otherwise(6)
+    # Of an IP address only the characters around it are told: its form is what the base rule tests.
+    nd = (
+        F.when(k.isin(0, 1), 0).when(k == 4, F.least(F.floor(F.length("t") / 8), F.lit(8)).cast("int")).when(k == 3, F.when(F.col("n") < 9, 1).otherwise(2))
+        .when(F.col("n") < 14, 3).when(F.col("n") < 16, 4).when(F.col("n") == 16, 5).otherwise(6)
+    )
     inner = F.regexp_replace("t", r"^[+(]+", "")
-    grouped = F.when(~k.isin(2, 3), 0).when(~inner.rlike("[^0-9]"), 0).when(t.rlike(r"\("), 1).when(inner.rlike(r"^[0-9]{4}(?:[\x20-][0-9]{4})+$"), 2).when(inner.rlike(r"[./]"), 3).otherwise(4)
+    grouped = F.when(k == 4, (t.rlike("[a-z]") & t.rlike("[A-Z]")).cast("int")).when(~k.isin(2, 3), 0).when(~inner.rlike("[^0-9]"), 0).when((k == 2) | t.rlike(r"\("), 1).when(inner.rlike(r"[./]"), 3).otherwise(4)
     name = F.regexp_extract("t", r"([A-Za-z0-9-]+)$", 1)
+    # The last group of digits and the one before it without a leading nought: local and international forms of a number share them.
+    last, group = F.length(F.regexp_extract("t", r"([0-9]+)$", 1)), F.length(F.regexp_extract("t", r"(?:^|[^0-9])0?([0-9]+)[^0-9]+[0-9]+$", 1))
+    tail = F.when(last < 4, 1).when(last == 4, 2).when(last < 7, 3).when(last < 9, 4).otherwise(5) * 3 + F.when(group == 0, 0).when(group < 5, 1).otherwise(2)
     form = (
         F.when(k == 0, F.when(name.rlike("(?i)^(?:com|org|net|edu|gov|info|io|co|[a-z]{2})$"), 1).when(name.rlike("^[A-Za-z]{3,6}$"), 2).otherwise(3))
-        .when(k == 2, F.when(digits.rlike("^[3-6]"), digits.substr(1, 1).cast("int")).otherwise(0))
+        .when(k.isin(2, 3), tail)
         .when(k == 4, F.when(t.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 1).when(t.rlike("^[A-Za-z0-9]+$"), 2).otherwise(3))
         .otherwise(0)
     )
-    ctx = F.lit(0)
+    word = F.lit(False)
     for i, pattern in enumerate(CONTEXT):
-        ctx = F.when(k == i, F.col("l").rlike(pattern).cast("int")).otherwise(ctx)
+        word = F.when(k == i, F.col("l").rlike(pattern)).otherwise(word)
+    agrees = F.when(k == 2, t.rlike(CARD_FORM)).when(k == 3, t.rlike(PHONE_FORM)).otherwise(True) & (~k.isin(2, 3) | ~t.rlike(DATE_FORM))
     # Digits within a longer word or number are no card or telephone.
     rows = rows.filter(~k.isin(2, 3) | ~F.concat("before", "behind").rlike("[A-Za-z0-9_]"))
-    row = rows.select(RID, "s", "e", F.pmod(F.xxhash64("t"), F.lit(2)).alias("fold"), "k", nd.alias("nd"), grouped.alias("grouped"), form.alias("form"), near(F.col("before")).alias("before"), near(F.col("behind")).alias("behind"), ctx.alias("ctx"), "t")
-    return row.filter((F.col("k") != 2) | (F.col("ctx") == 1) | F.expr(_luhn("t"))).drop("t").distinct()
+    row = rows.select(
+        RID, "s", "e", F.pmod(F.xxhash64("t"), F.lit(2)).alias("fold"), "k", nd.alias("nd"), grouped.alias("grouped"), form.alias("form"),
+        near(F.col("before")).alias("before"), near(F.col("behind")).alias("behind"), (word & agrees).alias("said"), "t",
+    )
+    return row.filter((F.col("k") != 2) | F.col("said") | F.expr(_luhn("t"))).drop("t").distinct()
 
 
 def with_hits(candidates: DataFrame, base: DataFrame) -> DataFrame:
-    """The candidates, ``ctx`` 0 where a base rule speaks, with ``hit``, whether a base span of their kind overlaps, and ``taken``, whether any does; running maxima of a row's spans."""
+    """The candidates with ``hit``, whether a base span of their kind overlaps, and ``taken``, whether any does; running maxima of a row's spans."""
     both = candidates.withColumn("base", F.lit(False)).unionByName(base.withColumn("base", F.lit(True)), allowMissingColumns=True)
     left = Window.partitionBy(RID).orderBy("s").rangeBetween(Window.unboundedPreceding, 0)
     right = Window.partitionBy(RID).orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)
@@ -170,8 +186,7 @@ def with_hits(candidates: DataFrame, base: DataFrame) -> DataFrame:
     taken = meets[0]
     for m in meets[1:]:
         taken = taken | m
-    marked = marked.withColumn("hit", hit).withColumn("ctx", F.when(F.col("hit"), 0).otherwise(F.col("ctx")))
-    return marked.select(RID, "s", "e", "fold", *FEATURES, "hit", taken.alias("taken"))
+    return marked.select(RID, "s", "e", "fold", *FEATURES, "said", hit.alias("hit"), taken.alias("taken"))
 
 
 class Tree:
@@ -211,8 +226,7 @@ class Tree:
 def boost(table: Iterable[tuple[dict, int, float, float]]) -> tuple[list[Tree], dict[int, float]]:
     """Trees for the log-odds of a positive, grown on fold 0 of ``(features, fold, positives, all)``, and each kind's threshold, calibrated on fold 1."""
     rows = sorted(table, key=lambda r: (r[1], sorted(r[0].items())))
-    prior = [(dict.fromkeys(FEATURES, -1) | {"k": k, "ctx": 1}, 0, PRIOR, PRIOR) for k in range(len(ALL_KINDS))]
-    grow = [r for r in rows if r[1] == 0] + prior
+    grow = [r for r in rows if r[1] == 0]
     score, trees = [0.0] * len(grow), []
     for _ in range(ROUNDS):
         work = []
@@ -263,8 +277,8 @@ def find_private(docs: DataFrame, text: str = "text") -> DataFrame:
     found = scratch.save(placed(narrow), "places")
     base = base_of(found)
     hits = scratch.save(with_hits(candidates_of(found), base), "candidates")
-    # Positives: a base rule of the kind or a word of the kind.  The half of a candidate goes by its text, so its copies are of one half.
-    positive = F.col("hit") | (F.col("ctx") == 1)
+    # Positives: a base rule of the kind, or a word and the form agree.  The half of a candidate goes by its text, so its copies are of one half.
+    positive = F.col("hit") | F.col("said")
     counts = hits.groupBy(*FEATURES, "fold").agg(F.count_if(positive).alias("hits"), F.count(F.lit(1)).alias("n"))
     # Two folds of the product of the features' values at most.
     trees, thresholds = boost([({f: r[f] for f in FEATURES}, r.fold, float(r.hits), float(r.n)) for r in counts.collect()])
