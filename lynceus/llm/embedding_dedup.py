@@ -38,7 +38,7 @@ ASSIGN = 65536
 #: Pivots are the vectors of the smallest hashes among so many drawn for each of them; none is drawn with a chance of e ** -64.
 DRAWN = 64
 #: Components of a chunk at most, and products of a unit held at a time.
-CHUNK_NUMBERS, SLAB = 1 << 20, 1 << 23
+CHUNK_NUMBERS, SLAB = 1 << 20, 1 << 22
 #: Distances are rounded: so much more than the bound is replicated.
 SLACK = 1e-6
 
@@ -67,42 +67,51 @@ def _assign(eps: float):
     return run
 
 
+def _forest(link: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the seed of its component, by widening a front of rows and columns of the links at once."""
+    parent, open_ = np.arange(n), np.zeros(n, bool)
+    open_[left], open_[right] = link.any(axis=1), open_[right] | link.any(axis=0)
+    row, column = np.full(n, -1), np.full(n, -1)
+    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+    while open_.any():
+        front = np.array([seed := int(open_.argmax())])
+        open_[seed] = False
+        while len(front):
+            reach = np.zeros(n, bool)
+            i, j = row[front], column[front]
+            if (i >= 0).any():
+                reach[right] |= link[i[i >= 0]].any(axis=0)
+            if (j >= 0).any():
+                reach[left] |= link[:, j[j >= 0]].any(axis=1)
+            front = np.flatnonzero(reach & open_)
+            open_[front], parent[front] = False, seed
+    return parent
+
+
 def _join(threshold: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         c, d = key[3].as_py(), key[4].as_py()
         v = _matrix(table.column("v"))
-        node, m = table.column("node").to_numpy(), table.column("m").to_numpy()
+        node, m = table.column("node").to_numpy(), table.column("m").to_numpy().astype(np.float64)
         own, chunk = table.column("own").to_numpy(zero_copy_only=False), table.column("chunk").to_numpy()
         left, right = np.flatnonzero(chunk == c), np.flatnonzero(chunk == d)
-        link = np.zeros((len(left), len(right)), bool)
+        link, n = np.zeros((len(left), len(right)), bool), np.zeros(len(node))
         slab = max(1, SLAB // max(1, len(right)))
         for i in range(0, len(left), slab):
-            link[i : i + slab] = v[left[i : i + slab]] @ v[right].T >= threshold
-            link[i : i + slab] &= own[left[i : i + slab]][:, None] | own[right][None, :]
-        if c == d:
-            np.fill_diagonal(link, False)
-        n = np.zeros(len(node), np.int64)
-        some, other = np.nonzero(link.any(axis=1))[0], np.nonzero(link.any(axis=0))[0]
-        n[left[some]] += link[some] @ m[right]
-        if c != d:
-            n[right[other]] += link[:, other].T @ m[left]
-        parent = np.arange(len(node))
-        todo = set(np.flatnonzero(n).tolist())
-        at_left, at_right = {int(x): i for i, x in enumerate(left)}, {int(x): i for i, x in enumerate(right)}
-        while todo:
-            seed = todo.pop()
-            front = [seed]
-            while front:
-                x = front.pop()
-                reach = right[link[at_left[x]]].tolist() if x in at_left else []
-                reach += left[link[:, at_right[x]]].tolist() if c != d and x in at_right else []
-                for y in reach:
-                    if y in todo:
-                        todo.discard(y)
-                        parent[y] = seed
-                        front.append(y)
+            some = left[i : i + slab]
+            near = v[some] @ v[right].T >= threshold
+            near &= own[some][:, None] | own[right][None, :]
+            if c == d:
+                near[np.arange(len(some)), i + np.arange(len(some))] = False
+            link[i : i + slab] = near
+            if near.any():  # sums of whole numbers below 2 ** 53
+                near = near.astype(np.float64)
+                n[some] += near @ m[right]
+                if c != d:
+                    n[right] += m[some] @ near
         hit = np.flatnonzero(n)
-        return pa.table({"a": node[hit], "b": node[parent[hit]], "links": n[hit]})
+        parent = _forest(link, left, right, len(node)) if len(hit) else np.zeros(0, int)
+        return pa.table({"a": node[hit], "b": node[parent[hit]] if len(hit) else node[hit], "links": n[hit].astype(np.int64)})
 
     return run
 
@@ -154,8 +163,11 @@ def vector_dedup(vectors: DataFrame, vector: str = "embedding", label: str = "la
     known = nodes.select("cls", "dim", "v", "node", "least", "m").join(degree, "node", "left").join(roots, "node", "left")
     known = scratch.save(known.withColumn("component", F.coalesce("component", "node")), "known")
     top = known.groupBy("component").agg(F.min("least").alias(_TOP))
-    label_of = scratch.save(known.join(top, "component").select("cls", "dim", "v", _TOP, (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias(_LINKS)), "labels")
-    mine = usable.join(label_of, ["cls", "dim", "v"]).select(F.col("rid").alias(_ROW), _TOP, _LINKS)
+    label_of = known.join(top, "component").select("cls", "dim", "v", "node", "m", _TOP, (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias(_LINKS))
+    label_of = scratch.save(label_of, "labels")
+    # A node is the row of its number; only copies of nodes find theirs by the vector.
+    copies = usable.join(nodes.select(F.col("node").alias("rid")), "rid", "left_anti").join(label_of.filter("m > 1"), ["cls", "dim", "v"])
+    mine = label_of.select(F.col("node").alias(_ROW), _TOP, _LINKS).unionAll(copies.select(F.col("rid").alias(_ROW), _TOP, _LINKS))
     joined = base.join(mine, F.col(RID) == F.col(_ROW), "left")
     component = F.when(F.col(_ROW).isNull(), F.col(vec_id)).otherwise(F.col(_TOP))
     return joined.select(

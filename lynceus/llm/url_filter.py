@@ -40,8 +40,8 @@ BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in BLOCKED_NAMES for top
 DEFAULT = "allow"
 #: The array goes to every executor, so a larger list is searched in shards.
 LARGEST_FILE = 256 << 20
-#: Tasks that share a shard's probes.
-SALTS = 8
+#: Probes that a group searches, and those of a page, as the mean; the shards follow from them.
+GROUP_PROBES, PROBES = 1 << 18, 8
 SEED = 0
 
 _ALLOW, _BLOCK, _HOST = 0, 1, 2
@@ -204,6 +204,8 @@ def _judge_in_shards(rows: DataFrame, listed: dict[str, int], shapes: Shapes, sh
     spark = rows.sparkSession
     scratch = Scratch(spark, "urls")
     base = with_row_id(scratch, rows)
+    # As many shards as the list or its probes need, whichever are more: the larger the table, the smaller the part of the list that a group searches.
+    shards = max(shards, -(-base.count() * PROBES // GROUP_PROBES))
     shard_of = lambda digest: digest * shards >> 64
     table = [(shard_of(xxhash.xxh64_intdigest(s.encode(), SEED)), s, kind) for s, kind in listed.items()]
     entries_of = scratch.save(spark.createDataFrame(table, "shard int, entry string, kind int"), "list")
@@ -214,9 +216,12 @@ def _judge_in_shards(rows: DataFrame, listed: dict[str, int], shapes: Shapes, sh
             columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "rid", "probe", "n"])
 
-    # A shard's probes are dealt over salts, so that a common host doesn't meet in one task.
-    probes = base.select(RID, "host", "path").mapInArrow(probe, "shard int, rid long, probe binary, n int").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
-    salted = entries_of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # A shard with many probes, of a common host, is searched in several groups; the others in one.
+    probes = scratch.save(base.select(RID, "host", "path").mapInArrow(probe, "shard int, rid long, probe binary, n int"), "probes")
+    salts = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_PROBES)).cast("int").alias("salts"))
+    salts = scratch.save(salts, "salts")
+    probes = probes.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int")).drop("salts")
+    salted = entries_of.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def search(asked: pa.Table, known: pa.Table) -> pa.Table:
         array = DigestArray(np.frombuffer(array_bytes(zip(known.column("entry").to_pylist(), known.column("kind").to_pylist(), strict=True)), np.uint8))
