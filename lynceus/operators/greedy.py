@@ -46,6 +46,14 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return both.select(F.col("id").alias("a"), F.col("o_id").alias("b"))
 
 
+def near_old(prints: DataFrame, old: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``(id, order)`` for prints within the distance of one of ``old(order, h)``, the first of these."""
+    side = lambda rows, *names: rows.select(*names, F.posexplode(piece_keys(prints, distance)).alias("i", "k"))
+    gap = F.aggregate(F.zip_with("h", "o_h", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    theirs = side(old, "order", "h").withColumnRenamed("h", "o_h")
+    return side(prints, "id", "h").join(theirs, ["i", "k"]).filter(gap <= distance).groupBy("id").agg(F.min("order").alias("order"))
+
+
 def first_kept(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``(id, twin)``: null for kept items, else the first kept item before within the distance."""
     e = cut(links(prints, distance))

@@ -14,7 +14,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lynceus.operators.prefix import running_before
 from lynceus.sources.scratch import cut
@@ -104,8 +103,6 @@ def shrunk_covariances(rows: DataFrame, transform: Callable) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(acc), np.int32)), pa.array([m[-1, -1] for m in acc.values()]), pa.array([m.ravel().tolist() for m in acc.values()], pa.list_(pa.float64()))], names=["cls", "n", "x"])
 
     sums = cut(_added(both.mapInArrow(moments, "cls int, n double, x array<double>"), "cls"))
-    known = both.join(sums.select("cls", F.col("x").alias("m")), "cls")
-
     def parts(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         d = int(np.sqrt(m.size) + 0.5)
         m = m.reshape(d, d)
@@ -115,20 +112,27 @@ def shrunk_covariances(rows: DataFrame, transform: Callable) -> DataFrame:
         scale = np.where(var > 10 * np.finfo(float).eps * np.maximum(1, mean * mean), np.sqrt(np.maximum(var, 0)), 1.0)
         return mean, cov, scale
 
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [parts(np.array(m.as_py())) for m in b.column("x")]
+            yield pa.RecordBatch.from_arrays([b.column("cls"), *(pa.array([p[i].tolist() for p in each], pa.list_(pa.float64())) for i in (0, 2))], names=["cls", "mean", "scale"])
+
+    # A row meets its class's mean and scale, two vectors, not its matrix.
+    known = both.join(cut(sums.select("cls", "x").mapInArrow(centre, "cls int, mean array<double>, scale array<double>")), "cls")
+
     def fourths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            x, cls, at = transform(_array(b.column("v"))), b.column("cls").to_numpy(), b.column("m")
+            x, cls = transform(_array(b.column("v"))), b.column("cls").to_numpy()
+            sums_ = ((((x - _array(b.column("mean"))) / _array(b.column("scale"))) ** 2).sum(1)) ** 2
             for c in np.unique(cls):
-                own = np.flatnonzero(cls == c)
-                mean, _, scale = parts(np.array(at[int(own[0])].as_py()))
-                acc[c] = acc.get(c, 0.0) + float(((((x[own] - mean) / scale) ** 2).sum(1) ** 2).sum())
+                acc[c] = acc.get(c, 0.0) + float(sums_[cls == c].sum())
         if acc:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(acc), np.int32)), pa.array(list(acc.values()))], names=["cls", "f"])
 
-    fourth = known.select("cls", "v", "m").mapInArrow(fourths, "cls int, f double").groupBy("cls").agg(F.sum("f").alias("f"))
+    fourth = known.select("cls", "v", "mean", "scale").mapInArrow(fourths, "cls int, f double").groupBy("cls").agg(F.sum("f").alias("f"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,11 +247,14 @@ def kmeans(rows: DataFrame, k: int, seed: int = 0, starts: int = 10) -> DataFram
     x = rows.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("features")).persist()
     models = [KMeans(k=k, seed=seed + i, maxIter=20, initSteps=5).fit(x) for i in range(starts)]
     model = min(models, key=lambda m: m.summary.trainingCost)
-    x.unpersist()
     centres = F.array(*[F.array(*[F.lit(float(c)) for c in centre]) for centre in model.clusterCenters()])
     got = model.transform(x).select("id", F.col("prediction").alias("cluster"), vector_to_array("features").alias("v"))
     gap = F.aggregate(F.zip_with("v", F.element_at(centres, F.col("cluster") + 1), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
-    return got.withColumn("gap", gap).select("id", "cluster", F.row_number().over(Window.partitionBy("cluster").orderBy("gap", "id")).alias("rank"))
+    got = got.withColumn("gap", gap).select("id", "cluster", F.struct("cluster", "gap", "id").alias("o"), F.lit(1).alias("one"))
+    placed = cut(running_before(got, "o", ["one"]))  # no task sorts a cluster
+    x.unpersist()
+    first = placed.groupBy("cluster").agg(F.min("before_one").alias("first"))
+    return placed.join(first, "cluster").select("id", "cluster", (F.col("before_one") - F.col("first") + 1).cast("int").alias("rank"))
 
 
 def logistic_scores(train: DataFrame, ask: DataFrame, c: float = 1.0, balanced: bool = True) -> DataFrame:

@@ -399,6 +399,62 @@ def verified_scores(spark, sf_dir):
     return rows.select(F.col("q").alias("vec_id"), F.col("r").alias("ref"), *[F.round(spots.score_of(k), 6).alias(k) for k in kinds])
 
 
+@query("""WITH $BASE, kp AS (SELECT id AS photo, cls, k, [abs(x) for x in v[k * 8 + 1:k * 8 + 8]] AS d FROM (SELECT *, unnest(range(8)) AS k FROM g)),
+w AS (SELECT photo, cls, k, [sqrt(x / (list_sum(d) + 1e-7)) for x in d] AS w FROM kp),
+p AS (SELECT a.photo AS q, b.photo AS r, a.k AS ka, b.k AS kb, list_distance(a.w, b.w) AS d FROM w a JOIN w b ON a.photo <> b.photo),
+x AS (SELECT q, r, ka, arg_min(kb, d) AS i, min(d, 2) AS m FROM p GROUP BY q, r, ka), y AS (SELECT q, r, kb, arg_min(ka, d) AS j, min(d, 2) AS m FROM p GROUP BY q, r, kb),
+c AS (SELECT unnest([0.6, 0.67, 0.75, 0.8, 0.85, 0.9])::DOUBLE AS ratio),
+b AS (SELECT x.m[1] AS a1, x.m[2] AS a2, y.m[1] AS b1, y.m[2] AS b2 FROM x JOIN y ON x.q = y.q AND x.r = y.r AND x.i = y.kb AND y.j = x.ka)
+SELECT ratio, (SELECT count(*) FROM x WHERE m[1] < ratio * m[2]) AS one_way, (SELECT count(*) FROM y WHERE m[1] < ratio * m[2]) AS back, (SELECT count(*) FROM b WHERE a1 < ratio * a2 AND b1 < ratio * b2) AS mutual FROM c""")
+def six_ratios(spark, sf_dir):
+    """How many matches each of the six ratios leaves, over all pairs of photos."""
+    p = spots.photos_of(features(spark, sf_dir))
+    sums = spots.evidence(p, p).agg(*[F.sum(f"`{k}`").alias(f"n{i}") for i, k in enumerate(spots.KINDS)])
+    rows = [F.struct(F.lit(r).alias("ratio"), *[F.col(f"n{3 * i + j}").alias(n) for j, n in enumerate(("one_way", "back", "mutual"))]) for i, r in enumerate(spots.RATIOS)]
+    return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+@query("""WITH $BASE, k AS (SELECT q, cls, max(s) AS score FROM pairs WHERE ref % 3 <> 0 GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, cls) AS rank FROM k)
+SELECT q AS vec_id, CAST(rank AS INTEGER) AS rank, cls AS label, round(score, 6) AS score FROM t WHERE rank <= 5""")
+def masked_index_topk(spark, sf_dir):
+    """The gallery as a bucketed index that a search reads without moving it; every third reference is masked."""
+    from lynceus.sources import index
+
+    g, name = load(spark, sf_dir), f"lynceus_index_{uuid.uuid4().hex}"
+    index.write_index(g, name, 256, f"{place(spark)}/index")
+    found = index.search(name, G.with_other_sighting(g), without=g.filter("id % 3 = 0").select("id"))
+    return G.top_classes(found).select(F.col("q").alias("vec_id"), "rank", F.col("cls").alias("label"), r6("score"))
+
+
+@query(f"""WITH RECURSIVE {LETTERS}, {BITS}, p AS (SELECT id, array_to_string(b, '')::BIT AS h FROM bits), l AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND bit_count(xor(a.h, b.h)) <= {greedy.DISTANCE}),
+d AS (SELECT * FROM documents WHERE text IS NOT NULL AND text <> ''), f AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS k, (SELECT min(a) FROM l WHERE l.b = doc_id AND a % 5 = 0) AS old FROM d WHERE doc_id % 5 <> 0 AND doc_id % 11 <> 0),
+s AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL
+  SELECT f.k, CASE WHEN old IS NOT NULL OR EXISTS (SELECT 1 FROM l WHERE l.b = f.id AND list_contains(s.kept, l.a)) THEN s.kept ELSE list_append(s.kept, f.id) END FROM s JOIN f ON f.k = s.k + 1),
+e AS (SELECT kept FROM s ORDER BY k DESC LIMIT 1), t AS (SELECT f.id, coalesce(old, (SELECT min(l.a) FROM l, e WHERE l.b = f.id AND l.a < f.id AND list_contains(e.kept, l.a))) AS twin FROM f)
+SELECT 'd' || doc_id AS name, CASE WHEN doc_id % 11 = 0 THEN 'done' WHEN twin IS NOT NULL THEN 'duplicate' WHEN n_chars % 13 = 0 THEN 'failed' WHEN n_chars < 200 THEN 'skipped' ELSE 'matched' END AS state,
+CASE WHEN doc_id % 11 <> 0 THEN 'd' || twin END AS twin FROM d LEFT JOIN t ON t.id = doc_id WHERE doc_id % 5 <> 0""")
+def batch_client(spark, sf_dir):
+    """A folder run through a service: names done before, copies of earlier uploads or of each other, and what came of the rest."""
+    from lynceus.operators import batch
+
+    name = F.concat(F.lit("d"), F.col("id").cast("string"))
+    prints = cut(_prints(spark, sf_dir)).withColumn("name", name)
+    files, earlier = prints.filter("id % 5 <> 0"), prints.filter("id % 5 = 0")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), (F.col("n_chars") % 13 != 0).alias("ok"), (F.col("n_chars") >= 200).alias("found"))
+    return batch.run(batch.sift(files, files.filter("id % 11 = 0").select("name"), earlier), lambda names: docs.join(names, "name", "left_semi"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang AS folder, 'n' || doc_id % 40 AS stem FROM documents WHERE doc_id % 4 <> 0), h AS (SELECT DISTINCT lang AS folder, 'n' || doc_id % 40 AS stem FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 = 0),
+n AS (SELECT d.*, row_number() OVER (PARTITION BY d.folder, d.stem ORDER BY doc_id) - 1 + (h.stem IS NOT NULL)::INT AS n FROM d LEFT JOIN h ON h.folder = d.folder AND h.stem = d.stem)
+SELECT doc_id, folder, stem || '.jpg' AS name, stem || CASE WHEN n = 0 THEN '' WHEN n = 1 THEN ' (moved)' ELSE ' (moved ' || n || ')' END || '.jpg' AS target FROM n WHERE folder IS NOT NULL""")
+def move_plan(spark, sf_dir):
+    """Where files go whose names are taken in their folder."""
+    from lynceus.operators import batch
+
+    d = table(spark, sf_dir, "documents").filter("lang is not null").select("doc_id", F.col("lang").alias("folder"), F.concat(F.lit("n"), (F.col("doc_id") % 40).cast("string"), F.lit(".jpg")).alias("name"))
+    return batch.move_plan(d.filter("doc_id % 4 <> 0"), d.filter("doc_id % 4 = 0 and doc_id % 3 = 0"), "doc_id").select("doc_id", "folder", "name", "target")
+
+
 # --- decisions, groups, audits -------------------------------------------------------------------
 
 HALVES = """, hv AS (SELECT id, cls, grp, v[1:32] AS a, v[33:64] AS b FROM g), hn AS (SELECT *, sqrt(list_dot_product(a, a)) + 1e-12 AS na, sqrt(list_dot_product(b, b)) + 1e-12 AS nb FROM hv),
