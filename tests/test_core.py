@@ -228,6 +228,7 @@ def test_projections(spark):
 
 
 def test_streamed_log(spark, tmp_path):
+    from lynceus.streaming import keyed
     from lynceus.streaming import log as L
 
     rows = [(i, f"u{i % 3}", "known" if i % 4 else "new") for i in range(12)]
@@ -235,8 +236,8 @@ def test_streamed_log(spark, tmp_path):
     folder = str(tmp_path / "log")
     for lo in (6, 0, 9):  # arrival out of order
         df.filter(f"seq >= {lo} and seq < {lo + 3} or {lo} = 0 and seq >= 3 and seq < 6").coalesce(1).write.mode("append").parquet(folder)
-    L.keep_last(L.read_log(spark, folder, df.schema), str(tmp_path / "out"), str(tmp_path / "cp"), ["upload"], "seq", ["verdict"]).awaitTermination()
-    got = {r.upload: (r.verdict, r.seq) for r in L.latest(spark, str(tmp_path / "out")).collect()}
+    L.keep_last(L.read_log(spark, folder, df.schema), str(tmp_path / "cp"), ["upload"], "seq", ["verdict"]).awaitTermination()
+    got = {r.upload: (r.verdict, r.seq) for r in keyed.kept(spark, str(tmp_path / "cp")).collect()}
     assert got == {"u0": ("known", 9), "u1": ("known", 10), "u2": ("known", 11)}
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.coalesce(1).write.parquet(str(tmp_path / "ev"))
