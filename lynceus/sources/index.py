@@ -65,13 +65,7 @@ def search(table: str, queries: DataFrame, exclude: str | Callable = "sighting",
         a = a.filter(pa.array(is_query)).drop_columns(["rb", "kind"])
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
-        every, r, out = G._arrays(a), G._arrays(b), []
-        for first in range(0, a.num_rows, G.SLAB):
-            q = G._take(every, slice(first, first + G.SLAB))
-            s = q["v"] @ r["v"].T
-            s[rule(q, r)] = -np.inf
-            out.append(kept(s, q, r, k).cast(schema))
-        return pa.concat_tables(out)
+        return G.block_of(a, b, rule, lambda s, q, r: kept(s, q, r, k), schema)
 
     found = []
     for part in range(parts):
