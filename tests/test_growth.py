@@ -1,8 +1,13 @@
 """What a larger table showed: ties of rounding, memory and rows that grew with the pairs."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lynceus.operators import gallery, spots
 
 
 def test_means_between_two_thousandths_are_rounded_as_sql_rounds(spark, tmp_path):
@@ -15,3 +20,44 @@ def test_means_between_two_thousandths_are_rounded_as_sql_rounds(spark, tmp_path
     con.execute(f"CREATE VIEW events AS FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     assert got == set(con.execute(entry.oracle_sql()["pack_unpack_top5"]).fetchall())
     assert {p for _, p, _, _ in got} == {"a:view:37.592", "a:view:64.942", "a:view:1.75"}
+
+
+@pytest.mark.parametrize("k", [1, 3, 6, 70])
+def test_best_of_rows_is_a_whole_sort(k):
+    """Ties, left-out cells and rows with fewer than k; what is put in order is little."""
+    rng = np.random.default_rng(0)
+    s, ids = np.round(rng.random((50, 300)), 2), rng.permutation(300)
+    s[rng.random(s.shape) < 0.3] = s[3] = s[4, 2:] = -np.inf
+    i, j = gallery.best_of_rows(s, k, ids)
+    want = [(a, b) for a in range(50) for b in sorted(np.flatnonzero(np.isfinite(s[a])), key=lambda b: (-s[a, b], ids[b]))[:k]]
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_a_reference_with_nan_hides_no_other(spark):
+    rows = [(0, 1, 0, [1.0, 0.0]), (1, 1, 1, [float("nan"), 0.0]), (2, 1, 1, [0.9, 0.1]), (3, 2, 1, [0.0, 1.0])]
+    g = spark.createDataFrame(rows, "id long, cls int, grp long, v array<double>")
+    for keep in ("class", "overall"):
+        assert {r.ref for r in gallery.score(g.filter("id = 0"), g, "sighting", keep, 1).collect()} == ({2, 3} if keep == "class" else {2})
+
+
+def test_counts_of_photos_are_reduced_in_slabs(spark, monkeypatch):
+    """However many photos a block has, a task holds the counts of so many pairs, and a sum leaves it as one row."""
+    monkeypatch.setattr(spots, "COUNTS", 40)
+    monkeypatch.setattr(spots, "CELLS", 64)
+    rng = np.random.default_rng(2)
+    rows = [(p, p % 3, k, rng.uniform(0, 9, 4).tolist()) for p in range(30) for k in range(1 + p % 5)]
+    f = spots.photos_of(spark.createDataFrame(rows, "photo long, cls int, kp int, d array<double>"))
+
+    def reduce(q, r, counts):
+        if len(q["id"]) * len(r["id"]) > 40:
+            raise AssertionError("a whole block at a time")
+        return pa.table({"n": [q["id"].size]})
+
+    assert sum(r.n for r in spots._grid(f, f, ("mut@0.8",), reduce, "n long").collect()) == 30
+    whole = spots.evidence(f, f)
+    want = whole.agg(*[F.sum(f"`{k}`").alias(k) for k in spots.KINDS]).first()
+    assert spots.totals(f, f).collect() == [want] and want["q2r@0.9"] > 0
+    best = {}
+    for r in whole.select("q", "r", "cls", spots.score_of("mutg").alias("s")).collect():
+        best[r.q, r.cls] = max(best.get((r.q, r.cls), (-1, 0)), (r.s, -r.r))
+    assert {(r.q, r.cls): (r.score, -r.r) for r in spots.best_of_class(f, f, "mutg").collect()} == best
