@@ -5,10 +5,10 @@ ones count.  The order is that of arrival: micro-batches one after the other, ro
 by their number.  A micro-batch is decided in two steps: first against what earlier ones
 kept, then in itself, in rounds (:func:`lynceus.operators.greedy.first_kept`).
 
-What is kept lies in an index by pigeonhole piece: a kept picture has a row for each
-piece of its bits, in one of ``PARTS`` folders by the piece's hash.  A micro-batch reads
-the folders of its own pieces only and adds a folder for itself; a batch that is run
-again writes the same folder again, so a restart changes nothing.
+What is kept lies in a folder for each micro-batch, with a row a picture.  A micro-batch
+is compared with them in blocks (:func:`lynceus.operators.greedy.near_old`) and adds a
+folder for itself; a batch that is run again writes the same folder again, so a restart
+changes nothing.
 """
 
 from __future__ import annotations
@@ -17,28 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lynceus.operators.greedy import DISTANCE, first_kept, piece_keys
+from lynceus.operators.greedy import DISTANCE, first_kept, near_old
 from lynceus.sources.scratch import cut
 from lynceus.sources.tables import exists
 
-#: Folders of a micro-batch's part of the index.
-PARTS = 64
-
-
-def _by_piece(prints: DataFrame, distance: int) -> DataFrame:
-    rows = prints.select("id", "h", F.posexplode(piece_keys(prints, distance)).alias("i", "k"))
-    return rows.withColumn("part", F.pmod(F.xxhash64("i", "k"), F.lit(PARTS)).cast("int"))
-
-
-def _near_kept(prints: DataFrame, index: DataFrame, distance: int) -> DataFrame:
-    """``(id, twin)`` for prints with a kept one within the distance, the first of them."""
-    asked = cut(_by_piece(prints, distance))
-    parts = [r.part for r in asked.select("part").distinct().collect()]  # PARTS numbers at most
-    old = index.filter(F.col("part").isin(parts)).select("part", "i", "k", F.col("h").alias("o_h"), F.col("batch").alias("o_batch"), F.col("id").alias("o_id"))
-    gap = F.aggregate(F.zip_with("h", "o_h", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    met = asked.join(old, ["part", "i", "k"]).filter(gap <= distance)
-    return met.groupBy("id").agg(F.min(F.struct("o_batch", "o_id")).alias("x")).select("id", F.col("x.o_id").alias("twin"))
-
 
 def keep_first(prints: DataFrame, target: str, checkpoint: str, distance: int = DISTANCE) -> StreamingQuery:
     """Decide each of a stream of ``prints(id, h array<long>)``: ``target/decided`` gets ``(id, twin)``, null for kept ones.
@@ -53,10 +35,10 @@ def keep_first(prints: DataFrame, target: str, checkpoint: str, distance: int =
         twins = spark.createDataFrame([], "id long, twin long")
         if number and exists(spark, f"{target}/index"):
             index = spark.read.parquet(f"{target}/index").filter(F.col("batch") < number)
-            twins = cut(_near_kept(sound, index, distance))
+            twins = cut(near_old(sound, index.select("batch", F.col("id").alias("order"), "h"), distance).withColumnRenamed("order", "twin"))
         fresh = cut(first_kept(sound.join(twins, "id", "left_anti"), distance))
         kept = sound.join(fresh.filter("twin is null").select("id"), "id", "left_semi")
-        _by_piece(kept, distance).write.mode("overwrite").partitionBy("part").parquet(f"{target}/index/batch={number}")
+        kept.write.mode("overwrite").parquet(f"{target}/index/batch={number}")
         decided = fresh.unionByName(twins).unionByName(rows.filter("h is null").select("id", F.lit(None).cast("long").alias("twin")))
         decided.write.mode("overwrite").parquet(f"{target}/decided/batch={number}")
 

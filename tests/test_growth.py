@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lynceus.operators import gallery, spots
+from lynceus.operators import gallery, greedy, spots
 
 
 def test_means_between_two_thousandths_are_rounded_as_sql_rounds(spark, tmp_path):
@@ -61,3 +61,26 @@ def test_counts_of_photos_are_reduced_in_slabs(spark, monkeypatch):
     for r in whole.select("q", "r", "cls", spots.score_of("mutg").alias("s")).collect():
         best[r.q, r.cls] = max(best.get((r.q, r.cls), (-1, 0)), (r.s, -r.r))
     assert {(r.q, r.cls): (r.score, -r.r) for r in spots.best_of_class(f, f, "mutg").collect()} == best
+
+
+def test_look_alikes_are_linked_with_what_is_kept_only(spark, monkeypatch):
+    """Many prints near one another and equal ones: the loop's result, and no table of all links."""
+    monkeypatch.setattr(greedy, "FIRST", 40)
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(-(2**62), 2**62, (6, 4))
+    rows = []
+    for i in rng.permutation(400).tolist():
+        h = [int(x) for x in seeds[i % 6]]
+        for b in rng.integers(0, 63, rng.integers(0, 9)):
+            h[int(b) % 4] ^= 1 << int(b)
+        rows.append((i, h))
+    rows.append((400, None))
+    want, kept = {400: None}, []
+    for i, h in sorted(rows[:-1]):
+        want[i] = next((a for a, o in kept if sum((x ^ y).bit_count() for x, y in zip(h, o, strict=True)) <= 10), None)
+        if want[i] is None:
+            kept.append((i, h))
+    asked, whole = [], greedy.links
+    monkeypatch.setattr(greedy, "links", lambda p, d: asked.append(p.count()) or whole(p, d))
+    got = {r.id: r.twin for r in greedy.first_kept(spark.createDataFrame(rows, "id long, h array<long>")).collect()}
+    assert got == want and len(kept) > 6 and sum(asked) < 200
