@@ -192,6 +192,29 @@ def by_sighting(gallery: DataFrame, least: float, block: int | None = None) -> D
     return part if nr == 1 else part.groupBy("id", "rgrp").agg(F.sum("strong").alias("strong"), F.sum("total").alias("total"))
 
 
+def _best_of_sighting(s: np.ndarray, q: dict, r: dict) -> pa.Table:
+    """For each query and sighting the best score, the fewest days between and the first day of the references that are left."""
+    out: list[list] = [[], [], [], [], []]
+    for g in np.unique(r["grp"]):
+        own = np.flatnonzero(r["grp"] == g)
+        part, day = s[:, own], r["day"][own]
+        open_ = np.isfinite(part)
+        i = np.flatnonzero(open_.any(1))
+        far = np.iinfo(np.int64).max
+        gap = np.where(open_[i], np.abs(q["day"][i, None] - day[None]), far).min(1, initial=far)
+        first = np.where(open_[i], day[None], far).min(1, initial=far)
+        for column, x in zip(out, (q["id"][i], np.full(len(i), g), part[i].max(1, initial=-np.inf), gap, first), strict=True):
+            column.append(x)
+    return pa.table({n: np.concatenate(x) for n, x in zip(("q", "rgrp", "own", "gap", "rday"), out, strict=True)})
+
+
+def best_of_other_sightings(gallery: DataFrame, block: int | None = None) -> DataFrame:
+    """``(q, rgrp, own, gap, rday)`` for ``gallery`` with days: each photo's best score with each other sighting of its class, the days to the nearest of its photos and its first day; a block leaves a row a photo and sighting."""
+    rule = lambda q, r: EXCLUSIONS["sighting"](q, r) | ~EXCLUSIONS["own_class"](q, r)
+    part, nr = grid(gallery, gallery, rule, _best_of_sighting, "q long, rgrp long, own double, gap long, rday long", block)
+    return part if nr == 1 else part.groupBy("q", "rgrp").agg(F.max("own").alias("own"), F.min("gap").alias("gap"), F.min("rday").alias("rday"))
+
+
 def top_classes(best: DataFrame, k: int = 5) -> DataFrame:
     """The k best classes of each query: score first, then class."""
     by = Window.partitionBy("q").orderBy(F.desc("score"), "cls")

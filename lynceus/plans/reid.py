@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -285,6 +286,18 @@ b2 AS (SELECT q, qcls, cls, max(s) AS score FROM ok GROUP BY ALL), r2 AS (SELECT
 SELECT count(*) AS n, round(avg((cls = qcls)::INT), 6) AS top1 FROM r2 WHERE k = 1"""
 
 
+def _not_chosen(q: dict, r: dict) -> np.ndarray:
+    """References of other classes, and those that aren't chosen without the query's sighting, which are in ``gone``."""
+    sightings, code = np.unique(q["grp"], return_inverse=True)
+    lists = [np.asarray(x) for x in r["gone"]]
+    row, value = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    at = np.minimum(np.searchsorted(sightings, value), len(sightings) - 1)
+    met = sightings[at] == value
+    member = np.zeros((len(sightings), len(lists)), bool)
+    member[at[met], row[met]] = True
+    return ~(member[code] & G.EXCLUSIONS["own_class"](q, r))
+
+
 def _accuracy_with_index(g: DataFrame, k: int | None) -> DataFrame:
     from lynceus.operators.audit import index_choice
 
@@ -292,10 +305,9 @@ def _accuracy_with_index(g: DataFrame, k: int | None) -> DataFrame:
     general, own = index_choice(met, g.withColumn("side", F.col("id") % 2), k)
     queries = G.with_other_sighting(g)
     others = G.score(queries, g.join(general, "id", "left_semi"), lambda q, r: G.EXCLUSIONS["sighting"](q, r) | G.EXCLUSIONS["own_class"](q, r), "class", 1)
-    of_class = lambda q, r: G.EXCLUSIONS["sighting"](q, r) | ~G.EXCLUSIONS["own_class"](q, r)
-    mine = G.score(queries, g, of_class, "over", -2.0)
-    mine = mine.join(g.select(F.col("id").alias("q"), F.col("grp").alias("gone")), "q").join(own.withColumnRenamed("id", "ref"), ["cls", "gone", "ref"], "left_semi")
-    mine = mine.groupBy("q", "cls").agg(F.max("score").alias("score"))
+    # A reference of the own class counts for the sightings without which it is chosen; a block leaves a row a query.
+    chosen = g.join(own.groupBy("id").agg(F.collect_set("gone").alias("gone")), "id")
+    mine = G.score(queries, chosen, _not_chosen, "class", 1).select("q", "cls", "score")
     top = G.top_classes(others.select("q", "cls", "score").unionByName(mine), 1).join(truth(g), "q")
     return top.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("cls") == F.col("true_cls")).cast("int")), 6).alias("top1"))
 

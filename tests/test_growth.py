@@ -84,3 +84,20 @@ def test_look_alikes_are_linked_with_what_is_kept_only(spark, monkeypatch):
     monkeypatch.setattr(greedy, "links", lambda p, d: asked.append(p.count()) or whole(p, d))
     got = {r.id: r.twin for r in greedy.first_kept(spark.createDataFrame(rows, "id long, h array<long>")).collect()}
     assert got == want and len(kept) > 6 and sum(asked) < 200
+
+
+def test_own_class_scores_leave_no_row_a_pair(spark, monkeypatch):
+    """The indexes without a sighting and the other encounters are reduced in the blocks, with SQL's results."""
+    whole = gallery.score
+
+    def score(queries, refs, exclude="sighting", keep="class", k=1, block=None):
+        if keep == "over":
+            raise AssertionError("a row a pair")
+        return whole(queries, refs, exclude, keep, k, 64)
+
+    monkeypatch.setattr(gallery, "score", score)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    for name in ("restricted_index_accuracy", "supported_index_accuracy", "one_other_encounter", "one_other_encounter_by_era"):
+        got = sorted(map(tuple, entry.queries()[name](spark, "/root/testdata/sf0.001").collect()))
+        assert got == sorted(con.execute(entry.oracle_sql()[name]).fetchall()), name
