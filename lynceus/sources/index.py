@@ -22,6 +22,8 @@ from lynceus.operators import gallery as G
 
 #: References of a block, and queries that are sent to the blocks at a time.
 BLOCK, QUERIES = 8192, 65536
+#: Blocks a core that are enough to keep all cores busy.
+BUCKETS = 2
 
 _QUERY, _MASK = 0, 1
 
@@ -31,8 +33,14 @@ def _block(blocks: int):
 
 
 def write_index(refs: DataFrame, table: str, block: int = BLOCK, path: str | None = None) -> int:
-    """Write ``refs(id, cls, grp, v)`` as a table, a bucket a block, in the warehouse or in ``path``; returns the number of blocks, which the table's properties tell too."""
-    blocks = max(1, -(-refs.count() // block))
+    """Write ``refs(id, cls, grp, v)`` as a table, a bucket a block, in the warehouse or in ``path``; returns the number of blocks, which the table's properties tell too.
+
+    A block has ``block`` rows or more: a query goes to each block, so there are no more
+    than ``BUCKETS`` a core until blocks are as large as a gallery's.
+    """
+    n = refs.count()
+    block = max(block, min(BLOCK, -(-n // (BUCKETS * refs.sparkSession.sparkContext.defaultParallelism))))
+    blocks = max(1, -(-n // block))
     dealt = refs.select(F.col("id").cast("long").alias("id"), F.col("cls").cast("int").alias("cls"), F.col("grp").cast("long").alias("grp"), "v").withColumn("rb", _block(blocks))
     writer = dealt.repartition(blocks, "rb").write.mode("overwrite").format("parquet").bucketBy(blocks, "rb").sortBy("rb")
     (writer.option("path", path) if path else writer).saveAsTable(table)
@@ -67,13 +75,15 @@ def search(table: str, queries: DataFrame, exclude: str | Callable = "sighting",
             return schema.empty_table()
         return G.block_of(a, b, rule, lambda s, q, r: kept(s, q, r, k), schema)
 
+    # Single precision stays so on its way; products are in double.
+    vector = queries.schema["v"].dataType if queries.schema["v"].dataType.elementType.typeName() == "float" else "array<double>"
     found = []
     for part in range(parts):
         asked = queries.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)) == part) if parts > 1 else queries
         every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb")
-        left = asked.select(every, F.lit(_QUERY).alias("kind"), F.col("id").cast("long").alias("id"), F.col("cls").cast("int").alias("cls"), F.col("grp").cast("long").alias("grp"), F.col("v").cast("array<double>").alias("v"))
+        left = asked.select(every, F.lit(_QUERY).alias("kind"), F.col("id").cast("long").alias("id"), F.col("cls").cast("int").alias("cls"), F.col("grp").cast("long").alias("grp"), F.col("v").cast(vector).alias("v"))
         if masked:
-            empty = [F.lit(None).cast(t).alias(c) for c, t in (("cls", "int"), ("grp", "long"), ("v", "array<double>"))]
+            empty = [F.lit(None).cast(t).alias(c) for c, t in (("cls", "int"), ("grp", "long"), ("v", vector))]
             left = left.unionAll(mask.select(_block(blocks).alias("rb"), F.lit(_MASK).alias("kind"), F.col("id").cast("long").alias("id"), *empty))
         found.append(left.groupBy("rb").cogroup(right.groupBy("rb")).applyInArrow(cell, "q long, cls int, ref long, score double"))
     out = reduce(DataFrame.unionAll, found)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lynceus.operators import gallery, greedy, spots
+from lynceus.sources import index
 
 
 def test_means_between_two_thousandths_are_rounded_as_sql_rounds(spark, tmp_path):
@@ -101,3 +102,11 @@ def test_own_class_scores_leave_no_row_a_pair(spark, monkeypatch):
     for name in ("restricted_index_accuracy", "supported_index_accuracy", "one_other_encounter", "one_other_encounter_by_era"):
         got = sorted(map(tuple, entry.queries()[name](spark, "/root/testdata/sf0.001").collect()))
         assert got == sorted(con.execute(entry.oracle_sql()[name]).fetchall()), name
+
+
+def test_an_index_has_no_more_blocks_than_cores_need(spark, tmp_path):
+    g = spark.range(2000).selectExpr("id", "cast(id % 3 as int) as cls", "id % 7 as grp", "array(cast(id as float), 1f) as v")
+    cores = spark.sparkContext.defaultParallelism
+    assert index.write_index(g, "many_blocks", 1, f"file://{tmp_path}/index") <= index.BUCKETS * cores
+    got = {tuple(r) for r in index.search("many_blocks", g.filter("id < 9"), keep="overall", k=2).select("q", "ref").collect()}
+    assert got == {tuple(r) for r in gallery.score(g.filter("id < 9"), g, keep="overall", k=2).select("q", "ref").collect()} and len(got) == 18
