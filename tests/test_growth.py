@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lynceus.llm import language_id
 from lynceus.operators import gallery, greedy, spots
 from lynceus.sources import index
 
@@ -110,3 +111,20 @@ def test_an_index_has_no_more_blocks_than_cores_need(spark, tmp_path):
     assert index.write_index(g, "many_blocks", 1, f"file://{tmp_path}/index") <= index.BUCKETS * cores
     got = {tuple(r) for r in index.search("many_blocks", g.filter("id < 9"), keep="overall", k=2).select("q", "ref").collect()}
     assert got == {tuple(r) for r in gallery.score(g.filter("id < 9"), g, keep="overall", k=2).select("q", "ref").collect()} and len(got) == 18
+
+
+def test_the_margin_comes_from_all_labelled_texts(spark):
+    """The quantile over every rightly named text outside the held-out fifth and the dictionaries, far more than 512 of a language."""
+    words = {"de": ["wort", "satz", "und", "haus", "nicht", "wird"], "en": ["word", "phrase", "and", "house", "not", "will"]}
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(words[x], rng.integers(2, 60))), x) for i in range(2400) for x in [("de", "en")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    content = language_id.learn(docs)
+    enc, margins = language_id.Encoders(content), []
+    learned = {r.doc_id for r in docs.filter(~language_id.held_out("doc_id")).collect()}
+    for i, t, x in rows:
+        name, _, margin = enc.judge(t)
+        if i in learned and name == x and language_id.normalise(t)[: language_id.SAMPLE_BYTES] not in content[x]:
+            margins.append(margin)
+    assert len(margins) > 1200
+    assert language_id.learn_margin(docs, content) == sorted(margins)[int(language_id.MARGIN_QUANTILE * len(margins))]
