@@ -28,9 +28,9 @@ LEAST_BLOCK, MOST_BLOCK, BLOCK_NUMBERS = 512, 8192, 1 << 23
 #: Queries whose products with a block are held at a time.
 SLAB = 512
 
-#: What a query may not be scored against, given arrays of the two blocks: True is left out.
+#: What a query may not be scored against, given arrays of the two blocks: True is left out; None leaves out nothing.
 EXCLUSIONS: dict[str, Callable] = {
-    "none": lambda q, r: np.zeros((len(q["id"]), len(r["id"])), bool),
+    "none": lambda q, r: None,
     "self": lambda q, r: q["id"][:, None] == r["id"][None, :],
     "sighting": lambda q, r: q["grp"][:, None] == r["grp"][None, :],
     "sighting_of_class": lambda q, r: (q["grp"][:, None] == r["grp"][None, :]) & (q["cls"][:, None] == r["cls"][None, :]),
@@ -127,7 +127,9 @@ def block_of(a: pa.Table, b: pa.Table, rule: Callable, reduce: Callable, schema:
     for first in range(0, a.num_rows, SLAB):
         q = _take(every, slice(first, first + SLAB))
         s = np.matmul(q["v"], across, out=room[: len(q["v"])])
-        np.copyto(s, -np.inf, where=rule(q, r))
+        out = rule(q, r)
+        if out is not None:
+            np.copyto(s, -np.inf, where=out)
         s[:, unsound] = s[~np.isfinite(q["v"]).all(1)] = -np.inf
         parts.append(reduce(s, q, r).cast(schema))
     return pa.concat_tables(parts)
@@ -215,6 +217,38 @@ def best_of_other_sightings(gallery: DataFrame, block: int | None = None) -> Dat
     return part if nr == 1 else part.groupBy("q", "rgrp").agg(F.max("own").alias("own"), F.min("gap").alias("gap"), F.min("rday").alias("rday"))
 
 
+def _best_by_years(years: list[int]) -> Callable:
+    def run(s: np.ndarray, q: dict, r: dict) -> pa.Table:
+        classes, starts = np.unique(r["cls"], return_index=True)
+        best = np.maximum.reduceat(s, starts, axis=1)
+        own = np.full((len(years), len(s)), -np.inf)
+        for c, first, end in zip(classes, starts, [*starts[1:], len(r["cls"])], strict=True):
+            i = np.flatnonzero(q["cls"] == c)
+            best[i, np.searchsorted(classes, c)] = -np.inf
+            part, days = s[i, first:end], np.abs(q["day"][i, None] - r["day"][None, first:end])
+            part[q["grp"][i, None] == r["grp"][None, first:end]] = -np.inf
+            for y, row in zip(years, own, strict=True):
+                row[i] = part.max(1, where=days >= 365 * y, initial=-np.inf)
+        j = best.argmax(1)  # of equal classes the smallest
+        other = best[np.arange(len(best)), j]
+        sure = lambda x: pa.array(x, mask=~np.isfinite(x))
+        return pa.table({"q": q["id"], "cls": q["cls"], "other": sure(other), "other_cls": pa.array(classes[j], mask=~np.isfinite(other)), **{f"own_{y}": sure(x) for y, x in zip(years, own, strict=True)}})
+
+    return run
+
+
+def best_by_years(gallery: DataFrame, years: list[int], block: int | None = None) -> DataFrame:
+    """``(q, cls, other, other_cls, own_<y> ...)`` for ``gallery`` with days: each photo's best score with another class, of equal ones the smallest, and with its own by the rule of :func:`years_apart` for each of ``years``; null without a reference.
+
+    All years are reduced from one matrix product; a block leaves a row a photo.
+    """
+    schema = "q long, cls int, other double, other_cls int, " + ", ".join(f"own_{y} double" for y in years)
+    part, _ = grid(gallery, gallery, "none", _best_by_years(years), schema, block)
+    first = F.max(F.when(F.col("other").isNotNull(), F.struct("other", (-F.col("other_cls")).alias("c")))).alias("x")
+    best = part.groupBy("q", "cls").agg(first, *[F.max(f"own_{y}").alias(f"own_{y}") for y in years])
+    return best.select("q", "cls", F.col("x.other").alias("other"), (-F.col("x.c")).alias("other_cls"), *[f"own_{y}" for y in years])
+
+
 def top_classes(best: DataFrame, k: int = 5) -> DataFrame:
     """The k best classes of each query: score first, then class."""
     by = Window.partitionBy("q").orderBy(F.desc("score"), "cls")

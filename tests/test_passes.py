@@ -18,6 +18,13 @@ def sql(name, **tables):
     return sorted(con.execute(entry.oracle_sql()[name]).fetchall())
 
 
+def test_all_years_come_from_one_grid(spark, monkeypatch):
+    whole, asked = gallery.grid, []
+    monkeypatch.setattr(gallery, "grid", lambda *a: asked.append(1) or whole(*a[:5], 64))
+    assert sorted(map(tuple, entry.queries()["years_apart"](spark, SMALL).collect())) == sql("years_apart")
+    assert len(asked) == 1
+
+
 def test_pictures_are_compared_where_pairs_are_found(spark):
     """Blocks and pairs say the same of pictures of several sizes, by a motion that isn't none; unsound ones have no difference."""
     rng = np.random.default_rng(4)
