@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from math import exp, factorial
+from binascii import unhexlify
+from collections.abc import Iterator
+from math import ceil, exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -114,16 +118,50 @@ def occurrences(row: Column, replicates: int, seed: int) -> Column:
     return F.slice(each, 1, replicates)
 
 
+def _drawn_sums(by: list[str], replicates: int):
+    """Of a batch with flags ``f_`` and hashes ``h_`` of its rows: for each group and replicate the rows drawn and those of them with the flag (null where no flag is known)."""
+    steps = [ceil(c * (1 << 32)) for c in OCCURRENCES if c * (1 << 32) <= (1 << 32) - 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h = b.column("h_")
+            ends = np.frombuffer(h.buffers()[1], np.int32)[h.offset : h.offset + len(h) + 1]
+            share = np.frombuffer(unhexlify(memoryview(h.buffers()[2])[ends[0] : ends[-1]]), ">u4").reshape(len(h), -1)[:, :replicates].astype(np.uint32)
+            drawn = np.zeros(share.shape, np.int64)
+            for c in steps:
+                drawn += share >= c
+            seen: dict = {}
+            code = np.array([seen.setdefault(k, len(seen)) for k in zip(*(b.column(c).to_pylist() for c in by), strict=True)] if by else np.zeros(len(h)), np.int64)
+            order = np.argsort(code, kind="stable")
+            first = np.unique(code[order], return_index=True)[1]
+            flag = b.column("f_").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[order, None]
+            known = np.add.reduceat(b.column("f_").is_valid().to_numpy(zero_copy_only=False)[order].astype(np.int64), first) > 0
+            drawn = drawn[order]
+            sums = [np.add.reduceat(x, first, axis=0) for x in (drawn, drawn * flag)]
+            offsets = pa.array(np.arange(0, sums[0].size + 1, replicates, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), mask=m)) for x, m in zip(sums, (None, np.repeat(~known, replicates)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(order[first])) for c in by), *lists], names=[*by, "w_", "f_"])
+
+    return run
+
+
 def bootstrap(rows: DataFrame, row: Column, by: list[str], flag: Column, statistic, replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
     """``(*by, n, estimate, low, high)``: a statistic of the share of rows with a flag, and the interval of its replicates.
 
     ``statistic`` makes a column from the share.  Every replicate draws each row as often
     as :func:`occurrences` says; all replicates are one aggregate, whose size is that of
-    the groups times the replicates, whatever the rows.  Replicates that draw nothing of
+    the groups times the replicates, whatever the rows.  Rows are drawn and added up batch
+    by batch, so no row is multiplied by the replicates.  Replicates that draw nothing of
     a group don't count.
     """
-    drawn = rows.select(*by, flag.cast("int").alias("f_"), F.posexplode(occurrences(row, replicates, seed)).alias("r_", "w_"))
-    each = drawn.groupBy(*by, "r_").agg((F.sum(F.col("w_") * F.col("f_")) / F.nullif(F.sum("w_"), F.lit(0))).alias("p_"))
+    start = F.concat_ws(":", F.lit(str(seed)), row.cast("string"), F.lit("")).alias("start_")
+    hashes = F.concat(*[F.md5(F.concat("start_", F.lit(str(j))).cast("binary")) for j in range(-(-replicates // 4))])
+    hashed = rows.select(*by, flag.cast("int").alias("f_"), start).select(*by, "f_", hashes.alias("h_"))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in hashed.schema.fields if f.name in by)
+    drawn = hashed.mapInArrow(_drawn_sums(by, replicates), kinds + "w_ array<long>, f_ array<long>").select(*by, F.posexplode(F.arrays_zip("w_", "f_")).alias("r_", "x_"))
+    each = drawn.groupBy(*by, "r_").agg((F.sum("x_.f_") / F.nullif(F.sum("x_.w_"), F.lit(0))).alias("p_"))
     tail = (1 - level) / 2
     spread = each.filter("p_ is not null").groupBy(*by).agg(*[F.percentile(statistic(F.col("p_")), q).alias(name) for name, q in (("low", tail), ("high", 1 - tail))])
     whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), statistic(F.avg(flag.cast("int"))).alias("estimate"))

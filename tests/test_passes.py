@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lynceus.operators import alignment, gallery, projection
+from lynceus.operators import alignment, gallery, metrics, projection
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -50,3 +50,17 @@ def test_a_fit_doesnt_score_the_gallery_again(spark, monkeypatch):
     monkeypatch.setattr(projection, "logistic", lambda rows, *a, **k: plans.append(rows._jdf.queryExecution().toString()) or whole(rows, *a, **k))
     assert entry.queries()["logit_likelihood"](spark, SMALL).count() == 2
     assert len(plans) == 1 and "CoGroups" not in plans[0]
+
+
+def test_no_row_is_multiplied_by_the_replicates(spark):
+    """The sums of every replicate are those of :func:`metrics.occurrences`, from a row a batch and group; null keys, flags and groups too."""
+    rows = spark.createDataFrame([(None if i == 5 else i, None if i % 7 == 3 else i % 3, None if i % 4 == 1 or i % 3 == 2 else i % 5 < 2) for i in range(400)], "id long, kind long, f boolean")
+    got = metrics.bootstrap(rows, F.col("id"), ["kind"], F.col("f"), lambda p: p, 30, 9)
+    plan = got._jdf.queryExecution().toString()
+    drawn = rows.select("kind", F.col("f").cast("int").alias("f"), F.posexplode(metrics.occurrences(F.col("id"), 30, 9)).alias("r", "w"))
+    p = drawn.groupBy("kind", "r").agg((F.sum(F.col("w") * F.col("f")) / F.nullif(F.sum("w"), F.lit(0))).alias("p")).filter("p is not null")
+    want = {r.kind: (r.low, r.high) for r in p.groupBy("kind").agg(F.percentile("p", 0.025).alias("low"), F.percentile("p", 0.975).alias("high")).collect()}
+    both = {r.kind: (r.low, r.high) for r in got.collect()}
+    assert set(want) == {None, 0, 1} and both.keys() == {None, 0, 1, 2}
+    assert {k: both[k] for k in (0, 1)} == {k: pytest.approx(want[k], rel=1e-12) for k in (0, 1)} and both[2] == (None, None)
+    assert "MapInArrow" in plan and "posexplode(flatten" not in plan
