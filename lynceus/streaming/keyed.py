@@ -70,8 +70,14 @@ def start(changes: DataFrame, checkpoint: str) -> StreamingQuery:
         conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
 
 
+#: What Spark's own aggregates call the counts and sums that they keep, and what they are called here.
+SUMS = {"count": "n", "sum": "total"}
+
+
 def kept(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """``(*keys, *state)`` as of the last finished micro-batch."""
+    """``(*keys, *state)`` as of the last finished micro-batch; of a streaming ``groupBy`` the counts and sums of :data:`SUMS`."""
+    if not spark.read.format("state-metadata").load(checkpoint).filter("operatorName = 'stateStoreSave'").isEmpty():
+        return spark.read.format("statestore").load(checkpoint).select("key.*", "value.*").withColumnsRenamed(SUMS)
     return spark.read.format("statestore").option("stateVarName", VALUE).load(checkpoint).select("key.*", "value.*")
 
 

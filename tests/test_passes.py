@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lynceus.operators import alignment, gallery, metrics, projection
+from lynceus.plans import session
+from lynceus.streaming import keyed
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -64,3 +66,11 @@ def test_no_row_is_multiplied_by_the_replicates(spark):
     assert set(want) == {None, 0, 1} and both.keys() == {None, 0, 1, 2}
     assert {k: both[k] for k in (0, 1)} == {k: pytest.approx(want[k], rel=1e-12) for k in (0, 1)} and both[2] == (None, None)
     assert "MapInArrow" in plan and "posexplode(flatten" not in plan
+
+
+def test_the_summary_of_a_stream_asks_no_python_for_a_key(spark, monkeypatch):
+    """Several files a micro-batch too."""
+    monkeypatch.setattr(session, "FILE_ROWS", 200, raising=False)
+    monkeypatch.setattr(keyed.Keep, "handleInputRows", None)
+    got = entry.queries()["stream_log_summary"](spark, SMALL)
+    assert sorted(map(tuple, got.collect())) == sql("stream_log_summary", events=f"{SMALL}/events.parquet")
