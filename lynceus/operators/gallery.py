@@ -25,8 +25,14 @@ from pyspark.sql.window import Window
 
 #: Rows of a block: at least and at most, and numbers of a block at most; a task holds two blocks and one slab of their product.
 LEAST_BLOCK, MOST_BLOCK, BLOCK_NUMBERS = 512, 8192, 1 << 23
+#: The same where products are screened in single precision, whose slabs are small.
+WIDE_BLOCK = 32768
 #: Queries whose products with a block are held at a time.
 SLAB = 512
+#: Cells of a product in single precision that are held at a time, rows that runs of one class and sighting have at least on average, and cells of a product that may be worth the exact cosine, of a query and class on average.
+CELLS, LEAST_RUN, CLOSE = 1 << 22, 16, 8
+#: Parts that classes are dealt to where a query meets its own only, and tasks of a grid at most.
+CLASS_PARTS, MOST_TASKS = 64, 2000
 
 #: What a query may not be scored against, given arrays of the two blocks: True is left out; None leaves out nothing.
 EXCLUSIONS: dict[str, Callable] = {
@@ -36,7 +42,10 @@ EXCLUSIONS: dict[str, Callable] = {
     "sighting_of_class": lambda q, r: (q["grp"][:, None] == r["grp"][None, :]) & (q["cls"][:, None] == r["cls"][None, :]),
     "own_class": lambda q, r: q["cls"][:, None] == r["cls"][None, :],
     "not_before": lambda q, r: q["id"][:, None] >= r["id"][None, :],
+    "sighting_or_other_class": lambda q, r: (q["grp"][:, None] == r["grp"][None, :]) | (q["cls"][:, None] != r["cls"][None, :]),
 }
+#: Those that look at sightings and classes alone.
+BY_GROUP = ("none", "sighting", "sighting_of_class", "own_class", "sighting_or_other_class")
 
 
 def years_apart(years: int, own_class_only: bool = True) -> Callable:
@@ -49,16 +58,16 @@ def years_apart(years: int, own_class_only: bool = True) -> Callable:
     return rule
 
 
-def block_rows(n: int, m: int, dim: int, cores: int) -> int:
+def block_rows(n: int, m: int, dim: int, cores: int, most: int = MOST_BLOCK) -> int:
     """Rows of a block for ``n`` queries and ``m`` references: about four pairs of blocks a core until blocks are as large as they may be."""
-    most = max(1, min(MOST_BLOCK, BLOCK_NUMBERS // max(1, dim)))
+    most = max(1, min(most, BLOCK_NUMBERS // max(1, dim)))
     return min(most, max(LEAST_BLOCK, int((n * m / (4 * cores)) ** 0.5)))
 
 
 def _arrays(t: pa.Table) -> dict:
     v = t.column("v").combine_chunks()
     m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
-    out = {c: t.column(c).to_numpy() for c in t.column_names if c not in ("v", "qb", "rb")}
+    out = {c: t.column(c).to_numpy() for c in t.column_names if c not in ("v", "cb", "qb", "rb")}
     return out | {"v": m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)}
 
 
@@ -106,12 +115,20 @@ def _best_overall(s: np.ndarray, q: dict, r: dict, k: int) -> pa.Table:
     return pa.table({"q": q["id"][i], "cls": r["cls"][j], "ref": r["id"][j], "score": s[i, j]})
 
 
+def _pick(s: np.ndarray, q: dict, r: dict, k: int) -> pa.Table:
+    """The best reference of all, ties to the smaller class and then id; ``r`` is in that order."""
+    j = s.argmax(axis=1)
+    i = np.flatnonzero(np.isfinite(s[np.arange(len(s)), j]))
+    j = j[i]
+    return pa.table({"q": q["id"][i], "cls": r["cls"][j], "ref": r["id"][j], "score": s[i, j]})
+
+
 def _over(s: np.ndarray, q: dict, r: dict, least: float) -> pa.Table:
     i, j = np.nonzero(s >= least)
     return pa.table({"q": q["id"][i], "cls": r["cls"][j], "ref": r["id"][j], "score": s[i, j]})
 
 
-REDUCTIONS = {"class": _best_of_class, "overall": _best_overall, "over": _over}
+REDUCTIONS = {"class": _best_of_class, "overall": _best_overall, "pick": _pick, "over": _over}
 
 
 def _take(x: dict, rows: slice | np.ndarray) -> dict:
@@ -122,10 +139,11 @@ def block_of(a: pa.Table, b: pa.Table, rule: Callable, reduce: Callable, schema:
     """``reduce(scores, q, r)`` over two blocks, some queries at a time into one product; the references are in the order of classes and ids."""
     every, r, parts = _arrays(a), _arrays(b), []
     r = _take(r, np.lexsort((r["id"], r["cls"])))
-    across, room = np.ascontiguousarray(r["v"].T), np.empty((min(SLAB, a.num_rows), b.num_rows))
+    slab = max(1, min(SLAB, CELLS // b.num_rows))
+    across, room = np.ascontiguousarray(r["v"].T), np.empty((min(slab, a.num_rows), b.num_rows))
     unsound = ~np.isfinite(r["v"]).all(1)
-    for first in range(0, a.num_rows, SLAB):
-        q = _take(every, slice(first, first + SLAB))
+    for first in range(0, a.num_rows, slab):
+        q = _take(every, slice(first, first + slab))
         s = np.matmul(q["v"], across, out=room[: len(q["v"])])
         out = rule(q, r)
         if out is not None:
@@ -135,6 +153,65 @@ def block_of(a: pa.Table, b: pa.Table, rule: Callable, reduce: Callable, schema:
     return pa.concat_tables(parts)
 
 
+def best_of_block(a: pa.Table, b: pa.Table, rule: Callable, keep: str, schema: pa.Schema) -> pa.Table:
+    """:func:`block_of` for the best reference (``keep`` is ``class`` or ``pick``) by a rule of ``BY_GROUP``.
+
+    Products in single precision say which references come close to the best, and only
+    their cosines are taken in double precision.  References lie in runs of one class and
+    sighting, so a rule is applied to the largest number of each run, never to a pair.
+    Where runs are short, or many references come as close, all is in double precision.
+    """
+    slow = lambda x: block_of(x, b, rule, lambda s, q, r: REDUCTIONS[keep](s, q, r, 1), schema)
+    every, r = _arrays(a), _arrays(b)
+    r = _take(r, np.isfinite(r["v"]).all(1))
+    r = _take(r, np.lexsort((r["id"], r["grp"], r["cls"])))
+    n, m = len(every["id"]), len(r["id"])
+    if not m:
+        return schema.empty_table()
+    first_of = lambda *keys: np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+    starts = first_of(r["cls"], r["grp"])
+    if len(starts) * LEAST_RUN > m:
+        return slow(a)
+    runs, spans = _take(r, starts), list(zip(starts, [*starts[1:], m], strict=True))
+    classes = first_of(runs["cls"]) if keep == "class" else np.zeros(1, np.int64)
+    of_run = np.searchsorted(classes, np.arange(len(runs["cls"])), "right") - 1
+    # Twice what a product of unit vectors may be off in single precision, and some.
+    margin = np.float32((r["v"].shape[1] + 8) * 2.0**-22)
+    theirs, step, parts = r["v"].astype(np.float32), max(64, min(SLAB, CELLS // m)), []
+    room = np.empty(m * min(step, n), np.float32)
+    for first in range(0, n, step):
+        q = _take(every, slice(first, first + step))
+        sound = np.isfinite(q["v"]).all(1)
+        q = q if sound.all() else _take(q, sound)
+        own = np.ascontiguousarray(q["v"].T.astype(np.float32))
+        s = np.matmul(theirs, own, out=room[: m * len(q["v"])].reshape(m, -1))
+        most = np.empty((len(spans), len(q["v"])), np.float32)
+        for x, (start, end) in enumerate(spans):
+            np.maximum.reduce(s[start:end], axis=0, out=most[x])
+        out = rule(q, runs)
+        if out is not None:
+            most[out.T] = -np.inf
+        least = (np.maximum.reduceat(most, classes, axis=0) - margin)[of_run]
+        near, found, held = (most >= least) & np.isfinite(most), [], 0
+        for x, (start, end) in enumerate(spans):
+            rows = np.flatnonzero(near[x])
+            j, i = np.nonzero(s[start:end].take(rows, axis=1) >= least[x, rows])
+            found.append((rows[i], j + start))
+            held += len(i)
+            if held > CLOSE * len(classes) * step:
+                break
+        if held > CLOSE * len(classes) * step:
+            parts.append(slow(a.slice(first, step)))
+            continue
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        score = np.einsum("ij,ij->i", q["v"][i], r["v"][j])
+        cls, ref = r["cls"][j], r["id"][j]
+        order = np.lexsort((ref, -score, cls, i) if keep == "class" else (ref, cls, -score, i))
+        order = order[first_of(i[order], cls[order]) if keep == "class" else first_of(i[order])] if len(i) else order
+        parts.append(pa.table({"q": q["id"][i[order]], "cls": cls[order], "ref": ref[order], "score": score[order]}).cast(schema))
+    return pa.concat_tables(parts)
+
+
 def grid(queries: DataFrame, refs: DataFrame, exclude: str | Callable, reduce: Callable, schema: str, block: int | None = None) -> tuple[DataFrame, int]:
     """``reduce(scores, q, r)`` over all pairs of blocks, where the scores of left-out pairs are minus infinity; and the number of reference blocks.
 
@@ -143,35 +220,53 @@ def grid(queries: DataFrame, refs: DataFrame, exclude: str | Callable, reduce: C
     until it returns.
     """
     rule = EXCLUSIONS[exclude] if isinstance(exclude, str) else exclude
-    size = lambda f, name: f.agg(F.count(F.lit(1)).alias(name), F.max(F.size("v")).alias(name + "dim"))
+    return cells(queries, refs, lambda a, b, arrow: block_of(a, b, rule, reduce, arrow), schema, block)
+
+
+def cells(queries: DataFrame, refs: DataFrame, compare: Callable, schema: str, block: int | None = None, own_class: bool = False, most: int = MOST_BLOCK) -> tuple[DataFrame, int]:
+    """``compare(a, b, arrow schema)`` of all pairs of blocks, or of those where a query meets references of its own class, in blocks of up to ``most`` rows; and the number of reference blocks."""
+    part = F.pmod(F.xxhash64("cls"), F.lit(CLASS_PARTS)).cast("int") if own_class else F.lit(0)
+    queries, refs = queries.withColumn("cb", part), refs.withColumn("cb", part)
+    each = lambda f: f.groupBy("cb").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"))
+    size = lambda f, name: each(f).agg(F.max("n").alias(name), F.max("dim").alias(name + "dim"), F.count(F.lit(1)).alias(name + "parts"))
     counts = size(queries, "n").crossJoin(size(refs, "m")).first()
-    dim = max(counts.ndim or 1, counts.mdim or 1)
-    block = block or block_rows(counts.n, counts.m, dim, queries.sparkSession.sparkContext.defaultParallelism)
-    nq, nr = max(1, -(-counts.n // block)), max(1, -(-counts.m // block))
+    dim, n, m, deals = max(counts.ndim or 1, counts.mdim or 1), counts.n or 0, counts.m or 0, max(1, counts.mparts)
+    block = block or block_rows(n, m, dim, -(-queries.sparkSession.sparkContext.defaultParallelism // deals), most)
+    nq, nr = max(1, -(-n // block)), max(1, -(-m // block))
     deal = lambda f, own, n, other, m: f.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     left, right = deal(queries, "qb", nq, "rb", nr), deal(refs, "rb", nr, "qb", nq)
     right = right.select([F.col(c).alias("r_" + c) for c in right.columns])  # a gallery scored against itself needs names of its own
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    # Cells are much work and few bytes, so they are dealt here and not put together by bytes.
+    tasks = min(MOST_TASKS, 2 * deals * nq * nr)
+    keys = ("cb", "qb", "rb")
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *["r_" + c for c in keys])
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return arrow.empty_table()
-        return block_of(a, b.rename_columns([c[2:] for c in b.column_names]), rule, reduce, arrow)
+        return compare(a, b.rename_columns([c[2:] for c in b.column_names]), arrow)
 
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("r_qb", "r_rb")).applyInArrow(cell, schema), nr
+    return left.groupBy(*keys).cogroup(right.groupBy(*["r_" + c for c in keys])).applyInArrow(cell, schema), nr
 
 
 def score(queries: DataFrame, refs: DataFrame, exclude: str | Callable = "sighting", keep: str = "class", k: float = 1, block: int | None = None) -> DataFrame:
     """``(q, cls, ref, score)``: cosines of queries with references.
 
     ``keep`` is ``class`` (the k best references of each class and query), ``overall``
-    (the k best of a query) or ``over`` (all of k or more).  Ties go to the smaller id.
+    (the k best of a query), ``pick`` (the best of a query, ties to the smaller class) or
+    ``over`` (all of k or more).  Ties go to the smaller id.
     """
-    kept = REDUCTIONS[keep]
-    part, nr = grid(queries, refs, exclude, lambda s, q, r: kept(s, q, r, k), "q long, cls int, ref long, score double", block)
+    kept, schema = REDUCTIONS[keep], "q long, cls int, ref long, score double"
+    if exclude in BY_GROUP and keep in ("class", "pick") and k == 1:
+        rule = EXCLUSIONS[exclude]
+        part, nr = cells(queries, refs, lambda a, b, arrow: best_of_block(a, b, rule, keep, arrow), schema, block, exclude == "sighting_or_other_class", WIDE_BLOCK)
+    else:
+        part, nr = grid(queries, refs, exclude, lambda s, q, r: kept(s, q, r, k), schema, block)
     if keep == "over" or nr == 1:
         return part
-    by = Window.partitionBy(*(("q", "cls") if keep == "class" else ("q",))).orderBy(F.desc("score"), "ref")
+    order = [F.desc("score"), *(["cls"] if keep == "pick" else []), "ref"]
+    by = Window.partitionBy(*(("q", "cls") if keep == "class" else ("q",))).orderBy(*order)
     return part.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).drop("n")
 
 

@@ -22,8 +22,8 @@ def truth(g: DataFrame) -> DataFrame:
     return g.select(F.col("id").alias("q"), F.col("cls").alias("true_cls"))
 
 
-def best(g: DataFrame, exclude="sighting", k: int = 1) -> DataFrame:
-    return G.score(G.with_other_sighting(g), g, exclude, "class", k)
+def best(g: DataFrame, exclude="sighting", k: int = 1, keep: str = "class") -> DataFrame:
+    return G.score(G.with_other_sighting(g), g, exclude, keep, k)
 
 
 def ranked(g: DataFrame) -> DataFrame:
@@ -150,10 +150,13 @@ def auc_known_new(spark, sf_dir):
     return M.auc(both.filter("score is not null")).select(r6("auc"))
 
 
-def spots(g: DataFrame) -> DataFrame:
-    """A second evidence from the first half of each vector; every third reference has none."""
+def spots(g: DataFrame, picks: DataFrame | None = None) -> DataFrame:
+    """A second evidence from the first half of each vector; every third reference has none.  With ``picks(q, pick)`` a query meets the references of its pick only."""
     half = g.withColumn("v", F.slice("v", 1, 32))
-    return G.score(G.with_other_sighting(half), half.filter("id % 3 <> 0"), "sighting", "class", 1).withColumn("score", F.col("score") * 10)
+    refs, queries, exclude = half.filter("id % 3 <> 0"), G.with_other_sighting(half), "sighting"
+    if picks is not None:
+        queries, exclude = half.drop("cls").join(picks.select(F.col("q").alias("id"), F.col("pick").alias("cls")), "id"), "sighting_or_other_class"
+    return G.score(queries, refs, exclude, "class", 1).withColumn("score", F.col("score") * 10)
 
 
 SPOTS = """, h AS (SELECT id, cls, grp, v[1:32] AS v FROM g), hm AS (SELECT *, sqrt(list_dot_product(v, v)) + 1e-12 AS n FROM h),

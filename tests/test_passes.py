@@ -78,3 +78,43 @@ def test_the_summary_of_a_stream_asks_no_python_for_a_key(spark, monkeypatch):
 
 def test_methods_share_their_scores(spark):
     assert "CoGroups" not in entry.queries()["method_decisions"](spark, SMALL)._jdf.queryExecution().toString()
+
+
+def test_a_recheck_compares_the_pick_alone(spark, monkeypatch):
+    """Picks come from a row a query and block, their second score from references of the pick's class."""
+    whole, asked = gallery.score, []
+    monkeypatch.setattr(gallery, "score", lambda q, r, exclude, keep, k: asked.append((exclude, keep)) or whole(q, r, exclude, keep, k, 64))
+    assert sorted(map(tuple, entry.queries()["spot_recheck"](spark, SMALL).collect())) == sql("spot_recheck")
+    assert asked == [("sighting", "pick"), ("sighting_or_other_class", "class")]
+
+
+@pytest.mark.parametrize("keep", ["class", "pick"])
+@pytest.mark.parametrize("exclude", gallery.BY_GROUP)
+@pytest.mark.parametrize("alike", [False, True])
+def test_screened_products_say_what_whole_ones_do(keep, exclude, alike, monkeypatch):
+    """Copies, references a hair apart, zero and unsound vectors, crowds of one vector, short runs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    schema = pa.schema([("q", pa.int64()), ("cls", pa.int32()), ("ref", pa.int64()), ("score", pa.float64())])
+    monkeypatch.setattr(gallery, "CELLS", 1 << 16)
+
+    def rows(n, first, groups):
+        v = np.round(rng.standard_normal((n, 8)), 0 if alike else 3)
+        v[7], v[8, 2], v[9, 3] = 0, np.nan, np.inf
+        v[20:40] = v[10]
+        v[40:60] = v[11] + 1e-9 * rng.standard_normal((20, 8))
+        if alike:
+            v[60:] = v[60]
+        return pa.table({"id": rng.permutation(n) + first, "cls": rng.integers(0, 3, n).astype(np.int32), "grp": rng.integers(0, groups, n), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
+
+    for groups in (4, 300):
+        a, b = rows(300, 0, groups), rows(700, 200, groups)
+        rule, order = gallery.EXCLUSIONS[exclude], [("q", "ascending"), ("cls", "ascending")]
+        want = gallery.block_of(a, b, rule, lambda s, q, r: gallery.REDUCTIONS[keep](s, q, r, 1), schema).sort_by(order)
+        got = gallery.best_of_block(a, b, rule, keep, schema).sort_by(order)
+        assert got["q"] == want["q"] and np.allclose(got["score"], want["score"], rtol=0, atol=1e-14) and len(want) > 250
+        by = {(x["id"], x["cls"]) for x in b.select(["id", "cls"]).to_pylist()}
+        assert {(x["ref"], x["cls"]) for x in got.to_pylist()} <= by
+        if keep == "class":
+            assert got["cls"] == want["cls"]
