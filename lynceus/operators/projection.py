@@ -264,7 +264,9 @@ def logistic_scores(train: DataFrame, ask: DataFrame, c: float = 1.0, balanced:
 
     sizes = sorted((r.cls, r["count"]) for r in train.groupBy("cls").count().collect())  # a row a class, as the model has
     n, codes = sum(m for _, m in sizes), [k for k, _ in sizes]
-    known = train.sparkSession.createDataFrame([(k, float(i), n / (len(sizes) * m) if balanced else 1.0) for i, (k, m) in enumerate(sizes)], "cls int, label double, w double")
+    weights = [n / (len(sizes) * m) if balanced else 1.0 for _, m in sizes]
+    # From Arrow, which needs no Python on the executors.
+    known = train.sparkSession.createDataFrame(pa.table({"cls": pa.array(codes, pa.int32()), "label": np.arange(len(sizes), dtype=float), "w": pa.array(weights, pa.float64())}))
     x = train.join(F.broadcast(known), "cls").select("label", "w", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
     model = LogisticRegression(family="multinomial", regParam=1.0 / (c * n), weightCol="w", standardization=False, maxIter=500, tol=1e-9).fit(x)
     got = model.transform(ask.select(F.col("id").alias("q"), array_to_vector(F.col("v").cast("array<double>")).alias("features")))

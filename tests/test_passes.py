@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lynceus.operators import alignment, gallery, metrics, projection
-from lynceus.plans import session
+from lynceus.plans import reid, session
 from lynceus.streaming import keyed
 
 SMALL = "/root/testdata/sf0.001"
@@ -118,3 +118,17 @@ def test_screened_products_say_what_whole_ones_do(keep, exclude, alike, monkeypa
         assert {(x["ref"], x["cls"]) for x in got.to_pylist()} <= by
         if keep == "class":
             assert got["cls"] == want["cls"]
+
+
+def test_models_share_one_list_of_the_nearest(spark, monkeypatch):
+    """One comparison for 1, 3 and 5 nearest says what three do."""
+    whole, asked = gallery.score, []
+    monkeypatch.setattr(gallery, "score", lambda *a: asked.append(a[3:]) or whole(*a))
+    got = {r.model: (r.valid, r.test) for r in entry.queries()["model_comparison"](spark, SMALL).collect()}
+    assert sorted(asked) == [("class", 1), ("overall", 5)] and len(got) == 5
+    g = reid.load(spark, SMALL)
+    train, ask = g.filter("grp > 1"), g.filter("grp <= 1")
+    for k in (1, 3):
+        flags = metrics.hits(gallery.top_classes(gallery.knn_votes(whole(ask, train, "none", "overall", k))), reid.truth(ask))
+        hit = {r.part: r.top1 for r in metrics.accuracy(flags.withColumn("part", F.col("q") % 7), "part").collect()}
+        assert got[f"nearest {k}"] == (pytest.approx(hit[0], abs=1e-6), pytest.approx(hit[1], abs=1e-6))
