@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
+from lynceus.llm import packing
 from lynceus.llm import token_files as T
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -99,3 +100,22 @@ def test_one_row_many_times(spark):
     got = T.op12(spark.range(20_000).selectExpr("1L doc_id", "'same text' text")).collect()
     n = got[0].n_tokens
     assert sorted(r.start for r in got) == [i * n for i in range(20_000)] and len({r.ids_crc32 for r in got}) == 1
+
+
+def test_plain_texts_are_looked_up_by_pre_token():
+    """A word has one entry whatever its case and the signs around it, so few words are encoded anew; very long ones aren't kept."""
+    memo = packing._Memo(packing.vocabulary())
+    texts = ["Word word,\t(word) WORD.\u000bdon't 42", "Élan élan, ÉLAN!", "x" * 1000]
+    assert [np.frombuffer(memo.pack(t), "<u4").tolist() for t in texts] == [ids[:-1] for ids in encoded(texts)]
+    assert set(memo.words) == {"word", ",", "(", ")", ".", "don", "'t", "4", "2", "élan", "!"} and not memo
+
+
+def test_ids_of_odd_texts():
+    """Whole plain texts, strings that aren't plain and special tokens give the tokenizer's own ids."""
+    rng = np.random.default_rng(5)
+    plain = [*"aZé'ß.,|<>0 9\t\n\u000b\u000c\r", "'S", "'ll", "<|", "The ", "Über"]
+    odd = [*"\u001c\u0085 ª²×İ́ 東’", "<|endoftext|>", "<|StartOfText|>"]
+    for signs, n in ((plain, 3000), (plain * 4 + odd, 3000)):
+        texts = ["".join(rng.choice(signs, rng.integers(0, 25))) for _ in range(n)]
+        got = [np.frombuffer(packing.packed_ids(t, packing.vocabulary()), "<u4").tolist()[:-1] for t in texts]
+        assert got == [ids[:-1] for ids in encoded(texts)]
