@@ -217,10 +217,12 @@ def grid(queries: DataFrame, refs: DataFrame, exclude: str | Callable, reduce: C
 
     ``reduce`` sees some queries of a block with all references of another, in the order of
     classes and ids, and returns the columns of ``schema``; the scores are its own only
-    until it returns.
+    until it returns.  A rule that leaves out all other classes (by its attribute ``own_class``
+    where it isn't named) has blocks of a query's own class only.
     """
     rule = EXCLUSIONS[exclude] if isinstance(exclude, str) else exclude
-    return cells(queries, refs, lambda a, b, arrow: block_of(a, b, rule, reduce, arrow), schema, block)
+    own = exclude == "sighting_or_other_class" or getattr(rule, "own_class", False)
+    return cells(queries, refs, lambda a, b, arrow: block_of(a, b, rule, reduce, arrow), schema, block, own)
 
 
 def cells(queries: DataFrame, refs: DataFrame, compare: Callable, schema: str, block: int | None = None, own_class: bool = False, most: int = MOST_BLOCK) -> tuple[DataFrame, int]:
@@ -284,8 +286,7 @@ def _sums_of_sighting(least: float) -> Callable:
 
 def by_sighting(gallery: DataFrame, least: float, block: int | None = None) -> DataFrame:
     """``(id, rgrp, strong, total)``: for each photo and each other sighting of its class, how many of its photos match with ``least`` or more and the sum of all scores."""
-    rule = lambda q, r: EXCLUSIONS["sighting"](q, r) | ~EXCLUSIONS["own_class"](q, r)
-    part, nr = grid(gallery, gallery, rule, _sums_of_sighting(least), "id long, rgrp long, strong long, total double", block)
+    part, nr = grid(gallery, gallery, "sighting_or_other_class", _sums_of_sighting(least), "id long, rgrp long, strong long, total double", block)
     return part if nr == 1 else part.groupBy("id", "rgrp").agg(F.sum("strong").alias("strong"), F.sum("total").alias("total"))
 
 
@@ -307,8 +308,7 @@ def _best_of_sighting(s: np.ndarray, q: dict, r: dict) -> pa.Table:
 
 def best_of_other_sightings(gallery: DataFrame, block: int | None = None) -> DataFrame:
     """``(q, rgrp, own, gap, rday)`` for ``gallery`` with days: each photo's best score with each other sighting of its class, the days to the nearest of its photos and its first day; a block leaves a row a photo and sighting."""
-    rule = lambda q, r: EXCLUSIONS["sighting"](q, r) | ~EXCLUSIONS["own_class"](q, r)
-    part, nr = grid(gallery, gallery, rule, _best_of_sighting, "q long, rgrp long, own double, gap long, rday long", block)
+    part, nr = grid(gallery, gallery, "sighting_or_other_class", _best_of_sighting, "q long, rgrp long, own double, gap long, rday long", block)
     return part if nr == 1 else part.groupBy("q", "rgrp").agg(F.max("own").alias("own"), F.min("gap").alias("gap"), F.min("rday").alias("rday"))
 
 

@@ -301,13 +301,16 @@ def _not_chosen(q: dict, r: dict) -> np.ndarray:
     return ~(member[code] & G.EXCLUSIONS["own_class"](q, r))
 
 
+_not_chosen.own_class = True
+
+
 def _accuracy_with_index(g: DataFrame, k: int | None) -> DataFrame:
     from lynceus.operators.audit import index_choice
 
     met, _ = support(g)
     general, own = index_choice(met, g.withColumn("side", F.col("id") % 2), k)
     queries = G.with_other_sighting(g)
-    others = G.score(queries, g.join(general, "id", "left_semi"), lambda q, r: G.EXCLUSIONS["sighting"](q, r) | G.EXCLUSIONS["own_class"](q, r), "class", 1)
+    others = G.score(queries, g.join(general, "id", "left_semi"), "sighting", "class", 1).join(truth(g), "q").filter("cls <> true_cls")
     # A reference of the own class counts for the sightings without which it is chosen; a block leaves a row a query.
     chosen = g.join(own.groupBy("id").agg(F.collect_set("gone").alias("gone")), "id")
     mine = G.score(queries, chosen, _not_chosen, "class", 1).select("q", "cls", "score")

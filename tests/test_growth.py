@@ -147,3 +147,16 @@ def test_the_margin_comes_from_all_labelled_texts(spark):
             margins.append(margin)
     assert len(margins) > 1200
     assert language_id.learn_margin(docs, content) == sorted(margins)[int(language_id.MARGIN_QUANTILE * len(margins))]
+
+
+def test_rules_of_the_own_class_meet_no_other(spark, monkeypatch):
+    """Support by sightings compares photos of one class only: no block has a reference of a class that none of its queries has, but for classes that are dealt alike."""
+    met, whole = spark.sparkContext.accumulator(0), gallery.block_of
+
+    def block_of(a, b, *rest):
+        met.add(a.num_rows * b.num_rows)
+        return whole(a, b, *rest)
+
+    monkeypatch.setattr(gallery, "block_of", block_of)
+    g = spark.range(400).selectExpr("id", "cast(id % 20 as int) as cls", "id % 7 as grp", "array(cast(id % 13 as float), 1f) as v")
+    assert gallery.by_sighting(g, 0.9).count() == 400 * 6 and met.value < 400 * 400 / 4
